@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import data, p1_unify
+from quillmere.llm import data, p1_unify, p2_neighbours
+from quillmere.session import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,8 +20,17 @@ def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
     return p1_unify.unify(data.records(spark, folder).distinct(), "text", "form").select("record_table", F.col("key").alias("record_key"), "form")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_neighbours.pairs(p2_neighbours.neighbours(table(spark, folder, "memories")))
+
+
+def p2_neighbours_of_each(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest records of every record, with rank and cosine."""
+    return p2_neighbours.neighbours(table(spark, folder, "memories"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_unified": p1_unified}
+    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each}
 
 
 def oracle_sql() -> dict[str, str]:
