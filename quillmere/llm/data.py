@@ -15,3 +15,15 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
         .select(F.lit("source_documents").alias("record_table"), F.col("doc_id").alias("key"), "text")
         .unionByName(table(spark, folder, "chunks").select(F.lit("chunks").alias("record_table"), F.col("chunk_id").alias("key"), "text"))
     )
+
+
+SCANNED = ["pdf", "pdf_scan", "ocr_scan"]
+
+
+def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts not taken from pages, and chat turns: record_table, record_key, text."""
+    documents = table(spark, folder, "source_documents").where(F.col("source_type").isNull() | ~F.col("source_type").isin(SCANNED))
+    turns = table(spark, folder, "turns")
+    return documents.select(F.lit("source_documents").alias("record_table"), F.col("doc_id").alias("record_key"), "text").unionByName(
+        turns.select(F.lit("turns").alias("record_table"), F.concat_ws("#", "session", F.col("turn").cast("string")).alias("record_key"), "text")
+    )
