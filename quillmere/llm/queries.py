@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import data, p1_unify, p2_neighbours, p5_sentences
+from quillmere.llm import data, p1_unify, p2_neighbours, p3_pairs, p5_sentences
 from quillmere.session import table
 
 
@@ -29,6 +29,10 @@ def p2_neighbours_of_each(spark: SparkSession, folder: str) -> DataFrame:
     return p2_neighbours.neighbours(table(spark, folder, "memories"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_pairs.defects(table(spark, folder, "build_corpus"), table(spark, folder, "lexicon"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_sentences.sentences(data.clean_texts(spark, folder), ["record_table", "record_key"], "text", F.col("record_table") == "turns")
 
@@ -39,7 +43,7 @@ def p5_sentences_of_each(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each}
+    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each}
 
 
 def oracle_sql() -> dict[str, str]:
