@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import data, p1_unify, p2_neighbours, p3_pairs, p5_sentences
+from quillmere.llm import data, p1_unify, p2_neighbours, p3_pairs, p5_sentences, p6_leaks
 from quillmere.session import table
 
 
@@ -42,8 +42,12 @@ def p5_sentences_of_each(spark: SparkSession, folder: str) -> DataFrame:
     return p5_sentences.sentence_texts(data.clean_texts(spark, folder), ["record_table", "record_key"], "text", F.col("record_table") == "turns")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each}
+    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each, "p6_found": p6_found}
 
 
 def oracle_sql() -> dict[str, str]:
