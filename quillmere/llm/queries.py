@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import data, p1_unify, p2_neighbours, p3_pairs, p5_sentences, p6_leaks
+from quillmere.llm import data, p1_unify, p2_neighbours, p3_pairs, p5_sentences, p6_leaks, p8_level
 from quillmere.session import table
 
 
@@ -46,8 +46,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_level.levels(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each, "p6_found": p6_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
