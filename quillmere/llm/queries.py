@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import data, p1_unify, p2_neighbours, p3_pairs, p5_sentences, p6_leaks, p8_level
+from quillmere.llm import data, p1_unify, p2_neighbours, p3_pairs, p5_sentences, p6_leaks, p7_mix, p8_level
 from quillmere.session import table
 
 
@@ -46,12 +46,22 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is in each mix."""
+    return p7_mix.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in each mix."""
+    return p7_mix.report(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_level.levels(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each, "p6_found": p6_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each, "p6_found": p6_found, "p7_mix": p7_selection, "p7_report": p7_report, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
