@@ -27,3 +27,12 @@ def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select(F.lit("source_documents").alias("record_table"), F.col("doc_id").alias("record_key"), "text").unionByName(
         turns.select(F.lit("turns").alias("record_table"), F.concat_ws("#", "session", F.col("turn").cast("string")).alias("record_key"), "text")
     )
+
+
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts taken from pages: record_table, record_key, title, text, is_chunk."""
+    documents = table(spark, folder, "source_documents").where(F.col("source_type").isin(SCANNED))
+    chunks = table(spark, folder, "chunks").where(F.col("source_type").isNull() | F.col("source_type").isin(SCANNED))
+    return documents.select(F.lit("source_documents").alias("record_table"), F.col("doc_id").alias("record_key"), "title", "text", F.lit(False).alias("is_chunk")).unionByName(
+        chunks.select(F.lit("chunks").alias("record_table"), F.col("chunk_id").alias("record_key"), F.element_at("meta", "doc_title").alias("title"), "text", F.lit(True).alias("is_chunk"))
+    )

@@ -78,9 +78,14 @@ _BREAK = re.compile(r"\r\n?| | |\x85")
 
 def look_of(text: str) -> str:
     """The consistent form of one text with its letter case kept."""
+    return _TRAIL.sub("", look_with_spaces(text))
+
+
+def look_with_spaces(text: str) -> str:
+    """As look_of, with the spaces at line ends kept."""
     if text.isascii():
         text = _BREAK.sub("\n", text) if "\r" in text else text
-        return _TRAIL.sub("", _SPACE.sub(" ", text))
+        return _SPACE.sub(" ", text)
     text = _BREAK.sub("\n", _IGN.sub("", text))
     text, hidden = _SEEN.subn(lambda m: SEEN[m[0]], text)
     text = unicodedata.normalize("NFKD", text)
@@ -88,7 +93,7 @@ def look_of(text: str) -> str:
     text = unicodedata.normalize("NFC", _IGN.sub("", text))
     if hidden:
         text = _STAND_IN.sub(lambda m: _BACK.get(ord(m[0]), m[0]), text)
-    return _TRAIL.sub("", _SPACE.sub(" ", text))
+    return _SPACE.sub(" ", text)
 
 
 def form_of(look: str) -> str:

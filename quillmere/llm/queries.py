@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm import data, p1_unify, p2_neighbours, p3_pairs, p5_sentences, p6_leaks, p7_mix, p8_level
+from quillmere.llm import data, p1_unify, p2_neighbours, p3_pairs, p4_pages, p5_sentences, p6_leaks, p7_mix, p8_level
 from quillmere.session import table
 
 
@@ -33,6 +33,15 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pairs.defects(table(spark, folder, "build_corpus"), table(spark, folder, "lexicon"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_pages.kinds_found(data.page_texts(spark, folder), table(spark, folder, "source_documents"))
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """Continuous paragraphs of every page text."""
+    return p4_pages.repaired(data.page_texts(spark, folder), table(spark, folder, "source_documents"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_sentences.sentences(data.clean_texts(spark, folder), ["record_table", "record_key"], "text", F.col("record_table") == "turns")
 
@@ -61,7 +70,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each, "p6_found": p6_found, "p7_mix": p7_selection, "p7_report": p7_report, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each, "p6_found": p6_found, "p7_mix": p7_selection, "p7_report": p7_report, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
