@@ -132,13 +132,13 @@ def noise_score(text: Column | str, n_fixes: Column | int = 0) -> Column:
     t = _c(text)
     n = n_fixes if isinstance(n_fixes, Column) else F.lit(n_fixes)
     raw = (garbage_count(t) + 0.6 * F.regexp_count(t, F.lit(CJK_GAP)) + 1.2 * n) / F.greatest(F.length(t), F.lit(1))
-    return F.when(t.isNull(), None).when(F.length(t) == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), raw), 4))
+    return F.when(t.isNull(), None).when(F.length(t) == 0, 0.0).otherwise(F.floor(F.least(F.lit(1.0), raw) * 10000 + 0.5) / 10000)
 
 
 def bigrams(text: Column | str) -> Column:
     """Distinct pairs of neighbouring characters, white space left out; none for a single character."""
-    # A look-ahead finds the pairs that overlap too, in one pass.
-    return F.array_distinct(F.regexp_extract_all(squeeze(_c(text)), F.lit("(?s)(?=(..))"), F.lit(1)))
+    # A look-ahead finds the pairs that overlap too, in one pass; not from within a surrogate pair.
+    return F.array_distinct(F.regexp_extract_all(squeeze(_c(text)), F.lit(r"(?s)(?=([^\x{DC00}-\x{DFFF}].))"), F.lit(1)))
 
 
 def statement_bigrams(text: Column | str) -> Column:

@@ -1,19 +1,236 @@
-"""All queries of the core by name, with the SQL that checks them."""
+"""All queries of the core by name. Each reads whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmere.config import Chunking
+from quillmere.functions import text as tx
+from quillmere.operators import agent, chunking, embedding, evaluation, memory, nli, ocr, retrieval, sampling, store
+from quillmere.operators import lexicon as lx
+from quillmere.plans.oracles import ORACLES
+from quillmere.session import table
+from quillmere.sources import readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+#: The point in time that stands for now, so that results don't depend on the day.
+NOW = "2025-06-01"
+
+
+def chunk_texts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "chunks").select("chunk_id", "text").where("chunk_id is not null").distinct()
+
+
+def chunks(s: SparkSession, d: str) -> DataFrame:
+    return store.latest(table(s, d, "chunks"))
+
+
+def questions(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "eval_items").select(F.col("qid").alias("query_id"), F.col("question").alias("text")).distinct()
+
+
+def gold(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "eval_items").select(F.col("qid").alias("query_id"), F.explode("gold_chunk_ids").alias("chunk_id")).distinct()
+
+
+def documents(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "source_documents").dropDuplicates(["doc_id", "text"])
+
+
+def lexicon(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lexicon")
+
+
+def long(c):
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+def _neighbour_jaccard(s, d):
+    c = table(s, d, "chunks").select("chunk_id", "doc_id", "seq", "text").distinct().withColumn("b", tx.bigrams("text"))
+    y = c.select(F.col("chunk_id").alias("next_id"), "doc_id", (F.col("seq") - 1).alias("seq"), F.col("b").alias("b2"))
+    return c.join(y, ["doc_id", "seq"]).select("chunk_id", "next_id", F.round(tx.jaccard(F.col("b"), F.col("b2")), 4).alias("jaccard"))
+
+
+def _gold_coverage(s, d):
+    j = gold(s, d).join(questions(s, d), "query_id").join(chunk_texts(s, d).withColumnRenamed("text", "ct"), "chunk_id")
+    return j.select("query_id", "chunk_id", F.round(tx.coverage(tx.bigrams("text"), tx.bigrams("ct")), 4).alias("coverage"))
+
+
+def _entities(s, d):
+    e = chunk_texts(s, d).withColumn("e", F.explode(lx.entities(lexicon(s, d), "text")))
+    return e.groupBy("chunk_id", F.col("e.text").alias("term"), F.col("e.type").alias("type")).agg(F.count("*").alias("n"))
+
+
+def _negated(s, d):
+    e = chunk_texts(s, d).withColumn("e", lx.entity_texts(lx.entities(lexicon(s, d), "text")))
+    cues = F.array(*map(F.lit, nli.CUES))
+    return e.select("chunk_id", long(F.size(F.filter("e", lambda t: F.exists(cues, lambda c: F.contains(F.col("text"), F.concat(c, t)))))).alias("n_negated"))
+
+
+def _dense(s, d):
+    v = table(s, d, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return embedding.top_k(q, v, 10, "query_id", "vec_id", skip_same=True)
+
+
+def _purity(s, d):
+    v = table(s, d, "embeddings").select("vec_id", "label")
+    j = _dense(s, d).join(v, "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    return j.groupBy(F.col("own").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("own")).cast("double")), 4).alias("purity"))
+
+
+def _reranked(s, d):
+    c = chunks(s, d)
+    found = retrieval.candidates(questions(s, d), c, "hybrid").where("position <= 30")
+    return retrieval.feature_rerank(found, questions(s, d), c, lexicon(s, d)).select("query_id", "chunk_id", "score")
+
+
+def _filtered(s, d):
+    c = chunks(s, d)
+    found = retrieval.feature_rerank(retrieval.candidates(questions(s, d), c, "full").where("position <= 30"), questions(s, d), c, lexicon(s, d))
+    done = retrieval.evidence_filter(found, c, 5)
+    return done.groupBy("status", F.regexp_replace(F.coalesce("drop_reason", F.lit("")), r"\(.*", "").alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _judged(s, d):
+    c = table(s, d, "build_corpus").where("answer is not null").select("id", "answer").distinct()
+    parts = c.select("id", tx.clauses("answer").alias("p")).where("size(p) >= 2").select("id", F.col("p")[0].alias("premise"), F.col("p")[1].alias("hypothesis"))
+    return nli.judge_pairs(parts, lexicon(s, d)).select("id", "label", "strength", "reason")
+
+
+def _consistency(s, d):
+    c = table(s, d, "build_corpus").where("answer is not null").select("id", "answer").distinct()
+    return c.select("id", nli.consistency(lexicon(s, d), F.slice(tx.claims("answer"), 1, 8)).alias("c")).select("id", "c.score", long(F.size("c.reasons")).alias("n_conflicts"))
+
+
+def _answers(s, d):
+    done = agent.answer(questions(s, d), chunks(s, d), lexicon(s, d))
+    return done.select("query_id", "answer", "refused", "confidence", "consistency", "coverage", long("rounds_used").alias("rounds_used"), F.array_join("citations", " ").alias("citations"))
+
+
+def _summary(s, d):
+    items = table(s, d, "eval_items").select(F.col("qid").alias("query_id"), "question", "item_type", "gold_chunk_ids").dropDuplicates(["query_id"])
+    done = agent.answer(questions(s, d), chunks(s, d), lexicon(s, d))
+    ranked = done.select("query_id", F.posexplode("retrieved").alias("rank", "chunk_id")).withColumn("rank", F.col("rank") + 1)
+    m = evaluation.retrieval_metrics(ranked, gold(s, d)).select("query_id", "context_precision", "context_recall")
+    faith = evaluation.faithfulness(done.where("not refused").select("query_id", "answer", F.array_join("claims", "\n").alias("context")), lexicon(s, d)).select("query_id", "faithfulness")
+    rows = done.join(items.drop("question"), "query_id").join(m, "query_id", "left").join(faith, "query_id", "left").withColumn("e", lx.entity_texts(lx.entities(lexicon(s, d), "question")))
+    rows = rows.withColumn("relevancy", evaluation.relevancy("question", "answer", "e")).withColumn("gold_hit", F.when(F.size("gold_chunk_ids") > 0, F.arrays_overlap("retrieved", "gold_chunk_ids")))
+    return evaluation.answer_summary(rows, ["item_type"])
+
+
+def _recall(s, d):
+    m = memory.latest_records(table(s, d, "memories"))
+    q = m.where("cast(substring(id, 2) as bigint) % 20 = 0 and size(embedding) = 128").where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))).select(F.col("id").alias("query_id"), "embedding")
+    return memory.recall(q, m, NOW)
+
+
+def _upsert(s, d):
+    c = chunks(s, d)
+    late = c.where(F.col("indexed_at") >= F.lit("2025-01-15").cast("timestamp_ntz")).withColumn("is_new", F.lit(1))
+    return store.upsert(c, late).agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("n_chunks"), F.coalesce(F.sum("is_new"), F.lit(0)).alias("n_new"))
+
+
+def _numbers(s, d):
+    rows = s.createDataFrame([(w,) for w in ("3", "2.5", "一", "半", "十", "十二", "二十", "克")], "word string")
+    return rows.select("word", tx.chinese_number("word").alias("value"))
+
+
+def _supplement(s, d):
+    pool = table(s, d, "build_corpus")
+    words = ["失眠", "头痛", "咳嗽", "盗汗", "饮食", "泡水", "加重", "调理"]
+    return sampling.supplement(pool, pool.where("label = '中医科'"), words, ["泡水", "饮食"], 300).select("id", "keyword", long("phase").alias("phase"))
+
+
+def _corruption(s, d):
+    noisy = ocr.corrupt(documents(s, d).where("text is not null"))
+    j = noisy.withColumn("clean", tx.normalize("corrupted")["text"])
+    return j.groupBy("source_type").agg(F.round(F.avg(tx.noise_score("corrupted")), 4).alias("noise"), F.round(F.avg(tx.char_accuracy("text", "corrupted")), 4).alias("raw_accuracy"), F.round(F.avg(tx.char_accuracy("text", "clean")), 4).alias("clean_accuracy"))
+
+
+def _modes(s, d):
+    c, out = chunks(s, d), None
+    for mode in retrieval.MODES:
+        r = retrieval.retrieve(questions(s, d), c, lexicon(s, d), mode, 30)
+        part = evaluation.mean_metrics(evaluation.retrieval_metrics(r, gold(s, d))).withColumn("mode", F.lit(mode))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES: dict[str, Query] = {
+    "t01_token_counts": lambda s, d: chunk_texts(s, d).select("chunk_id", long(tx.count_tokens("text")).alias("n_tokens")),
+    "t02_truncated": lambda s, d: chunk_texts(s, d).select("chunk_id", long(F.length(tx.truncate_to_tokens("text", 64))).alias("n_chars")),
+    "t03_sentences": lambda s, d: chunk_texts(s, d).withColumn("p", tx.split_sentences("text")).select("chunk_id", long(F.size("p")).alias("n_sentences"), long(F.coalesce(F.array_max(F.transform("p", F.length)), F.lit(0))).alias("longest")),
+    "t04_paragraphs": lambda s, d: chunk_texts(s, d).select("chunk_id", long(F.size(tx.split_paragraphs("text"))).alias("n_paragraphs")),
+    "t11_normalized": lambda s, d: documents(s, d).where("text is not null").withColumn("n", tx.normalize("text")).select("doc_id", F.md5("n.text").alias("text_md5"), long("n.n_space").alias("n_space"), long("n.n_garbage").alias("n_garbage")),
+    "t13_variants": lambda s, d: ocr.variants(lexicon(s, d)).select("variant", "term"),
+    "t15_noise_score": lambda s, d: documents(s, d).where("text is not null").select("doc_id", tx.noise_score("text").alias("noise")),
+    "t16_cleaned": lambda s, d: ocr.clean(documents(s, d), "text", lexicon(s, d)).select("doc_id", F.md5("clean_text").alias("text_md5"), "noise_before", "noise_after", long("n_fixes").alias("n_fixes")),
+    "t17_terms": lambda s, d: chunk_texts(s, d).select("chunk_id", F.explode(tx.tokens("text")).alias("term")).groupBy("term").agg(F.countDistinct("chunk_id").alias("df"), F.count("*").alias("tf")),
+    "t21_neighbour_jaccard": _neighbour_jaccard,
+    "t22_gold_coverage": _gold_coverage,
+    "t24_answer_parts": lambda s, d: table(s, d, "build_corpus").where("answer is not null").select("id", "answer").distinct().select("id", long(F.size(tx.evidence_sentences("answer"))).alias("n_sentences"), long(F.size(tx.clauses("answer"))).alias("n_clauses"), long(F.size(tx.claims("answer"))).alias("n_claims")),
+    "t27_numbers": _numbers,
+    "t29_negated": _negated,
+    "t31_corruption": _corruption,
+    "c07_chunks": lambda s, d: chunking.chunk(documents(s, d)).select("chunk_id", long("seq").alias("seq"), long("char_start").alias("char_start"), long("char_end").alias("char_end"), long("n_tokens").alias("n_tokens"), "split_method"),
+    "c08_naive": lambda s, d: chunking.naive_chunks(documents(s, d), Chunking(naive_tokens=64)).select("chunk_id", long("char_end").alias("char_end"), F.md5("text").alias("text_md5")),
+    "c09_retention": lambda s, d: chunking.retention(documents(s, d).dropDuplicates(["doc_id"]), chunking.chunk(documents(s, d).dropDuplicates(["doc_id"])), None, "source_type"),
+    "n02_entities": _entities,
+    "n04_importance": lambda s, d: chunk_texts(s, d).select("chunk_id", lx.importance(lx.entities(lexicon(s, d), "text")).alias("importance")),
+    "n06_vocabulary": lambda s, d: lx.vocabulary(lexicon(s, d), lexicon(s, d).limit(0), table(s, d, "build_corpus")),
+    "e06_dense_topk": lambda s, d: _dense(s, d).withColumn("rank", long("rank")),
+    "e06_label_purity": _purity,
+    "e07_counts": lambda s, d: store.count_by(table(s, d, "chunks").select("chunk_id", "split_method").distinct(), "split_method"),
+    "e08_manifest": lambda s, d: store.manifest(chunks(s, d)).select("n_docs", "n_chunks"),
+    "q10_rollup": lambda s, d: table(s, d, "documents").where("text is not null").rollup("source_type", "lang").agg(F.count("*").alias("n"), F.sum(long(tx.count_tokens("text"))).alias("tokens")),
+    "r01_term_statistics": lambda s, d: retrieval.term_statistics(chunk_texts(s, d)).withColumn("idf", F.round("idf", 6)),
+    "r02_bm25_topk": lambda s, d: retrieval.bm25_top_k(questions(s, d), chunk_texts(s, d)).withColumn("rank", long("rank")),
+    "r03_dense_topk": lambda s, d: retrieval.dense_top_k(questions(s, d), chunk_texts(s, d)).withColumn("rank", long("rank")),
+    "r04_fusion": lambda s, d: retrieval.candidates(questions(s, d), chunk_texts(s, d), "hybrid").withColumn("position", long("position")),
+    "r10_reranked": _reranked,
+    "r15_filtered": _filtered,
+    "r07_full": lambda s, d: retrieval.retrieve(questions(s, d), chunks(s, d), lexicon(s, d), "full").select("query_id", "chunk_id", long("rank").alias("rank"), "score"),
+    "l01_judged": _judged,
+    "l06_consistency": _consistency,
+    "a01_focus": lambda s, d: questions(s, d).select(F.col("query_id").alias("qid"), agent.focus_terms("text").alias("focus_terms")).withColumn("query_type", F.when(F.col("focus_terms") == "", "lookup").otherwise(F.split("focus_terms", " ")[0])),
+    "a02_initial_query": lambda s, d: questions(s, d).select(F.col("query_id").alias("qid"), agent.initial_query("text", agent.focus_terms("text")).alias("query")),
+    "a10_answers": _answers,
+    "m02_decay": lambda s, d: memory.latest_turns(table(s, d, "turns")).select("session", "turn", memory.effective_importance().alias("importance")),
+    "m03_window": lambda s, d: memory.window_turns(table(s, d, "turns")).groupBy("session").agg(F.count("*").alias("n_turns"), F.count_if("active").alias("n_active"), F.min(F.when(F.col("active"), F.col("turn"))).alias("first_active")),
+    "m04_replay": lambda s, d: memory.replay(table(s, d, "turns"), lexicon(s, d)).select("session", "turn", long("n_active").alias("n_active"), long("active_tokens").alias("active_tokens"), long("n_compressed").alias("n_compressed"), "summary"),
+    "m08_recent_entities": lambda s, d: memory.recent_entities(table(s, d, "turns"), 2, "assistant").select("session", "type", F.array_join("terms", "|").alias("terms")),
+    "m10_writes": lambda s, d: memory.write_all(memory.candidates(table(s, d, "turns"), lexicon(s, d)), lexicon(s, d)),
+    "m12_recall": lambda s, d: _recall(s, d).withColumn("rank", long("rank")),
+    "v01_bm25_metrics": lambda s, d: evaluation.mean_metrics(evaluation.retrieval_metrics(retrieval.bm25_top_k(questions(s, d), chunk_texts(s, d)), gold(s, d))),
+    "v01_dense_metrics": lambda s, d: evaluation.mean_metrics(evaluation.retrieval_metrics(retrieval.dense_top_k(questions(s, d), chunk_texts(s, d)), gold(s, d))),
+    "v09_relevancy": lambda s, d: table(s, d, "eval_items").select("qid", "question", "reference_answer").distinct().withColumn("e", lx.entity_texts(lx.entities(lexicon(s, d), "question"))).select("qid", evaluation.relevancy("question", "reference_answer", "e").alias("relevancy")),
+    "v12_records": lambda s, d: evaluation.records(chunks(s, d)).groupBy("record_key").agg(F.count("*").alias("n_chunks")),
+    "v14_items": lambda s, d: evaluation.build_items(evaluation.records(chunks(s, d)), lexicon(s, d)),
+    "v15_least_covered": lambda s, d: evaluation.least_covered(table(s, d, "eval_items").select("qid", "question").distinct(), chunk_texts(s, d), 30),
+    "v16_stratified": lambda s, d: sampling.stratified(table(s, d, "eval_items").select("qid", "item_type").distinct(), "qid", "item_type", 120, "unanswerable").select("qid", "item_type"),
+    "v17_type_counts": lambda s, d: table(s, d, "eval_items").select("qid", "item_type").distinct().groupBy("item_type").agg(F.count("*").alias("n")),
+    "v18_modes": _modes,
+    "v20_summary": _summary,
+    "v21_latency": lambda s, d: evaluation.latency(table(s, d, "events"), "value", ["event_type"]),
+    "k01_upsert": _upsert,
+    "s03_question_documents": lambda s, d: readers.questions_to_documents(table(s, d, "build_corpus").dropDuplicates(["id", "question", "answer"])).select("doc_id", "title", F.md5("text").alias("text_md5")),
+    "s17_selected_questions": lambda s, d: readers.selected_questions(table(s, d, "build_corpus"), "内科", 100).select("id", "score"),
+    "b01_supplement": _supplement,
+}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/chunks.parquet").groupBy("source_type").count()
+    """Hybrid retrieval, reranked and filtered, for every evaluation question."""
+    return QUERIES["r07_full"](spark, folder)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in QUERIES}

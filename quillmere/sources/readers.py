@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmere.functions import text as tx
+
 DOCUMENT = ["doc_id", "title", "text", "source_type", "source_path", "meta"]
 TEXTBOOK = "book string, source_type string, chapters array<struct<title:string,records:array<struct<term:string,fields:map<string,string>>>>>"
 QA = "id string, question string, answer string, label string, related_diseases string, score int"
@@ -92,7 +94,7 @@ def textbook_terms(spark: SparkSession, folder: str, kinds: dict[str, str]) -> D
 def questions_to_documents(rows: DataFrame, source_path: str | None = None) -> DataFrame:
     """Question records (id, question, answer, label, related_diseases, score) as documents.
     Records without an id, a question or an answer are left out: line numbers mean nothing on a cluster."""
-    q, a = F.trim("question"), F.trim("answer")
+    q, a = tx.strip(F.col("question")), tx.strip(F.col("answer"))
     title = F.concat(F.substring(q, 1, 24), F.when(F.length(q) > 24, "…").otherwise(""))
     meta = F.map_from_arrays(F.array(*map(F.lit, ["label", "related_diseases", "score", "question", "answer"])), F.array(F.coalesce("label", F.lit("")), F.coalesce("related_diseases", F.lit("")), F.coalesce(F.col("score").cast("string"), F.lit("0")), q, a))
     return rows.where("id is not null and question is not null and answer is not null").select(
