@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 # Placeholders, one code point each, so that positions stay true: a masked full stop, another
 # masked mark, an invisible character, the bracket of a list number, a closing mark that ends
 # a sentence.
-DOT, MARK, GONE, ITEM = (chr(0xE000 + k) for k in range(4))
+#: ... and an emoji, as look-behind can't see characters beyond the basic plane.
+DOT, MARK, GONE, ITEM, FACE = (chr(0xE000 + k) for k in range(5))
 #: ... of each kind of quotation mark and bracket, so that one kind doesn't close another.
 CUT_OF = {b: chr(0xE010 + k) for k, b in enumerate("”」』)\"")}
 CUT = "".join(CUT_OF.values())
@@ -35,7 +36,7 @@ INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A
 # Abbreviations whose full stop does not end a sentence.
 ANY_NEXT = (
     "Mr Mrs Ms Dr Prof Rev Hon St Mt Capt Col Gen Lt Gov Fig Figs Sect Sec Chap Vol Vols Eq Eqs Ref Refs approx cf vs viz eds esp resp incl excl ca est "
-    "ssp subsp var sp spp syn cv bzw vgl Abb Nr Tel Str Hr Fr evtl ggf inkl Kap Bd Aufl Hrsg Anm Mme Mlle env chap av apr boul janv févr avr juil sept oct nov déc ex "
+    "ssp subsp var sp spp syn cv bzw vgl Vgl Abb Nr Tel Str Hr Fr evtl ggf inkl Kap Bd Aufl Hrsg Anm Mme Mlle env chap av apr boul janv févr avr juil sept oct nov déc ex "
     "TS ThS GS PGS BS डॉ प्रो श्री"
 )
 NUMBER_NEXT = "No Nos no nos p pp Ch ch Art art Bl Nr S"
@@ -45,7 +46,7 @@ HAN = r"\x{2E80}-\x{2FDF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}"
 KANA = r"\x{3040}-\x{30FF}"
 THAI = r"\x{0E00}-\x{0E7F}"
 EMOJI = r"\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}"
-ENDS = "。！？!?।॥؟۔～~" + EMOJI
+ENDS = "。！？!?।॥؟۔～~" + FACE
 INNER = f"[.…{ENDS}]"
 CLOSERS = "”’」』)»】〗"
 LETTER = r"\p{L}\p{M}"
@@ -119,7 +120,7 @@ def _spaces(t: Column) -> Column:
 #: The masks in their order; each is a projection of its own, so none is computed twice.
 STEPS = [
     lambda t: F.translate(t, SPACES + LIKE_FROM + WIDE_FROM, " " * len(SPACES) + LIKE_TO + WIDE_TO),
-    lambda t: _to(t, INVISIBLE, GONE),
+    lambda t: _to(_to(t, INVISIBLE, GONE), f"[{EMOJI}]", FACE),
     lambda t: _to(_to(t, r"^(\s*\d{1,3})[)]", "$1" + ITEM), r"(?<=[。！？；;:：])( *\d{1,3})[)]", "$1" + ITEM),
     lambda t: _to(t, r"(?<=\d)[～~](?=\d)", MARK),
     lambda t: F.when(t.rlike(r"://|www\."), _to(t, r"(?<=(?:://|www\.)[^\s。！？，；”」)]{0,300})[.!?~](?=[^\s。！？，；”」)])", MARK)).otherwise(t),
