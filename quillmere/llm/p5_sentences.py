@@ -120,7 +120,8 @@ def _spaces(t: Column) -> Column:
 #: The masks in their order; each is a projection of its own, so none is computed twice.
 STEPS = [
     lambda t: F.translate(t, SPACES + LIKE_FROM + WIDE_FROM, " " * len(SPACES) + LIKE_TO + WIDE_TO),
-    lambda t: _to(_to(t, INVISIBLE, GONE), f"[{EMOJI}]", FACE),
+    # An emoji ends what stands before it; at the start of a line there is nothing yet.
+    lambda t: _to(_to(_to(t, INVISIBLE, GONE), f"[{EMOJI}]", FACE), rf"^(\s*){FACE}", "$1" + MARK),
     lambda t: _to(_to(t, r"^(\s*\d{1,3})[)]", "$1" + ITEM), r"(?<=[。！？；;:：])( *\d{1,3})[)]", "$1" + ITEM),
     lambda t: _to(t, r"(?<=\d)[～~](?=\d)", MARK),
     lambda t: F.when(t.rlike(r"://|www\."), _to(t, r"(?<=(?:://|www\.)[^\s。！？，；”」)]{0,300})[.!?~](?=[^\s。！？，；”」)])", MARK)).otherwise(t),
