@@ -67,12 +67,12 @@ def _numbers_and_words(t: Column) -> Column:
     t = _to(t, rf"(?<=\d)[.](?=\d)|(?<=\b\d{{1,2}})[.](?= (?:{MONTHS})\b)", DOT)
     # Single letters in a chain, then the end of the chain, then a lone initial.
     t = _to(t, rf"(?<![{LETTER}\d])(\p{{L}}\p{{M}}{{0,2}})[.](?= ?\p{{L}}\p{{M}}{{0,2}}[.])", "$1" + DOT)
-    t = _to(t, rf"(?<={DOT} ?\p{{L}})[.](?= ?[\p{{Ll}}\d,;)(])", DOT)
+    t = _to(t, rf"(?<={DOT} ?\p{{L}})[.](?= ?[\p{{Ll}}\p{{N}},;)(])", DOT)
     t = _to(t, rf"(?<![{LETTER}\d])(\p{{Lu}})[.](?=\s*\S)", "$1" + DOT)
     t = _to(t, r"(?<![\p{L}\p{M}\d])([\x{0600}-\x{06FF}])[.](?= \p{L})", "$1" + DOT)
     t = _to(t, rf"(?<![{LETTER}])({ANY_NEXT.replace(' ', '|')})[.](?=\s*\S)", "$1" + DOT)
     t = _to(t, rf"(?<![{LETTER}])({NUMBER_NEXT.replace(' ', '|')})[.](?= ?\d)", "$1" + DOT)
-    t = _to(t, r"(?<=\bet al)[.](?=\s*\S)|(?<=\bp)[.](?= ex)|(?<=[\p{L}\p{N}])[.](?=[A-Za-z\d])", DOT)
+    t = _to(t, r"(?<=\bet al)[.](?=\s*\S)|(?<=\bp)[.](?= ex)|(?<=[\p{L}\p{N}])[.](?=[a-z\d])|(?<=[\p{Lu}\p{N}])[.](?=[A-Z])", DOT)
     # An ellipsis with more of the line behind it ends nothing.
     t = _to(t, r"[.](?=[.])", MARK)
     return _to(t, rf"(?<={MARK})[.](?= *\S)", MARK)
@@ -137,7 +137,7 @@ STEPS = [
 #: Where a masked line is split.
 SPLIT = (
     f"(?<=[{ENDS}{CUT}])(?!{GONE}*[.…{ENDS}{CUT}{CLOSERS}])"
-    rf"|(?<=[.])(?!{GONE}*[.…{ENDS}{CUT}{CLOSERS}\p{{L}}\p{{N}}，,;:：；、])"
+    rf"|(?<=[.])(?!{GONE}*[.…{ENDS}{CUT}{CLOSERS}\p{{Ll}}\p{{Lo}}\p{{N}}，,;:：；、])"
     rf"|(?<=[.])(?=[{HAN}{KANA}])"
     f"|(?<=[.{ENDS}][{CLOSERS}])(?![.…{ENDS}{CUT}{CLOSERS}，,、；;：:])"
     r"|(?<=\n)"
