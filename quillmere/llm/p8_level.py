@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.language import language
 from quillmere.llm.p1_unify import look_of
+from quillmere.session import cut
 
 LEVELS = 4
 
@@ -182,7 +183,7 @@ def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _lists_from(counted: DataFrame, least: float, s: Settings) -> dict[str, Lists]:
     """Lists of each language; only words that reach the least share at some level leave the cluster."""
-    wide = counted.groupBy("lang", "word").agg(*[F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0.0)).alias(f"n{k + 1}") for k in range(LEVELS)])
+    wide = cut(counted.groupBy("lang", "word").agg(*[F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0.0)).alias(f"n{k + 1}") for k in range(LEVELS)]))
     heads = {(r["lang"], r["word"]): np.array([r[f"n{k}"] for k in range(1, LEVELS + 1)]) for r in wide.where("word in (0, -1)").collect()}
     lists = {}
     for lang in LANGS:
