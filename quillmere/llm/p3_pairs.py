@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.language import language
 from quillmere.llm.p1_unify import look_of
+from quillmere.session import cut
 
 
 @dataclass(frozen=True)
@@ -343,7 +344,8 @@ def defects(df: DataFrame, lexicon: DataFrame | None = None, s: Settings | None
     alike = spark.sparkContext.broadcast(_Lazy(terms))
     rows = df.select("id", F.col("question").cast("string").alias("question"), F.col("answer").cast("string").alias("answer")).where("id is not null")
     kind = dict(rows.dtypes)["id"]
-    first = rows.mapInPandas(_first_pass(s, alike), f"id {kind}, defect string, tail array<long>")
+    # Few rows are left; both branches below read them.
+    first = cut(rows.mapInPandas(_first_pass(s, alike), f"id {kind}, defect string, tail array<long>").where("defect is not null or size(tail) > 0"))
     flagged = first.where("defect is not null").select("id", "defect")
     tails = first.where("defect is null and size(tail) > 0").select("id", F.posexplode("tail").alias("n", "context"))
     endings = rows.select("answer").mapInPandas(_endings(s, alike), "context long, seen long, ended long").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
