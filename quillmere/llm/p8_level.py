@@ -34,7 +34,7 @@ LEVELS = 4
 @dataclass(frozen=True)
 class Settings:
     #: A word is familiar at a level if its share there is at least this part of its largest share.
-    lift: float = 0.4
+    lift: float = 0.55
     least_share_documents: float = 0.02
     least_share_sentences: float = 0.0005
     #: Weight of the length term, and the share of unfamiliar words from which a sentence has no level.

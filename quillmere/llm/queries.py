@@ -73,5 +73,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each, "p6_found": p6_found, "p7_mix": p7_selection, "p7_report": p7_report, "p8_found": p8_found}
 
 
+#: Neighbours by comparing all vectors with each other, for the tables of tests.
+ALL_NEIGHBOURS = """
+WITH v AS (SELECT DISTINCT id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM memories WHERE id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 128
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v),
+k AS (SELECT a.id AS q, b.id AS n FROM u a JOIN u b ON a.id <> b.id QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.u, b.u), 10) DESC, b.id) <= 5)
+SELECT DISTINCT least(q, n) AS id_a, greatest(q, n) AS id_b FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": ALL_NEIGHBOURS}
