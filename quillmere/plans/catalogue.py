@@ -151,6 +151,48 @@ def _corruption(s, d):
     return j.groupBy("source_type").agg(F.round(F.avg(tx.noise_score("corrupted")), 4).alias("noise"), F.round(F.avg(tx.char_accuracy("text", "corrupted")), 4).alias("raw_accuracy"), F.round(F.avg(tx.char_accuracy("text", "clean")), 4).alias("clean_accuracy"))
 
 
+def _signals(s, d):
+    q = questions(s, d).withColumn("entities", lx.entity_texts(lx.entities(lexicon(s, d), "text")))
+    pool = retrieval.bm25_top_k(questions(s, d), chunk_texts(s, d), 8).select("query_id", "chunk_id", F.round(F.col("score") / (F.col("score") + 10), 6).alias("score"))
+    return agent.signals(q, pool, chunks(s, d), lexicon(s, d)).select("query_id", "coverage", "token_overlap", "bigram_coverage", "relevance", "top_score", "n_evidence")
+
+
+def _decisions(s, d):
+    from quillmere.config import Agent
+
+    rows = [(r, c / 20, k / 10, n) for r in (1, 2, 3) for c in range(0, 21, 2) for k in range(0, 11, 2) for n in (0, 1)]
+    grid = s.createDataFrame(rows, "round int, confidence double, consistency double, n int").withColumn("conflicts", F.array_repeat(F.lit("x"), F.col("n")))
+    told = F.coalesce(*[F.when(F.col("round") == r, agent.decision(r, Agent())) for r in (1, 2, 3)])
+    return grid.select("round", "confidence", "consistency", "n", told.alias("decision"))
+
+
+def _static_reasons(s, d):
+    from quillmere.config import EvidenceFilter
+
+    j = _reranked(s, d).join(chunks(s, d).select("chunk_id", "text", F.coalesce("ocr_noise", F.lit(0.0)).alias("noise")), "chunk_id")
+    why = F.coalesce(retrieval.static_reason(F.col("score"), F.col("noise"), F.col("text"), EvidenceFilter()), F.lit("none"))
+    return j.groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _types(s, d):
+    e = chunk_texts(s, d).withColumn("e", lx.entities(lexicon(s, d), "text"))
+    return e.select("chunk_id", F.explode(lx.by_type(F.col("e"))).alias("type", "terms")).select("chunk_id", "type", long(F.size("terms")).alias("n_terms"))
+
+
+def _vectors(s, d):
+    v = embedding.encode(chunk_texts(s, d), "text")
+    return v.select("chunk_id", long(F.size(F.filter("embedding", lambda x: x > 0))).alias("n_buckets"), F.round(F.array_max("embedding"), 6).alias("largest"))
+
+
+def _sections(s, d):
+    c = chunking.sections(documents(s, d).dropDuplicates(["doc_id"]))
+    return c.select("doc_id", F.array_join("path", ">").alias("path"), F.md5(tx.squeeze("content")).alias("content_md5"))
+
+
+def _context_blocks(s, d):
+    return memory.context_lines(_recall(s, d), memory.latest_records(table(s, d, "memories")))
+
+
 def _modes(s, d):
     c, out = chunks(s, d), None
     for mode in retrieval.MODES:
@@ -176,12 +218,15 @@ QUERIES: dict[str, Query] = {
     "t27_numbers": _numbers,
     "t29_negated": _negated,
     "t31_corruption": _corruption,
+    "c01_sections": _sections,
     "c07_chunks": lambda s, d: chunking.chunk(documents(s, d)).select("chunk_id", long("seq").alias("seq"), long("char_start").alias("char_start"), long("char_end").alias("char_end"), long("n_tokens").alias("n_tokens"), "split_method"),
     "c08_naive": lambda s, d: chunking.naive_chunks(documents(s, d), Chunking(naive_tokens=64)).select("chunk_id", long("char_end").alias("char_end"), F.md5("text").alias("text_md5")),
     "c09_retention": lambda s, d: chunking.retention(documents(s, d).dropDuplicates(["doc_id"]), chunking.chunk(documents(s, d).dropDuplicates(["doc_id"])), None, "source_type"),
     "n02_entities": _entities,
+    "n03_types": _types,
     "n04_importance": lambda s, d: chunk_texts(s, d).select("chunk_id", lx.importance(lx.entities(lexicon(s, d), "text")).alias("importance")),
     "n06_vocabulary": lambda s, d: lx.vocabulary(lexicon(s, d), lexicon(s, d).limit(0), table(s, d, "build_corpus")),
+    "e03_hash_vectors": _vectors,
     "e06_dense_topk": lambda s, d: _dense(s, d).withColumn("rank", long("rank")),
     "e06_label_purity": _purity,
     "e07_counts": lambda s, d: store.count_by(table(s, d, "chunks").select("chunk_id", "split_method").distinct(), "split_method"),
@@ -193,11 +238,14 @@ QUERIES: dict[str, Query] = {
     "r04_fusion": lambda s, d: retrieval.candidates(questions(s, d), chunk_texts(s, d), "hybrid").withColumn("position", long("position")),
     "r10_reranked": _reranked,
     "r15_filtered": _filtered,
+    "r15_static_reasons": _static_reasons,
     "r07_full": lambda s, d: retrieval.retrieve(questions(s, d), chunks(s, d), lexicon(s, d), "full").select("query_id", "chunk_id", long("rank").alias("rank"), "score"),
     "l01_judged": _judged,
     "l06_consistency": _consistency,
     "a01_focus": lambda s, d: questions(s, d).select(F.col("query_id").alias("qid"), agent.focus_terms("text").alias("focus_terms")).withColumn("query_type", F.when(F.col("focus_terms") == "", "lookup").otherwise(F.split("focus_terms", " ")[0])),
     "a02_initial_query": lambda s, d: questions(s, d).select(F.col("query_id").alias("qid"), agent.initial_query("text", agent.focus_terms("text")).alias("query")),
+    "a08_signals": _signals,
+    "a09_decisions": _decisions,
     "a10_answers": _answers,
     "m02_decay": lambda s, d: memory.latest_turns(table(s, d, "turns")).select("session", "turn", memory.effective_importance().alias("importance")),
     "m03_window": lambda s, d: memory.window_turns(table(s, d, "turns")).groupBy("session").agg(F.count("*").alias("n_turns"), F.count_if("active").alias("n_active"), F.min(F.when(F.col("active"), F.col("turn"))).alias("first_active")),
@@ -205,6 +253,8 @@ QUERIES: dict[str, Query] = {
     "m08_recent_entities": lambda s, d: memory.recent_entities(table(s, d, "turns"), 2, "assistant").select("session", "type", F.array_join("terms", "|").alias("terms")),
     "m10_writes": lambda s, d: memory.write_all(memory.candidates(table(s, d, "turns"), lexicon(s, d)), lexicon(s, d)),
     "m12_recall": lambda s, d: _recall(s, d).withColumn("rank", long("rank")),
+    "m13_context": _context_blocks,
+    "h22_round_robin": lambda s, d: sampling.round_robin(table(s, d, "eval_items").select("qid", "item_type").distinct(), "qid", "item_type", 48),
     "v01_bm25_metrics": lambda s, d: evaluation.mean_metrics(evaluation.retrieval_metrics(retrieval.bm25_top_k(questions(s, d), chunk_texts(s, d)), gold(s, d))),
     "v01_dense_metrics": lambda s, d: evaluation.mean_metrics(evaluation.retrieval_metrics(retrieval.dense_top_k(questions(s, d), chunk_texts(s, d)), gold(s, d))),
     "v09_relevancy": lambda s, d: table(s, d, "eval_items").select("qid", "question", "reference_answer").distinct().withColumn("e", lx.entity_texts(lx.entities(lexicon(s, d), "question"))).select("qid", evaluation.relevancy("question", "reference_answer", "e").alias("relevancy")),

@@ -139,8 +139,31 @@ def focus_case(x: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({x}, '{'|'.join(w.split())}') THEN '{f}'" for w, f in FOCUS) + " ELSE '' END"
 
 
+def heading_state(levels=range(1, 7)) -> str:
+    reset = lambda n: f"CASE WHEN level = {n} THEN head WHEN level < {n} THEN '' END"
+    return ", ".join(f"last_value({reset(n)} IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k) AS h{n}" for n in levels)
+
+
+KEYWORDS, AHEAD = ["失眠", "头痛", "咳嗽", "盗汗", "饮食", "泡水", "加重", "调理"], ["泡水", "饮食"]
+KEYWORD_ORDER = "CASE keyword " + " ".join(f"WHEN '{w}' THEN {[*AHEAD, *KEYWORDS].index(w) + 1}" for w in KEYWORDS) + " END"
 CONF = ocr.CONFUSABLE.split()
 ORACLES = {
+    "c01_sections": f"""WITH d AS (SELECT doc_id, any_value(title) AS title, any_value(text) AS text FROM source_documents WHERE text IS NOT NULL GROUP BY doc_id),
+l AS (SELECT doc_id, title, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM d),
+m AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN length(regexp_extract(line, '^(#+)', 1)) END AS level, {strip("regexp_replace(line, '^#+', '')")} AS head FROM l),
+s AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY k) AS section, {heading_state()} FROM m),
+g AS (SELECT doc_id, section, any_value(title) AS title, list_filter([any_value(h1), any_value(h2), any_value(h3), any_value(h4), any_value(h5), any_value(h6)], lambda h: h IS NOT NULL AND h <> '') AS path, {squeeze("coalesce(string_agg(line, '' ORDER BY k), '')")} AS content FROM s WHERE level IS NULL GROUP BY doc_id, section)
+SELECT doc_id, CASE WHEN len(path) = 0 THEN coalesce(title, '') ELSE array_to_string(path, '>') END AS path, md5(content) AS content_md5 FROM g WHERE content <> ''""",
+    "n03_types": f"WITH {TERMS}, c AS (SELECT chunk_id, unnest({entities('text')}) AS term FROM ({CHUNK_TEXTS})) SELECT chunk_id, type, count(*) AS n_terms FROM c JOIN terms USING (term) GROUP BY ALL",
+    "e03_hash_vectors": f"WITH v AS (SELECT * FROM {grams(CHUNK_TEXTS, 'chunk_id')}) SELECT chunk_id, count(*) AS n_buckets, round(max(w), 6) AS largest FROM v GROUP BY 1",
+    "h22_round_robin": "WITH i AS (SELECT DISTINCT qid, item_type FROM eval_items), r AS (SELECT *, row_number() OVER (PARTITION BY item_type ORDER BY md5('42#' || qid), qid) AS r FROM i) SELECT qid, item_type FROM r ORDER BY r, item_type LIMIT 48",
+    "a09_decisions": """WITH g AS (SELECT r AS round, c / 20.0::DOUBLE AS confidence, k / 10.0::DOUBLE AS consistency, n FROM (VALUES (1), (2), (3)) AS a(r), (SELECT unnest(range(0, 21, 2)) AS c), (SELECT unnest(range(0, 11, 2)) AS k), (VALUES (0), (1)) AS b(n))
+SELECT round, confidence, consistency, n, CASE WHEN confidence >= 0.45 AND consistency >= 0.5 THEN 'finish' WHEN n > 0 AND round < 3 THEN 'resolve_conflict' WHEN round < 3 AND confidence < 0.45 THEN 'refine_search' WHEN confidence < 0.33 THEN 'refuse' ELSE 'finish' END AS decision FROM g""",
+    "b01_supplement": f"""WITH p AS (SELECT * FROM build_corpus WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id) = 1), f AS (SELECT * FROM p WHERE id NOT IN (SELECT id FROM build_corpus WHERE label = '中医科' AND id IS NOT NULL) AND score >= 3 AND length(trim(question, ' ')) >= 8 AND length(trim(answer, ' ')) >= 40),
+h AS (SELECT *, CASE {' '.join(f"WHEN contains(question || chr(10) || answer, '{w}') THEN '{w}'" for w in KEYWORDS)} END AS keyword FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY score DESC, md5('42#' || id), id) AS r FROM h WHERE keyword IS NOT NULL),
+o AS (SELECT *, CASE WHEN keyword IN ({quoted(AHEAD)}) AND r <= 40 THEN 0 WHEN score > 3 THEN 1 ELSE 2 END AS phase, {KEYWORD_ORDER} AS place FROM r)
+SELECT id, keyword, phase::BIGINT AS phase FROM o ORDER BY phase, CASE WHEN phase = 0 THEN place ELSE r END, CASE WHEN phase = 0 THEN r ELSE place END, id LIMIT 300""",
+
     "t01_token_counts": f"SELECT chunk_id, {token_count('text')} AS n_tokens FROM ({CHUNK_TEXTS})",
     "t02_truncated": f"""WITH c AS ({CHUNK_TEXTS}), k AS (SELECT chunk_id, text, unnest(range(0, length(text) + 1)) AS k FROM c)
 SELECT chunk_id, max(k)::BIGINT AS n_chars FROM k WHERE {token_count('substr(text, 1, k)')} <= 64 GROUP BY chunk_id""",
@@ -222,3 +245,14 @@ SELECT 'qa_' || id AS doc_id, title, md5('# 医案问答：' || title || chr(10)
     "s17_selected_questions": "WITH r AS (SELECT id, question, answer, score FROM build_corpus WHERE label = '内科' AND score >= 4 AND length(trim(answer)) >= 60 AND length(trim(question)) >= 8 QUALIFY row_number() OVER (PARTITION BY id) = 1) SELECT id, score FROM r ORDER BY md5('42#' || id), id LIMIT 100",
     "v12_records": "WITH c AS (SELECT DISTINCT chunk_id, doc_id, source_type, title_path FROM chunks) SELECT CASE WHEN source_type = 'qa' THEN doc_id ELSE concat_ws('|', doc_id, array_to_string(coalesce(title_path, []), '>')) END AS record_key, count(*) AS n_chunks FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST) = 1) GROUP BY 1",
 }
+ORACLES["r15_static_reasons"] = (
+    ORACLES["r10_reranked"].replace("\nSELECT query_id, chunk_id, round(", ",\nscored_ AS (SELECT query_id, chunk_id, round(")
+    + f"""), j AS (SELECT score, noise, length({squeeze('text')}) AS n FROM scored_ JOIN cc USING (chunk_id))
+SELECT CASE WHEN n < 24 THEN 'too_short' WHEN noise > 0.18 THEN 'ocr_noise' WHEN score < 0.3 THEN 'low_relevance' ELSE 'none' END AS reason, count(*) AS n FROM j GROUP BY 1"""
+)
+ORACLES["a08_signals"] = f"""WITH {BM25_RANKED}, {TERMS}, pool AS (SELECT query_id, chunk_id, round(score / (score + 10), 6) AS score FROM bm25 WHERE rank <= 8),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM pool QUALIFY place <= 5),
+ev AS (SELECT query_id, string_agg(text, ' ' ORDER BY place) AS ev, max(score) AS top_score FROM top JOIN ({CHUNK_TEXTS}) USING (chunk_id) GROUP BY 1), n AS (SELECT query_id, count(*) AS n_evidence FROM pool GROUP BY 1),
+q AS (SELECT query_id, {entities('text')} AS e, list_distinct(list_filter({tokens('text')}, lambda t: length(t) >= 2)) AS w, {bigrams('text')} AS b FROM ({QUERIES})),
+j AS (SELECT query_id, e, coalesce(top_score, 0) AS top_score, coalesce(n_evidence, 0) AS n_evidence, CASE WHEN len(e) > 0 THEN len(list_filter(e, lambda t: contains(ev, t))) / len(e) ELSE 0.0 END AS c, {coverage('w', tokens('ev'))} AS t, {coverage('b', bigrams('ev'))} AS bc FROM q LEFT JOIN ev USING (query_id) LEFT JOIN n USING (query_id))
+SELECT query_id, round(c, 4) AS coverage, round(t, 4) AS token_overlap, round(bc, 4) AS bigram_coverage, round(CASE WHEN len(e) > 0 THEN 0.5::DOUBLE * c + 0.25::DOUBLE * t + 0.25::DOUBLE * bc ELSE greatest(t, bc) END, 4) AS relevance, round(top_score, 4) AS top_score, n_evidence FROM j"""
