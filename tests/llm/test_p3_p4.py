@@ -46,7 +46,7 @@ def vocabulary():
     import numpy as np
 
     words = {w: 500 for w in "decoctions based on pattern digestive function concentration dependent radix cortex should the of and".split()}
-    return p4.Vocabulary(words, frozenset({"医案"}), (np.empty(0, np.int64),) * 2, (np.empty(0, np.int64),) * 2, 25.0, Simplifier({}))
+    return p4.Vocabulary(words, frozenset({"医案"}), (np.empty(0, np.int64),) * 2, (np.empty(0, np.int64),) * 2, 25.0, 5.0, Simplifier({}))
 
 
 def test_trie_finds_all_within_one_edit():
