@@ -40,6 +40,9 @@ class Settings:
     #: Weight of the length term, and the share of unfamiliar words from which a sentence has no level.
     length_weight: float = 0.04
     unrated: float = 0.8
+    #: The first lists are fitted on at most so many labelled documents, drawn by hash; bounds what is broadcast.
+    max_labels: int = 50_000
+    seed: int = 5
 
 
 TAG = re.compile(r"<[^<>]{0,60}>|&[a-z]{2,8};")
@@ -216,7 +219,9 @@ def levels(documents: DataFrame, labels: DataFrame, s: Settings | None = None) -
     by_level = votes.groupBy("doc_id", "level").agg(F.count("*").alias("n"))
     best = by_level.groupBy("doc_id").agg(F.max("n").alias("n"))
     agreed = by_level.join(best, ["doc_id", "n"]).groupBy("doc_id").agg(F.floor(F.avg("level")).cast("int").alias("level"))
-    first = _lists_from(rows.join(agreed, "doc_id").select("level", "text").mapInPandas(_labelled, COUNTED), s.least_share_documents, s)
+    # A bounded sample, so the texts needn't be shuffled to meet their labels.
+    agreed = agreed.orderBy(F.xxhash64(F.lit(s.seed), "doc_id"), "doc_id").limit(s.max_labels)
+    first = _lists_from(rows.join(F.broadcast(agreed), "doc_id").select("level", "text").mapInPandas(_labelled, COUNTED), s.least_share_documents, s)
     if not first:
         return spark.createDataFrame([], f"doc_id {kind}, reading_level int")
     rough = spark.sparkContext.broadcast(first)
