@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmere.config import Agent, Config
 from quillmere.functions import text as tx
 from quillmere.operators import lexicon as lx
-from quillmere.operators import nli
+from quillmere.operators import memory, nli
 from quillmere.operators.embedding import Encoder
 from quillmere.operators.retrieval import retrieve
 from quillmere.session import cut
@@ -237,3 +237,23 @@ def fallback(done: DataFrame, generate) -> DataFrame:
         return pd.Series(generate(list(q)))
 
     return done.withColumn("general_answer", F.when(F.col("refused"), general("question")))
+
+
+def memory_effect(turns: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """What memory adds to follow-up questions: kind (points_back, names_nothing, direct), n,
+    completed (share that gets terms of the talk) and hit (share whose terms, with memory, are
+    among those of the next assistant turn) beside hit_without.
+
+    turns: session, turn, role, text, entities. Each user turn sees only turns before it.
+    """
+    order = Window.partitionBy("session").orderBy("turn")
+    before, empty = order.rowsBetween(Window.unboundedPreceding, -1), F.array().cast("array<string>")
+    told = memory.latest_turns(turns)
+    last = lambda role: F.last(F.when(F.col("role") == role, F.col("entities")), ignorenulls=True).over(before)
+    told = told.withColumns({"assistant": last("assistant"), "user": last("user"), "next_role": F.lead("role").over(order), "next_terms": F.lead("entities").over(order)})
+    asked = told.where("role = 'user' and next_role = 'assistant' and text is not null").withColumn("query_id", F.concat_ws("#", "session", "turn"))
+    asked = asked.withColumn("entities", lx.entity_texts(lx.entities(lexicon, "text"))).withColumn("answered", F.coalesce(F.flatten(F.map_values("next_terms")), empty))
+    done = resolve_anaphora(asked.select("query_id", "text", "entities", "answered"), asked.select("query_id", "assistant", "user"))
+    kind = F.when(F.col("text").rlike("|".join(ANAPHORA)), "points_back").when(F.size("entities") == 0, "names_nothing").otherwise("direct")
+    share = lambda terms: F.round(F.avg(F.arrays_overlap(terms, F.col("answered")).cast("double")), 4)
+    return done.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg((F.size("added") > 0).cast("double")), 4).alias("completed"), share(F.concat("entities", "added")).alias("hit"), share(F.col("entities")).alias("hit_without"))

@@ -20,7 +20,6 @@ from quillmere.functions.text import python_tokens
 from quillmere.operators import lexicon as lx
 from quillmere.operators import nli
 from quillmere.operators.embedding import Encoder, create_encoder
-from quillmere.operators.lexicon import Matcher
 
 SENTENCE_ENDS = "。！？；!?;\n"
 

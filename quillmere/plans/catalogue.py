@@ -265,6 +265,7 @@ QUERIES: dict[str, Query] = {
     "v17_type_counts": lambda s, d: table(s, d, "eval_items").select("qid", "item_type").distinct().groupBy("item_type").agg(F.count("*").alias("n")),
     "v18_modes": _modes,
     "v20_summary": _summary,
+    "v22_memory_effect": lambda s, d: agent.memory_effect(table(s, d, "turns"), lexicon(s, d)),
     "v21_latency": lambda s, d: evaluation.latency(table(s, d, "events"), "value", ["event_type"]),
     "k01_upsert": _upsert,
     "s03_question_documents": lambda s, d: readers.questions_to_documents(table(s, d, "build_corpus").dropDuplicates(["id", "question", "answer"])).select("doc_id", "title", F.md5("text").alias("text_md5")),

@@ -220,3 +220,10 @@ def test_store(spark):
     assert {r["chunk_id"]: r["text"] for r in store.latest(a).collect()} == {"x": "t2", "y": "t3"}
     new = spark.createDataFrame([("y", 9, "new")], "chunk_id string, indexed_at int, text string")
     assert {r["chunk_id"]: r["text"] for r in store.upsert(store.latest(a), new).collect()} == {"x": "t2", "y": "new"}
+
+
+def test_what_memory_adds(spark, lexicon):
+    rows = [("s", 0, "user", "感冒怎么办", {"disease": ["感冒"]}), ("s", 1, "assistant", "可用黄芪汤", {"formula": ["黄芪汤"]}), ("s", 2, "user", "它怎么用？", None), ("s", 3, "assistant", "黄芪汤先煎", {"formula": ["黄芪汤"]})]
+    turns = spark.createDataFrame(rows, "session string, turn int, role string, text string, entities map<string,array<string>>").withColumn("received_at", F.lit(None).cast("timestamp"))
+    got = {r["kind"]: r for r in agent.memory_effect(turns, lexicon).collect()}
+    assert got["points_back"]["hit"] == 1.0 and got["points_back"]["hit_without"] == 0.0 and got["direct"]["completed"] == 0.0
