@@ -1,9 +1,10 @@
 """Problem 6: evaluation texts that leak into training texts.
 
-Method: n-grams of the test items seed the search; document frequencies over the whole corpus
-tell the rare ones. A document and an item that share a rare seed and, near one diagonal, as
-many seeds as a copy with few edits must keep (q-gram lemma) are aligned by Smith-Waterman; the
-alignment decides.
+Method: n-grams of the test items seed the search. A document and an item that share, near one
+diagonal, as many seeds as a copy with few edits must keep (q-gram lemma) are aligned by
+Smith-Waterman; the alignment decides. Document frequencies over the whole corpus order the
+places of a document, those with the rarest seed first; they rule none out, as copies of a
+leaked passage make its own seeds frequent.
 
 Both sides are compared by letters and digits only, after unification of width, case and
 look-alikes and with traditional characters simplified. A question leaks if all of it is found
@@ -35,9 +36,6 @@ class Settings:
     #: Seed length for items mainly in Chinese, Japanese or Korean, and for others.
     dense_seed: int = 7
     sparse_seed: int = 16
-    #: A seed is rare if it occurs in at most this share of the documents, or in so many.
-    rare_share: float = 0.002
-    rare_least: int = 20
     block_items: int = 5000
     batch_chars: int = 2_000_000
 
@@ -78,7 +76,8 @@ class Index:
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     need: list[int] = field(default_factory=list)
     length: list[int] = field(default_factory=list)
-    rare: dict[int, np.ndarray] = field(default_factory=dict)
+    #: Number of documents that hold each seed.
+    frequency: dict[int, np.ndarray] = field(default_factory=dict)
     lists: dict[int, np.ndarray] = field(default_factory=dict)
 
 
@@ -111,7 +110,7 @@ def build(items: list[tuple[str, str | None, str | None]], simple: Simplifier, s
         seeds, starts = np.unique(hashes[order], return_index=True)
         ix.by_length[n] = (seeds, np.append(starts, len(hashes)), pattern[order], offset[order])
         ix.lists[n] = _sieve(seeds)
-        ix.rare[n] = np.ones(len(seeds), bool)
+        ix.frequency[n] = np.zeros(len(seeds), np.int64)
     return ix
 
 
@@ -193,15 +192,19 @@ def leaked(codes: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]], ix
         flat = np.repeat(starts[seed], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
         place = np.repeat(where, counts)
         pattern, offset = pattern_of[flat], offset_of[flat]
-        rare = np.repeat(ix.rare[n][seed], counts)
+        frequency = np.repeat(ix.frequency[n][seed], counts)
         order = np.lexsort((place - offset, pattern))
-        pattern, place, offset, rare = pattern[order], place[order], offset[order], rare[order]
+        pattern, place, offset, frequency = pattern[order], place[order], offset[order], frequency[order]
         diagonal = place - offset
         # Groups of one pattern whose neighbouring diagonals differ by few edits.
         breaks = np.flatnonzero((np.diff(pattern) != 0) | (np.diff(diagonal) > s.edits)) + 1
-        for a, b in zip(np.concatenate(([0], breaks)), np.concatenate((breaks, [len(pattern)])), strict=True):
+        first, last = np.concatenate(([0], breaks)), np.concatenate((breaks, [len(pattern)]))
+        enough = np.flatnonzero(last - first >= np.array(ix.need)[pattern[first]])
+        rarest = np.minimum.reduceat(frequency, first)[enough]
+        ordered = enough[np.argsort(rarest, kind="stable")]
+        for a, b in zip(first[ordered], last[ordered], strict=True):
             p = int(pattern[a])
-            if b - a < ix.need[p] or ix.owner[p] in found or not rare[a:b].any():
+            if ix.owner[p] in found:
                 continue
             lo = max(0, int(place[a:b].min()) - int(offset[a:b].max()) - 2 * s.edits - n)
             hi = min(len(codes), int(place[a:b].max()) + len(ix.patterns[p]) + n + 2 * s.edits)
@@ -238,7 +241,6 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("key is not null and text is not null")
     given = items.select("qid", "question", "reference_answer").where("qid is not null").distinct().orderBy("qid", "question", "reference_answer")
     total = given.count()
-    n_documents = rows.count() if total else 0
     out = spark.createDataFrame([], f"{key} {kind}, qid string")
     for start in range(0, total, s.block_items):
         block = [tuple(r) for r in given.offset(start).limit(s.block_items).collect()]
@@ -258,8 +260,7 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
         # No more rows than the block has seeds.
         for r in rows.mapInPandas(frequencies, "n int, seed long, df long").groupBy("n", "seed").agg(F.sum("df").alias("df")).collect():
-            if r["df"] > max(s.rare_least, s.rare_share * n_documents):
-                ix.rare[r["n"]][r["seed"]] = False
+            ix.frequency[r["n"]][r["seed"]] = r["df"]
         marked = spark.sparkContext.broadcast((ix, simple))
 
         def search(batches: Iterator[pd.DataFrame], marked=marked) -> Iterator[pd.DataFrame]:

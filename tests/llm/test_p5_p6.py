@@ -87,6 +87,13 @@ def test_leaks(spark, items):
     assert small == 5
 
 
+def test_leaks_that_are_copied_often(spark, items):
+    q1, a1 = items.where("qid = 'q1'").select("question", "reference_answer").first()
+    docs = [(k, f"第{k}篇。" + (q1 if k % 2 else a1[:32])) for k in range(300)]
+    df = spark.createDataFrame([*docs, (300, "无关的文字。")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in p6.leaks(df, items).where("qid = 'q1'").collect()) == list(range(300))
+
+
 def test_random_leaks_against_a_plain_search():
     rng = np.random.default_rng(1)
     simple = Simplifier({})
