@@ -75,3 +75,14 @@ def test_neighbours_against_brute_force(spark):
     assert p2.neighbours(df.limit(0), s=s).count() == 0
     two = spark.createDataFrame(rows[:2], "id string, embedding array<float>")
     assert p2.pairs(p2.neighbours(two, s=s)).count() == 1
+
+
+def test_neighbours_outside_the_first_cells(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"m{k:04d}", [float(v) for v in np.float32(rng.normal(size=16))]) for k in range(600)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(4)
+    want = brute(rows)
+    # Vectors without groups, 60 cells: one probe sees about 2 % of them.
+    s = p2.Settings(dim=16, cell_rows=10, probes=1)
+    got = {(r["id"], r["neighbour"]) for r in p2.neighbours(df, s=s).collect()}
+    assert len(got & want) >= 0.97 * len(want)
