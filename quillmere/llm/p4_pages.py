@@ -12,6 +12,7 @@ Kinds of noise: broken_word, misread, running_head, page_number.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -62,6 +63,9 @@ INSTEAD = [frozenset(x) for x in ("不未无非没勿", "一二三四五六七
 
 READ_FOR_OTHERS = np.array(sorted({ord(pair[1]) for pair in DRAWN_ALIKE}), np.int64)
 
+# Latin letters of like drawing.
+LIKE_LETTERS = frozenset(a + b for group in ("iljtf", "aoec", "hnbk", "vyuw", "nur", "gqy", "bd", "mn", "sz", "pq", "xk") for a in group for b in group if a != b)
+
 HYPHEN = "-\u2010\u2011¬\u00ad–"
 TOKEN = re.compile(r"[A-Za-zÀ-ɏḀ-ỿ0-9!|]*[A-Za-zÀ-ɏḀ-ỿ][A-Za-zÀ-ɏḀ-ỿ0-9!|]*")
 WORD = re.compile(r"[a-zà-ɏḁ-ỿ]{2,}")
@@ -239,16 +243,31 @@ class Vocabulary:
                 plain = plain.replace(bad, good)
             candidates[plain] = 0
         likely = {w: self.words[w] for w in candidates if w in self.words and w != low}
-        # A letter that isn't drawn like the one expected was written so: an edit, not a misreading.
-        if not likely and odd:
+        if not likely and (odd or own == 0):
             if self.trie is None:
                 self.trie = Trie(self.words)
-            likely = {w: self.words[w] for w in self.trie.near(low) if w != low and abs(len(w) - len(low)) <= 1}
+            likely = {w: self.words[w] for w in self.trie.near(low) if w != low}
+            if not odd:
+                # By the cost of the shape: a letter that isn't drawn like the one expected, lost or added is asked for more.
+                ranked = {w: n / self._asked(low, w) for w, n in likely.items()}
+                best = min(ranked, key=lambda w: (-ranked[w], w), default=None)
+                return best if best is not None and ranked[best] >= 1 else None
         if not likely:
             return None
         best = min(likely, key=lambda w: (-likely[w], w))
         return best if likely[best] >= self.commoner * max(1, own) or (odd and likely[best] > own) else None
 
+    def _asked(self, low: str, word: str) -> float:
+        """How often a word one edit away must occur to be what was meant."""
+        same = next((k for k, (a, b) in enumerate(zip(low, word, strict=False)) if a != b), min(len(low), len(word)))
+        if len(low) == len(word) and low[same] + word[same] in LIKE_LETTERS:
+            return self.commoner
+        # Another ending is a form of the word and a lost beginning a part of one, not a misreading.
+        if same >= min(len(low), len(word)) - 1 or (same == 0 and len(low) != len(word)):
+            return math.inf
+        # The shorter a word, the likelier is another word one letter away.
+        return self.commoner * 4 ** max(1, 7 - len(low))
+
     def _count(self, table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
         k, n = table
         if not len(k):

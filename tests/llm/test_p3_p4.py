@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillmere.llm import p3_pairs as p3
@@ -103,3 +104,15 @@ def test_misread_characters_and_tables(spark):
     text = {r["record_key"]: r["repaired"] for r in p4.repaired(pages, docs).collect()}
     assert text["n1"] == body * 2 and text["n3"] == "" and set(text) == {"n1", "n3", "n4"}
     assert p4.kinds_found(pages.limit(0), docs.limit(0)).count() == 0
+
+
+def small_vocabulary(words, pairs=None, triples=None):
+    arrays = lambda d: (np.array(sorted(d), np.int64), np.array([d[k] for k in sorted(d)], np.int64))
+    return p4.Vocabulary(words, frozenset(), arrays(pairs or {}), arrays(triples or {}), 25.0, 5.0, Simplifier({}))
+
+
+def test_unknown_words_are_looked_for_in_the_trie():
+    v = small_vocabulary({"liver": 400, "although": 300, "processing": 300, "growers": 300, "herb": 5000, "local": 300, "kidney": 300})
+    assert [v.correct_word(w) for w in ("llver", "althaugh", "procxssing", "procssing", "kldnoy")] == ["liver", "although", "processing", "processing", None]
+    # Forms of a word, parts of one, and other words aren't misreadings.
+    assert [v.correct_word(w) for w in ("herbs", "rowers", "vocal", "liver")] == [None] * 4
