@@ -281,7 +281,6 @@ class Vocabulary:
             return []
         mid = np.flatnonzero((c[1:-1] >= HAN[0]) & (c[1:-1] < HAN[1])) + 1
         left = self._count(self.pairs, _pair(c[mid - 1], c[mid]))
-        mid, left = mid[left < 2000], left[left < 2000]
         if not len(mid):
             return []
         here = self._count(self.triples, _triple(c[mid - 1], c[mid + 1], c[mid]))
@@ -435,7 +434,7 @@ def repair(text: str, title: str | None, v: Vocabulary, is_chunk: bool = False)
         token = m[0].rstrip("!|")
         if not token or is_chunk and (m.start() == edge[0] or m.end() == edge[1]):
             return m[0]
-        meant = v.correct_word(token) if token.lower() not in v.words or not token.isalpha() or v.words[token.lower()] < 2000 else None
+        meant = v.correct_word(token)
         if meant is None or re.fullmatch(r"\d+[A-Za-z]{1,3}|[A-Za-z]\d+", token):
             return m[0]
         kinds.add("misread")

@@ -116,3 +116,13 @@ def test_unknown_words_are_looked_for_in_the_trie():
     assert [v.correct_word(w) for w in ("llver", "althaugh", "procxssing", "procssing", "kldnoy")] == ["liver", "although", "processing", "processing", None]
     # Forms of a word, parts of one, and other words aren't misreadings.
     assert [v.correct_word(w) for w in ("herbs", "rowers", "vocal", "liver")] == [None] * 4
+
+
+def test_counts_are_judged_alike_at_every_size():
+    han = lambda s: p4._sequence_codes(s)
+    a, b, good, bad = (int(han(x)[0]) for x in "气证虚虐")
+    for size in (1, 1000):
+        pairs = {a << 21 | good: 100 * size, good << 21 | b: 100 * size, a << 21 | bad: 4 * size, bad << 21 | b: 4 * size}
+        v = small_vocabulary({"modern": 100 * size, "modem": 3 * size}, pairs, {a << 42 | b << 21 | good: 100 * size, a << 42 | b << 21 | bad: 4 * size})
+        assert v.correct_characters(han("气虐证")) == [(1, good)], size
+        assert p4.repair("A modem garden.", None, v).kinds == {"misread"}, size
