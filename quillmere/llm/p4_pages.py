@@ -77,6 +77,7 @@ END = re.compile("[。！？!?….”』」）)：:；;，,、]$")
 HEADING = re.compile(r"#{1,6}\s")
 CHAPTER = re.compile(r"(?m)^#{1,6}\s+第[一二三四五六七八九十百\d]+[章节回篇]\s+(\S{1,12})\s*$")
 HAN = (0x4E00, 0xA000)
+_HAN = re.compile("[㐀-鿿]")
 
 
 #: What a text may hold that is spelled in more than one way; most texts hold none of it.
@@ -371,6 +372,14 @@ def furniture(line: str, title: str | None, labels: frozenset[str]) -> frozenset
     return frozenset()
 
 
+def _glue(before: str, after: str) -> str:
+    """What joins two lines, by the characters around the line end."""
+    if before[-1:].isalpha() and after[:1].isalpha() and not _HAN.search(before[-1:] + after[:1]):
+        return " "
+    around = before[-20:] + after[:20]
+    return "" if len(_HAN.findall(around)) * 4 >= len(around) else " "
+
+
 @dataclass
 class Repaired:
     text: str
@@ -412,11 +421,11 @@ def repair(text: str, title: str | None, v: Vocabulary, is_chunk: bool = False)
 
     joined = BROKEN.sub(join, joined)
     # Lines into paragraphs: lines of Chinese are cut anywhere, others between words.
-    han = sum(1 for _ in re.finditer("[㐀-鿿]", joined[:400]))
-    glue = "" if han * 4 >= len(joined[:400]) else " "
-    width = max((len(x) for x in joined.split("\n")), default=0)
+    body = joined.split("\n")
+    width = max((len(x) for x in body), default=0)
     flowed: list[str] = []
-    for line in joined.split("\n"):
+    for line, after in zip(body, [*body[1:], ""], strict=True):
+        glue = _glue(line.rstrip(), after.lstrip())
         if not line.strip():
             flowed.append("\n")
         elif HEADING.match(line) or re.fullmatch(r"【.{1,12}】\s*", line):
@@ -441,7 +450,7 @@ def repair(text: str, title: str | None, v: Vocabulary, is_chunk: bool = False)
         return (meant.capitalize() if token[:1].isupper() else meant) + m[0][len(token) :]
 
     plain = TOKEN.sub(mend, plain)
-    if han:
+    if _HAN.search(plain):
         keep = np.array([c != " " for c in plain], bool)
         wrong = v.correct_characters(_sequence_codes(plain))
         if wrong:

@@ -126,3 +126,14 @@ def test_counts_are_judged_alike_at_every_size():
         v = small_vocabulary({"modern": 100 * size, "modem": 3 * size}, pairs, {a << 42 | b << 21 | good: 100 * size, a << 42 | b << 21 | bad: 4 * size})
         assert v.correct_characters(han("气虐证")) == [(1, good)], size
         assert p4.repair("A modem garden.", None, v).kinds == {"misread"}, size
+
+
+def test_the_whole_text_is_looked_at():
+    a, b, good, bad = (int(p4._sequence_codes(x)[0]) for x in "气证虚虐")
+    pairs = {a << 21 | good: 100, good << 21 | b: 100}
+    v = small_vocabulary({}, pairs, {a << 42 | b << 21 | good: 100})
+    english = "The tea is brown and sweet. " * 20
+    done = p4.repair(english + "\n\n气虐证", None, v)
+    assert done.kinds == {"misread"} and done.text.endswith("气虚证")
+    assert "cold hands" in p4.repair("黄芪补气固表常用。" * 50 + "\n\n" + "This is for cold\nhands and feet.", None, v).text
+    assert "常用于气虚" in p4.repair(english + "\n\n黄芪补气固表常用\n于气虚的人。", None, v).text
