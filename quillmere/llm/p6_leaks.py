@@ -89,8 +89,8 @@ def build(items: list[tuple[str, str | None, str | None]], simple: Simplifier, s
             form = letters(text, simple)
             n = s.dense_seed if 2 * len(_DENSE.findall(form)) >= len(form) else s.sparse_seed
             span = len(form) if whole else math.ceil(len(form) * s.part)
-            if span < n:
-                n = s.dense_seed if span >= s.dense_seed else max(1, span)
+            # So short that a seed is left after the edits; what is no longer than the edits must stand as it is.
+            n = min(n, span // (s.edits + 1)) if span > s.edits else max(1, span)
             if not form:
                 continue
             k = len(ix.patterns)
@@ -161,24 +161,29 @@ def align(pattern: np.ndarray, text: np.ndarray, penalty: int = 2) -> list[tuple
     return steps[::-1]
 
 
+def fewest_edits(pattern: np.ndarray, text: np.ndarray) -> int:
+    """Edits that the whole pattern needs at its best place in the text."""
+    steps = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for c in pattern:
+        row = np.minimum(row + 1, np.concatenate(([len(pattern)], row[:-1] + (text != c))))
+        row = np.minimum.accumulate(row - steps) + steps
+    return int(row.min())
+
+
 def stretch(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int]:
     """Longest run of pattern characters found with at most so many edits in the best alignment,
-    and the edits a find of the whole pattern needs there."""
+    and the edits a find of the whole pattern needs."""
     steps = align(pattern, text)
     if not steps:
         return 0, len(pattern)
     wrong = [k for k, (a, b) in enumerate(steps) if a < 0 or b < 0 or pattern[a] != text[b]]
-    # Ends that the local alignment left off are compared along its diagonal.
-    first, last = next((a, b) for a, b in steps if a >= 0 and b >= 0), next((a, b) for a, b in reversed(steps) if a >= 0 and b >= 0)
-    head, tail = first[0], len(pattern) - 1 - last[0]
-    before, behind = text[max(0, first[1] - head) : first[1]], text[last[1] + 1 : last[1] + 1 + tail]
-    missing = head - int((pattern[head - len(before) : head] == before).sum()) + tail - int((pattern[len(pattern) - tail :][: len(behind)] == behind).sum())
     bounds = [-1, *wrong, len(steps)]
     best = 0
     for lo in range(len(bounds) - 1):
         hi = min(lo + edits + 1, len(bounds) - 1)
         best = max(best, sum(1 for a, _ in steps[bounds[lo] + 1 : bounds[hi]] if a >= 0))
-    return best, missing + len(wrong)
+    return best, fewest_edits(pattern, text)
 
 
 def leaked(codes: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]], ix: Index, s: Settings) -> set[int]:

@@ -111,6 +111,19 @@ def test_random_leaks_against_a_plain_search():
         assert (k in found) == (edits <= 2)
 
 
+def test_short_questions_with_two_edits():
+    rng = np.random.default_rng(4)
+    s = p6.Settings()
+    for size in range(6, 49, 3):
+        for alphabet in ("abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + k) for k in range(60))):
+            text = "".join(rng.choice(list(alphabet), size))
+            ix = p6.build([("q", text, None)], Simplifier({}), s)
+            for a in range(size):
+                b = (a + size // 3) % size
+                codes = p6._codes("一丁" * 5 + "".join("" if k == a else "龘" if k == b else c for k, c in enumerate(text)) + "丁一" * 5)
+                assert p6.leaked(codes, {n: p6._hits(codes, n, ix) for n in ix.by_length}, ix, s) == {0}, (size, a, b)
+
+
 def test_simplified_table(spark):
     table = simplified(spark)
     assert not table or (table["氣"] == "气" and "气" not in table)
