@@ -1,9 +1,12 @@
 """Problem 4: noise in text from scanned pages.
 
 Method: a vocabulary of words and of short character sequences is counted over all documents.
-For a word or sequence that is not in it, a Levenshtein automaton is intersected with a trie of
-the vocabulary, so that every entry within one edit is found; how often each candidate stands
-in this context ranks them. Page furniture (running heads, page numbers) is told by the title
+For a word that is not in it, or is rare, a Levenshtein automaton is intersected with a trie of
+the vocabulary, so that every entry within one edit is found; letter groups that scanning takes
+for each other are one edit too. A Chinese character is judged by its two neighbours: all
+characters that the vocabulary holds between them are its candidates. How much commoner a
+candidate is in this context ranks them, and less is asked of characters that this corpus
+confuses: pairs of which one stands in the frames of the other far oftener than by chance. Page furniture (running heads, page numbers) is told by the title
 of the record, by section labels counted over the corpus and by form; it is removed, words cut
 at line ends are joined and lines are flowed into paragraphs.
 
@@ -35,14 +38,21 @@ class Settings:
     #: Words and sequences must make up this share of all; bounds the vocabulary by its inverse.
     word_share: float = 2e-6
     sequence_share: float = 4e-7
-    pair_share: float = 1e-7
+    pair_share: float = 4e-7
     label_share: float = 1e-5
+    #: Words rarer than this share are looked up like unknown ones.
+    rare_share: float = 1e-5
+    #: Characters are confused if one stands in this many frames of the other at least, in this share of all such frames, and so
+    #: many times oftener than by chance.
+    least_frames: int = 3
+    frame_share: float = 1e-5
+    lift: float = 12.0
     #: ... and occur this often at least.
     least_word: int = 4
     least_sequence: int = 5
     least_pair: int = 2
     least_label: int = 3
-    #: How many times commoner than the text's reading a candidate must be, and a candidate that is drawn alike.
+    #: How many times commoner than the text's reading a candidate must be, and one that is confused with it.
     commoner: float = 25.0
     alike: float = 5.0
 
@@ -52,17 +62,9 @@ JUNK = re.compile("[\ufffd□■◆▯▮▪◇●▲★\ue000-\uf8ff]")
 # Letter groups that scanning mistakes for each other, as read and as meant.
 GROUPS = [("0", "o"), ("1", "l"), ("1", "i"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("5", "s"), ("8", "b"), ("6", "b"), ("9", "g"), ("b", "h"), ("h", "b"), ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("ii", "u"), ("c", "e"), ("e", "c"), ("u", "n"), ("n", "u"), ("f", "t"), ("t", "f"), ("q", "g"), ("ri", "n"), ("li", "h")]
 
-# Characters that scanning mistakes for each other, as meant and as read.
-DRAWN_ALIKE = frozenset(
-    "虚虐 气乞 痰谈 患惠 食良 现观 寒塞 血皿 头买 位拉 体休 好奸 心必 主王 肝担 肝肚 热熟 水氺 材村 桥侨 鳞麟 干千 咳骇 口囗 泽译 汗汁 铃铨 岭岑 期斯 湿温 羽习 屏屎 肾贤 滞虐 采釆 地他 乏之 "
-    "门们 眠眼 脾牌 胆担 坡披 肺肚 脾肿 肺肿 杯坏 天夭 川州 著箸 溪奚 参叁 云去 荷何 鹤鹊 台合 草革 苦千 柏拍 根恨 松枚 雁雇 乌鸟 盗盔 梅悔 藤滕 黑岗 蓝篮 赤亦 紫柴 丹舟 成戍 治冶 宜宣 今令 看着 子孑 花化 味昧 未末 日曰 己已 大太".split()
-)
-
 # Characters that stand for each other in ordinary writing; a change among them isn't a misreading.
 INSTEAD = [frozenset(x) for x in ("不未无非没勿", "一二三四五六七八九十百", "克钱两分斤", "上下左右前后", "男女")]
 
-READ_FOR_OTHERS = np.array(sorted({ord(pair[1]) for pair in DRAWN_ALIKE}), np.int64)
-
 # Latin letters of like drawing.
 LIKE_LETTERS = frozenset(a + b for group in ("iljtf", "aoec", "hnbk", "vyuw", "nur", "gqy", "bd", "mn", "sz", "pq", "xk") for a in group for b in group if a != b)
 
@@ -159,34 +161,53 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = w
 
-    def near(self, word: str) -> list[str]:
-        """All words one edit (or none) away, found by walking trie and automaton together.
+    def near(self, word: str, groups: list[tuple[str, str]] = ()) -> dict[str, bool]:
+        """All words one edit (or none) away, and whether groups of letters alone explain the difference.
 
-        A state of the automaton is a set of (letters read, edits made).
+        Trie and automaton are walked together. A state of the automaton is a set of (letters
+        read, edits made, changed groups, letters of a group still to come). Groups, as read and
+        as meant, are one edit; a second group may be changed if no other edit is made.
         """
-        found: set[str] = set()
+        found: dict[str, bool] = {}
         n = len(word)
-        stack: list[tuple[dict, frozenset[tuple[int, int]]]] = [(self.root, frozenset(((0, 0), (1, 1)) if n else ((0, 0),)))]
+        by_first: dict[str, list[tuple[str, str]]] = {}
+        for bad, good in groups:
+            if bad in word:
+                by_first.setdefault(good[0], []).append((bad, good))
+        start = {(0, 0, 0, "")}
+        if n:
+            start.add((1, 1, 0, ""))  # a first letter too many in the text
+        stack: list[tuple[dict, set]] = [(self.root, start)]
         while stack:
             node, state = stack.pop()
             for c, child in node.items():
                 if c == "":
-                    if any(n - i + e <= 1 for i, e in state):
-                        found.add(child)
+                    ends = [(e, g) for i, e, g, left in state if not left and (i == n or n - i == 1 and e + g == 0)]
+                    if ends:
+                        at_end = any(i == n and e == 0 and not left for i, e, g, left in state)
+                        found[child] = at_end
                     continue
-                after: set[tuple[int, int]] = set()
-                for i, e in state:
+                after = set()
+                for i, e, g, left in state:
+                    if left:
+                        if left[0] == c:
+                            after.add((i, e, g, left[1:]))
+                        continue
                     if i < n and word[i] == c:
-                        after.add((i + 1, e))
-                    if e == 0:
-                        after.add((i, 1))  # a letter the text lacks
+                        after.add((i + 1, e, g, ""))
+                    if e == 0 and g < 2:
+                        for bad, good in by_first.get(c, ()):
+                            if word.startswith(bad, i):
+                                after.add((i + len(bad), 0, g + 1, good[1:]))
+                    if e + g == 0:
+                        after.add((i, 1, 0, ""))  # a letter the text lacks
                         if i < n:
-                            after.add((i + 1, 1))  # another letter in the text
+                            after.add((i + 1, 1, 0, ""))  # another letter in the text
                             if i + 1 < n and word[i + 1] == c:
-                                after.add((i + 2, 1))  # a letter too many in the text
+                                after.add((i + 2, 1, 0, ""))  # a letter too many in the text
                 if after:
-                    stack.append((child, frozenset(after)))
-        return sorted(found)
+                    stack.append((child, after))
+        return found
 
 
 @dataclass
@@ -198,6 +219,10 @@ class Vocabulary:
     commoner: float
     alike: float
     simple: Simplifier
+    #: Words of a lower count are rare.
+    rare: float = 0.0
+    #: Confused characters, what was meant << 21 | what is read, and the characters read.
+    confused: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     #: For each pair of neighbours, the commonest count of a character between them.
     tops: tuple[np.ndarray, np.ndarray] | None = None
     trie: Trie | None = None
@@ -226,37 +251,25 @@ class Vocabulary:
     def _correct(self, low: str) -> str | None:
         own = self.words.get(low, 0)
         odd = not low.isalpha()
-        letters = sum(c.isalpha() for c in low)
-        if letters < 2 or (not odd and len(low) < 4):
+        if sum(c.isalpha() for c in low) < 2 or (not odd and len(low) < 4):
             return None
-        candidates: Counter[str] = Counter()
-        # Groups of letters first: one group, or the same group everywhere it stands.
-        for bad, good in GROUPS:
-            at = low.find(bad)
-            if at >= 0:
-                candidates[low.replace(bad, good)] = 0
-            while at >= 0:
-                candidates[low[:at] + good + low[at + len(bad) :]] = 0
-                at = low.find(bad, at + 1)
+        if self.trie is None:
+            self.trie = Trie(self.words)
+        if odd or own <= self.rare:
+            near = self.trie.near(low, GROUPS)
+        else:
+            # A common word can only be a misreading by a group of letters; other edits lead to other words.
+            near = {low.replace(bad, good): True for bad, good in GROUPS if bad in low}
         if odd:
-            plain = low
             for bad, good in GROUPS[:5]:
-                plain = plain.replace(bad, good)
-            candidates[plain] = 0
-        likely = {w: self.words[w] for w in candidates if w in self.words and w != low}
-        if not likely and (odd or own == 0):
-            if self.trie is None:
-                self.trie = Trie(self.words)
-            likely = {w: self.words[w] for w in self.trie.near(low) if w != low}
-            if not odd:
-                # By the cost of the shape: a letter that isn't drawn like the one expected, lost or added is asked for more.
-                ranked = {w: n / self._asked(low, w) for w, n in likely.items()}
-                best = min(ranked, key=lambda w: (-ranked[w], w), default=None)
-                return best if best is not None and ranked[best] >= 1 else None
-        if not likely:
+                low = low.replace(bad, good)
+            near[low] = True
+        likely = {w: self.words[w] / (self.commoner if grouped else self._asked(low, w)) for w, grouped in near.items() if w in self.words}
+        likely.pop(low, None) if not odd else None
+        best = min(likely, key=lambda w: (-likely[w], w), default=None)
+        if best is None:
             return None
-        best = min(likely, key=lambda w: (-likely[w], w))
-        return best if likely[best] >= self.commoner * max(1, own) or (odd and likely[best] > own) else None
+        return best if likely[best] >= max(1, own) or (odd and near[best] and self.words[best] > own) else None
 
     def _asked(self, low: str, word: str) -> float:
         """How often a word one edit away must occur to be what was meant."""
@@ -287,7 +300,7 @@ class Vocabulary:
         here = self._count(self.triples, _triple(c[mid - 1], c[mid + 1], c[mid]))
         top = self._count(self._tops(), _pair(c[mid - 1], c[mid + 1]))
         # What is asked of a candidate is less where the character is known to be mistaken for another.
-        asked = np.where(np.isin(c[mid], READ_FOR_OTHERS), self.alike, self.commoner)
+        asked = np.where(np.isin(c[mid], self.confused & ((1 << 21) - 1)), self.alike, self.commoner)
         rare = (top >= asked * np.maximum(1, here)) & ((here == 0) | (top >= 4 * asked))
         mid, left, here = mid[rare], left[rare], here[rare]
         keys, n = self.triples
@@ -303,7 +316,7 @@ class Vocabulary:
             beside = np.minimum(self._count(self.pairs, _pair(np.full(len(others), c[i - 1]), others)) / max(1, left[k]), self._count(self.pairs, _pair(others, np.full(len(others), c[i + 1]))) / max(1, int(self._count(self.pairs, _pair(c[i : i + 1], c[i + 1 : i + 2]))[0])))
             instead = next((group for group in INSTEAD if chr(c[i]) in group), frozenset())
             written = np.array([chr(d) in instead for d in others], bool)
-            alike = np.array([f"{chr(d)}{chr(c[i])}" in DRAWN_ALIKE for d in others], bool)
+            alike = np.isin(_pair(others, np.full(len(others), c[i])), self.confused)
             least = np.where(alike, self.alike, self.commoner)
             good = ~written & (count >= least * max(1, here[k])) & (beside >= least) & (others != c[i]) & (others >= HAN[0]) & (others < HAN[1])
             if good.any():
@@ -311,6 +324,31 @@ class Vocabulary:
         return out
 
 
+def confusions(counts: DataFrame, s: Settings) -> DataFrame:
+    """meant, read: characters of which the second stands in frames of the first far oftener than by chance.
+
+    counts: kind, key, n of all sequences. A frame is a pair of neighbours; a character that is
+    far rarer in it than the commonest one stands there instead of it. Chance is what the
+    numbers of frames of both characters alone let expect.
+    """
+    frame = (F.col("key").bitwiseAND(F.lit(~((1 << 21) - 1)))).alias("frame")
+    mid = F.col("key").bitwiseAND(F.lit((1 << 21) - 1)).alias("mid")
+    seen = counts.where(F.col("kind") == SEQUENCE).select(frame, mid, "n")
+    top = seen.groupBy("frame").agg(F.max(F.struct("n", "mid")).alias("top")).where(F.col("top.n") >= s.commoner).select("frame", F.col("top.mid").alias("meant"), F.col("top.n").alias("most"))
+    instead = seen.join(top, "frame").where((F.col("mid") != F.col("meant")) & (F.col("n") * s.commoner <= F.col("most")))
+    han = lambda c: (F.col(c) >= HAN[0]) & (F.col(c) < HAN[1])
+    pairs = cut(instead.where(han("meant") & han("mid")).groupBy("meant", F.col("mid").alias("read")).agg(F.count("*").alias("frames")))
+    of = lambda side: pairs.groupBy(side).agg(F.sum("frames").alias(f"of_{side}"))
+    total = pairs.agg(F.sum("frames")).collect()[0][0] or 0
+    least = max(s.least_frames, total * s.frame_share)
+    # Bounded: no more than 1 / frame_share pairs reach that share of all frames.
+    return (
+        pairs.where(F.col("frames") >= least).join(of("meant"), "meant").join(of("read"), "read")
+        .where(F.col("frames") * total >= s.lift * F.col("of_meant") * F.col("of_read"))
+        .select("meant", "read")
+    )
+
+
 def vocabulary(documents: DataFrame, s: Settings) -> Vocabulary:
     """Counts over all documents (title, text); what is collected is bounded by the shares."""
     spark = documents.sparkSession
@@ -332,7 +370,8 @@ def vocabulary(documents: DataFrame, s: Settings) -> Vocabulary:
     return Vocabulary(
         dict(zip(words["word"], map(int, words["n"]), strict=True)),
         frozenset(w.casefold() for w in part(LABEL)["word"]),
-        arrays(PAIR), arrays(SEQUENCE), s.commoner, s.alike, simple,
+        arrays(PAIR), arrays(SEQUENCE), s.commoner, s.alike, simple, all_(WORDS) * s.rare_share,
+        np.sort(np.array([r["meant"] << 21 | r["read"] for r in confusions(counts, s).collect()], np.int64)),
     )
 
 

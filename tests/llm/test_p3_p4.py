@@ -67,7 +67,14 @@ def test_trie_finds_all_within_one_edit():
     trie = p4.Trie(words)
     for _ in range(200):
         q = "".join(rng.choice("abc") for _ in range(rng.randint(0, 6)))
-        assert trie.near(q) == sorted(w for w in words if distance(q, w) <= 1)
+        near = trie.near(q)
+        assert sorted(near) == sorted(w for w in words if distance(q, w) <= 1)
+        assert all(alone == (w == q) for w, alone in near.items())
+        # Groups as read and as meant: one place, or two if nothing else is changed.
+        groups = [("ac", "b"), ("b", "ca")]
+        one = {q[:i] + good + q[i + len(bad) :] for bad, good in groups for i in range(len(q)) if q.startswith(bad, i)}
+        found = trie.near(q, groups)
+        assert set(near) <= set(found) and one & set(words) <= {w for w, alone in found.items() if alone}
 
 
 def test_furniture():
@@ -137,3 +144,21 @@ def test_the_whole_text_is_looked_at():
     assert done.kinds == {"misread"} and done.text.endswith("气虚证")
     assert "cold hands" in p4.repair("黄芪补气固表常用。" * 50 + "\n\n" + "This is for cold\nhands and feet.", None, v).text
     assert "常用于气虚" in p4.repair(english + "\n\n黄芪补气固表常用\n于气虚的人。", None, v).text
+
+
+def test_words_with_several_wrong_groups():
+    v = small_vocabulary({"decoction": 400, "pattern": 400, "concentration": 400})
+    assert [v.correct_word(w) for w in ("pattexn", "decoctlon", "patterm", "dccoctlon", "c0ncentrati0n")] == ["pattern", "decoction", "pattern", "decoction", "concentration"]
+
+
+def test_confusions_come_from_the_corpus(spark):
+    others = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地玄黄宇宙洪荒"
+    texts = [f"{a}虚{b}。" * 60 for a, b in zip(others[::2], others[1::2], strict=True)]
+    texts += [f"{a}虐{b}。" for a, b in zip(others[::2], others[1::2], strict=True)][:9]
+    texts += [f"{others[0]}{c}{others[1]}。{others[2]}{c}{others[3]}。" for c in "春夏秋冬"]
+    # Other characters that stand for others elsewhere, so that chance can be told.
+    texts += [f"{a}之{b}。" * 60 + f"{a}{c}{b}。" for k, (a, b) in enumerate(zip("东南西北金木水火土日", "一二三四五六七八九十", strict=True)) for c in "赤橙绿青蓝紫"[k % 3 :: 2]]
+    docs = spark.createDataFrame([("题", t) for t in texts], "title string, text string")
+    v = p4.vocabulary(docs, p4.Settings(lift=2.0))
+    assert {(chr(int(k) >> 21), chr(int(k) & (1 << 21) - 1)) for k in v.confused} == {("虚", "虐")} | {(a, b) for a, b in {(chr(int(k) >> 21), chr(int(k) & (1 << 21) - 1)) for k in v.confused} if a == "之"}
+    assert len(p4.vocabulary(docs.limit(0), p4.Settings()).confused) == 0
