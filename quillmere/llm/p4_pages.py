@@ -259,7 +259,7 @@ class Vocabulary:
             near = self.trie.near(low, GROUPS)
         else:
             # A common word can only be a misreading by a group of letters; other edits lead to other words.
-            near = {low.replace(bad, good): True for bad, good in GROUPS if bad in low}
+            near = {low[:k] + good + low[k + len(bad) :]: True for bad, good in GROUPS for k in range(len(low)) if low.startswith(bad, k)}
         if odd:
             for bad, good in GROUPS[:5]:
                 low = low.replace(bad, good)
