@@ -2,15 +2,16 @@
 
 Method: n-grams of the test items seed the search. A document and an item that share, near one
 diagonal, as many seeds as a copy with few edits must keep (q-gram lemma) are aligned by
-Smith-Waterman; the alignment decides. Document frequencies over the whole corpus order the
-places of a document, those with the rarest seed first; they rule none out, as copies of a
-leaked passage make its own seeds frequent.
+Smith-Waterman; the alignment decides. Of the places where a document may hold an item, those
+with the rarest seed are aligned first, by the number of such places in the corpus in which the
+seed stands; rarity rules none out, as copies of a leaked passage make its own seeds frequent.
 
 Both sides are compared by letters and digits only, after unification of width, case and
 look-alikes and with traditional characters simplified. A question leaks if all of it is found
 with at most ``edits`` changed characters; an answer if a connected stretch of at least
-``part`` of it is. The items, a bounded set, are indexed and sent to all tasks in blocks of at
-most ``block_items``; documents are never shuffled and each is read whole.
+``part`` of it is. The items are indexed and sent to all tasks in blocks of at most
+``block_letters``; each block reads the documents once. Documents are never shuffled and each is
+read whole; what is kept of them between scan and alignment is the places found.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quillmere.llm.p1_unify import look_of
 from quillmere.llm.scripts import Simplifier, simplified
+from quillmere.session import cut
 
 
 @dataclass(frozen=True)
@@ -36,8 +38,12 @@ class Settings:
     #: Seed length for items mainly in Chinese, Japanese or Korean, and for others.
     dense_seed: int = 7
     sparse_seed: int = 16
-    block_items: int = 5000
-    batch_chars: int = 2_000_000
+    #: Letters of the items of one block; an index takes about 30 bytes a letter.
+    block_letters: int = 4_000_000
+
+
+#: Seed lengths in use, so that few passes over a text serve all items.
+LENGTHS = (1, 2, 3, 4, 5, 7, 10, 13, 16)
 
 
 _WORDLESS = re.compile(r"[\W_]+")
@@ -52,16 +58,30 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _grams(codes: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of all n-grams of a code array."""
-    if len(codes) < n:
-        return np.empty(0, np.uint64)
-    out = np.zeros(len(codes) - n + 1, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_ODD = 0xD6E8FEB86659FD93
+_ALL = (1 << 64) - 1
+
+
+def _grams(codes: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """64-bit hashes of all n-grams of a code array, for each n: made of those of 1, 2, 4, ... letters."""
+    out: dict[int, np.ndarray] = {}
     with np.errstate(over="ignore"):
-        wide = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for k in range(n):
-            out = out * np.uint64(0xD6E8FEB86659FD93) + wide[k : len(wide) - n + 1 + k]
-        out ^= out >> np.uint64(29)
+        powers = [codes.astype(np.uint64) * np.uint64(_BASE)]
+        while 2 ** len(powers) <= max(lengths, default=0):
+            half, k = powers[-1], 2 ** (len(powers) - 1)
+            powers.append(half[: max(0, len(half) - k)] * np.uint64(pow(_ODD, k, _ALL + 1)) + half[k:] if len(half) > k else half[:0])
+        for n in lengths:
+            count = len(codes) - n + 1
+            if count <= 0:
+                out[n] = np.empty(0, np.uint64)
+                continue
+            made, at = np.zeros(count, np.uint64), 0
+            for bit in reversed(range(n.bit_length())):
+                if n >> bit & 1:
+                    made = made * np.uint64(pow(_ODD, 1 << bit, _ALL + 1)) + powers[bit][at : at + count]
+                    at += 1 << bit
+            out[n] = made ^ (made >> np.uint64(29))
     return out
 
 
@@ -75,9 +95,6 @@ class Index:
     owner: list[int] = field(default_factory=list)
     by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     need: list[int] = field(default_factory=list)
-    length: list[int] = field(default_factory=list)
-    #: Number of documents that hold each seed.
-    frequency: dict[int, np.ndarray] = field(default_factory=dict)
     lists: dict[int, np.ndarray] = field(default_factory=dict)
 
 
@@ -91,16 +108,16 @@ def build(items: list[tuple[str, str | None, str | None]], simple: Simplifier, s
             span = len(form) if whole else math.ceil(len(form) * s.part)
             # So short that a seed is left after the edits; what is no longer than the edits must stand as it is.
             n = min(n, span // (s.edits + 1)) if span > s.edits else max(1, span)
+            n = max(k for k in LENGTHS if k <= n)
             if not form:
                 continue
             k = len(ix.patterns)
             ix.patterns.append(_codes(form))
             ix.whole.append(whole)
             ix.owner.append(len(ix.qids))
-            ix.length.append(n)
             # Each edit spoils at most n seeds of the span that must be there.
             ix.need.append(max(1, span - n + 1 - s.edits * n))
-            gathered.setdefault(n, []).append((_grams(ix.patterns[k], n), k))
+            gathered.setdefault(n, []).append((_grams(ix.patterns[k], (n,))[n], k))
         ix.qids.append(qid)
     for n, parts in gathered.items():
         hashes = np.concatenate([h for h, _ in parts])
@@ -110,7 +127,6 @@ def build(items: list[tuple[str, str | None, str | None]], simple: Simplifier, s
         seeds, starts = np.unique(hashes[order], return_index=True)
         ix.by_length[n] = (seeds, np.append(starts, len(hashes)), pattern[order], offset[order])
         ix.lists[n] = _sieve(seeds)
-        ix.frequency[n] = np.zeros(len(seeds), np.int64)
     return ix
 
 
@@ -120,10 +136,9 @@ def _sieve(seeds: np.ndarray) -> np.ndarray:
     return sieve
 
 
-def _hits(codes: np.ndarray, n: int, ix: Index) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of seeds in a code array and their numbers."""
+def _hits(grams: np.ndarray, n: int, ix: Index) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of seeds among the n-grams of a text, and the numbers of the seeds."""
     seeds = ix.by_length[n][0]
-    grams = _grams(codes, n)
     if not len(grams) or not len(seeds):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     sieve = ix.lists[n]
@@ -186,51 +201,85 @@ def stretch(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int
     return best, fewest_edits(pattern, text)
 
 
-def leaked(codes: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]], ix: Index, s: Settings) -> set[int]:
-    """Numbers of the items that one document contains."""
-    found: set[int] = set()
+@dataclass
+class Place:
+    """A part of a text that may hold a pattern: letters, and the seeds that point to it."""
+
+    pattern: int
+    letters: np.ndarray
+    n: int
+    seeds: np.ndarray
+
+
+def places(codes: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray]], ix: Index, s: Settings) -> Iterator[Place]:
+    """Where one document holds enough seeds of a pattern near one diagonal."""
+    need = np.array(ix.need)
     for n, (where, seed) in hits.items():
         if not len(where):
             continue
         _, starts, pattern_of, offset_of = ix.by_length[n]
         counts = starts[seed + 1] - starts[seed]
         flat = np.repeat(starts[seed], counts) + (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-        place = np.repeat(where, counts)
+        place, number = np.repeat(where, counts), np.repeat(seed, counts)
         pattern, offset = pattern_of[flat], offset_of[flat]
-        frequency = np.repeat(ix.frequency[n][seed], counts)
         order = np.lexsort((place - offset, pattern))
-        pattern, place, offset, frequency = pattern[order], place[order], offset[order], frequency[order]
-        diagonal = place - offset
+        pattern, place, offset, number = pattern[order], place[order], offset[order], number[order]
         # Groups of one pattern whose neighbouring diagonals differ by few edits.
-        breaks = np.flatnonzero((np.diff(pattern) != 0) | (np.diff(diagonal) > s.edits)) + 1
+        breaks = np.flatnonzero((np.diff(pattern) != 0) | (np.diff(place - offset) > s.edits)) + 1
         first, last = np.concatenate(([0], breaks)), np.concatenate((breaks, [len(pattern)]))
-        enough = np.flatnonzero(last - first >= np.array(ix.need)[pattern[first]])
-        rarest = np.minimum.reduceat(frequency, first)[enough]
-        ordered = enough[np.argsort(rarest, kind="stable")]
-        for a, b in zip(first[ordered], last[ordered], strict=True):
+        enough = last - first >= need[pattern[first]]
+        for a, b in zip(first[enough], last[enough], strict=True):
             p = int(pattern[a])
-            if ix.owner[p] in found:
-                continue
+            span = len(ix.patterns[p])
             lo = max(0, int(place[a:b].min()) - int(offset[a:b].max()) - 2 * s.edits - n)
-            hi = min(len(codes), int(place[a:b].max()) + len(ix.patterns[p]) + n + 2 * s.edits)
-            if hi - lo > 6 * len(ix.patterns[p]) + 200:
-                spots = [(max(0, d - 2 * s.edits), min(len(codes), d + len(ix.patterns[p]) + 2 * s.edits)) for d in np.unique(diagonal[a:b])]
-            else:
-                spots = [(lo, hi)]
-            for x, y in spots:
-                run, cost = stretch(ix.patterns[p], codes[x:y], s.edits)
-                if cost <= s.edits if ix.whole[p] else run >= math.ceil(len(ix.patterns[p]) * s.part):
-                    found.add(ix.owner[p])
-                    break
-    return found
-
-
-def _documents(batch: pd.DataFrame, simple: Simplifier, s: Settings) -> Iterator[tuple[int, np.ndarray]]:
-    for k, text in enumerate(batch["text"]):
-        if text:
-            form = letters(text, simple)
-            if form:
-                yield k, _codes(form)
+            hi = min(len(codes), int(place[a:b].max()) + span + n + 2 * s.edits)
+            # Long parts, of texts that repeat themselves, go piece by piece; pieces overlap by more than a pattern.
+            step = 4 * span + 200
+            for x in range(lo, max(lo + 1, hi - span - 4 * s.edits), step):
+                y = min(hi, x + step + span + 4 * s.edits)
+                inside = (place[a:b] >= x) & (place[a:b] < y)
+                if inside.any():
+                    yield Place(p, codes[x:y], n, np.unique(number[a:b][inside]))
+
+
+def holds(place: Place, ix: Index, s: Settings) -> bool:
+    """Whether the letters of a place contain enough of its pattern."""
+    pattern = ix.patterns[place.pattern]
+    run, cost = stretch(pattern, place.letters, s.edits)
+    return cost <= s.edits if ix.whole[place.pattern] else run >= math.ceil(len(pattern) * s.part)
+
+
+def _scan(batch: pd.DataFrame, ix: Index, simple: Simplifier, s: Settings) -> Iterator[tuple[int, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]]:
+    """Of a batch the documents with seeds: row, letters, and for each seed length where which seed stands."""
+    forms = [letters(t, simple) if t else "" for t in batch["text"]]
+    # All texts in one array, parted by a code that no item has; grams across it are no seeds.
+    sizes = np.fromiter((len(f) + 1 for f in forms), np.int64, len(forms))
+    begins = np.cumsum(sizes) - sizes
+    codes = _codes("\0".join(forms) + "\0")
+    grams = _grams(codes, tuple(ix.by_length))
+    found = {n: _hits(grams[n], n, ix) for n in ix.by_length}
+    row_of = {n: np.searchsorted(begins, where, "right") - 1 for n, (where, _) in found.items()}
+    for k in sorted(set().union(*(np.unique(r).tolist() for r in row_of.values()))) if row_of else ():
+        own = {}
+        for n, (where, seed) in found.items():
+            lo, hi = np.searchsorted(row_of[n], (k, k + 1))
+            own[n] = where[lo:hi] - begins[k], seed[lo:hi]
+        yield k, codes[begins[k] : begins[k] + sizes[k] - 1], own
+
+
+def _blocks(items: DataFrame, s: Settings) -> Iterator[list[tuple[str, str | None, str | None]]]:
+    """The items in blocks of a bounded number of characters, without holding more than one block."""
+    given = items.select("qid", "question", "reference_answer").where("qid is not null").distinct().orderBy("qid", "question", "reference_answer")
+    block: list[tuple[str, str | None, str | None]] = []
+    size = 0
+    for r in given.toLocalIterator():
+        block.append((r[0], r[1], r[2]))
+        size += len(r[1] or "") + len(r[2] or "")
+        if size >= s.block_letters:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
 
 
 def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", s: Settings | None = None) -> DataFrame:
@@ -244,39 +293,33 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     simple = Simplifier(simplified(spark))
     kind = dict(documents.dtypes)[key]
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("key is not null and text is not null")
-    given = items.select("qid", "question", "reference_answer").where("qid is not null").distinct().orderBy("qid", "question", "reference_answer")
-    total = given.count()
     out = spark.createDataFrame([], f"{key} {kind}, qid string")
-    for start in range(0, total, s.block_items):
-        block = [tuple(r) for r in given.offset(start).limit(s.block_items).collect()]
-        ix = build(block, simple, s)
-        shared = spark.sparkContext.broadcast((ix, simple))
+    for block in _blocks(items, s):
+        shared = spark.sparkContext.broadcast((build(block, simple, s), simple))
 
-        def frequencies(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ix, simple = shared.value
-            counts = {n: np.zeros(len(v[0]), np.int64) for n, v in ix.by_length.items()}
             for batch in batches:
-                for _, codes in _documents(batch, simple, s):
-                    for n in counts:
-                        counts[n][np.unique(_hits(codes, n, ix)[1])] += 1
-            for n, c in counts.items():
-                at = np.flatnonzero(c)
-                yield pd.DataFrame({"n": np.full(len(at), n), "seed": at, "df": c[at]})
+                keys = batch["key"].to_numpy()
+                out = [(keys[k], ix.owner[p.pattern], p.pattern, p.letters.tobytes(), p.n, p.seeds.tolist()) for k, codes, hits in _scan(batch, ix, simple, s) for p in places(codes, hits, ix, s)]
+                yield pd.DataFrame(out, columns=["key", "item", "pattern", "letters", "n", "seeds"])
 
+        place = cut(rows.mapInPandas(scan, f"key {kind}, item int, pattern int, letters binary, n int, seeds array<long>"))
+        seeds = place.select("key", "n", F.explode("seeds").alias("seed")).groupBy("n", "seed").agg(F.count("*").alias("df"))
         # No more rows than the block has seeds.
-        for r in rows.mapInPandas(frequencies, "n int, seed long, df long").groupBy("n", "seed").agg(F.sum("df").alias("df")).collect():
-            ix.frequency[r["n"]][r["seed"]] = r["df"]
-        marked = spark.sparkContext.broadcast((ix, simple))
+        frequency = {(r["n"], r["seed"]): r["df"] for r in seeds.collect()}
+        marked = spark.sparkContext.broadcast(frequency)
 
-        def search(batches: Iterator[pd.DataFrame], marked=marked) -> Iterator[pd.DataFrame]:
-            ix, simple = marked.value
+        def decide(batches: Iterator[pd.DataFrame], shared=shared, marked=marked) -> Iterator[pd.DataFrame]:
+            ix, _ = shared.value
+            df = marked.value
             for batch in batches:
-                keys = batch["key"].to_numpy()
                 out = []
-                for k, codes in _documents(batch, simple, s):
-                    hits = {n: _hits(codes, n, ix) for n in ix.by_length}
-                    out += [(keys[k], ix.qids[i]) for i in leaked(codes, hits, ix, s)]
+                batch["rarest"] = [min(df.get((n, int(x)), 0) for x in seeds) for n, seeds in zip(batch["n"], batch["seeds"], strict=True)]
+                for (_, item), group in batch.sort_values("rarest", kind="stable").groupby(["key", "item"], sort=False):
+                    if any(holds(Place(p, np.frombuffer(x, np.uint32), n, None), ix, s) for p, x, n in zip(group["pattern"], group["letters"], group["n"], strict=True)):
+                        out.append((group["key"].iloc[0], ix.qids[item]))
                 yield pd.DataFrame(out, columns=[key, "qid"])
 
-        out = out.unionByName(rows.mapInPandas(search, f"{key} {kind}, qid string"))
+        out = out.unionByName(place.mapInPandas(decide, f"{key} {kind}, qid string"))
     return out.distinct()

@@ -148,7 +148,7 @@ def test_the_whole_text_is_looked_at():
 
 def test_words_with_several_wrong_groups():
     v = small_vocabulary({"decoction": 400, "pattern": 400, "concentration": 400})
-    assert [v.correct_word(w) for w in ("pattexn", "decoctlon", "patterm", "dccoctlon", "c0ncentrati0n")] == ["pattern", "decoction", "pattern", "decoction", "concentration"]
+    assert [v.correct_word(w) for w in ("pattexn", "decoctlon", "patterm", "dccoct1on", "c0ncentrati0n")] == ["pattern", "decoction", "pattern", "decoction", "concentration"]
 
 
 def test_confusions_come_from_the_corpus(spark):
