@@ -22,15 +22,15 @@ WORD = re.compile("[a-zà-ɏḁ-ỿ]+(?:['’][a-zà-ɏ]+)?")
 
 # The commonest function words of languages in Latin script.
 FUNCTION_WORDS = {
-    "en": "the of and to in is it that for on with as was at by this be are from or an not have which you if when may your should about does how what why can will been than its who after before helps do i my",
-    "de": "der die das und ist in den von zu mit nicht ein eine einen dem des auf für im sich wird bei nimmt man wer warum hilft gegen vgl am wurde kehrt sollte ca an leidet fragte empfahl pro",
-    "fr": "le la les de des du et est en un une que qui dans pour pas sur au aux ne se il elle on dès vers plus par ce avec pourquoi d’où l’insomnie vient calmer faut où après",
-    "es": "el la los las de del y es en un una que se por con para no su al lo como más pero sus este cuando por qué hay",
-    "it": "il lo la i gli le di del della e è in un una che si per con non da al come più ma sono questo perché",
-    "pt": "o a os as de do da e é em um uma que se por com para não no na ao como mais mas dos das quando",
-    "nl": "de het een en van in is dat op te zijn voor met niet die aan er om ook als bij naar door",
-    "id": "yang dan di dari untuk dengan ini itu pada tidak adalah atau dalam akan oleh ke",
-    "vi": "và của là có cho không này khi một những người được các để với vì sao lại bị nên mỗi lần dùng từ bao giờ thầy hỏi ghi trường hợp",
+    "en": "the of and to in is it that for on with as was at by this be are from or an not have which you if when may your should about does how what why can will been than its who after before do i my we they he she but so no has had would could must there their these those",
+    "de": "der die das und ist in den von zu mit nicht ein eine einen einem einer dem des auf für im sich wird werden bei man wer was wie warum wann gegen am an aus auch als wenn oder aber nach vor über unter nur noch sehr soll sollte kann er sie es ich wir ihr hat haben war sind zum zur durch bis ohne dass",
+    "fr": "le la les de des du et est en un une que qui dans pour pas sur au aux ne se ce il elle on nous vous je plus par avec sans ou où mais si quand comment pourquoi dès vers sous entre cette ces son sa ses leur être sont a été faut peut très après avant d'où",
+    "es": "el la los las de del y es en un una que se por con para no su al lo como más pero sus este esta cuando por qué hay muy sin sobre entre también hasta desde si ya o ser son fue",
+    "it": "il lo la i gli le di del della dei e è in un una che si per con non da al alla come più ma sono questo questa perché quando anche o se nel nella ha",
+    "pt": "o a os as de do da e é em um uma que se por com para não no na ao à como mais mas dos das quando também ou muito sem sobre entre até são foi",
+    "nl": "de het een en van in is dat op te zijn voor met niet die aan er om ook als bij naar door maar over wordt kan dan nog wel geen uit",
+    "id": "yang dan di dari untuk dengan ini itu pada tidak adalah atau dalam akan oleh ke juga karena bisa dapat saat lebih sudah",
+    "vi": "và của là có cho không này khi một những người được các để với vì sao lại bị nên mỗi lần từ bao giờ thì mà ở ra vào trong ngoài trên dưới sau trước cũng đã đang sẽ rồi nếu nhưng hay hoặc rất",
 }
 _WORDS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 _MARKS = [("vi", re.compile("[ăđơưĂĐƠƯẠ-ỹ]")), ("de", re.compile("[äöüßÄÖÜ„]")), ("fr", re.compile("[èêçàùœîôûÀÈÊÇ]")), ("es", re.compile("[ñ¿¡]"))]
@@ -51,8 +51,11 @@ def language(text: str | None, least: int = 4) -> str | None:
         return best
     if latin < least:
         return best if n else None
-    words = Counter(WORD.findall(text.lower()))
+    words = Counter(WORD.findall(text.lower().replace("’", "'")))
     scores = Counter({lang: sum(c for w, c in words.items() if w in known) for lang, known in _WORDS.items()})
+    # Names in Latin letters within a text of another script: no language of theirs shows.
+    if best and n >= min(least, 2) and max(scores.values()) < max(2, sum(words.values()) * 0.15):
+        return best
     for lang, marks in _MARKS:
         scores[lang] += 2 * len(marks.findall(text))
     top = scores.most_common(1)[0]

@@ -95,15 +95,26 @@ def is_copy(question: str | None, answer: str, s: Settings) -> bool:
     if not question:
         return False
     q, a = _letters(question), _letters(LEAD.sub("", answer))
-    if len(q) < s.tile or not s.copied * len(q) <= len(a) <= 4 * len(q):
+    if len(q) < s.tile or len(a) < s.copied * len(q):
         return False
-    repeats = max(1, round(len(a) / len(q)))
-    # Cheap upper bound on what tiles can cover, before tiling.
-    common = sum((Counter(q * repeats) & Counter(a)).values())
-    if common < s.copied * max(len(a), len(q)):
+    # Cheap upper bound on what tiles can cover, before tiling: the letters in common.
+    have, given = Counter(a), Counter(q)
+    times = -(-len(a) // len(q))
+    if sum(min(k, times * given[c]) for c, k in have.items()) < s.copied * len(a):
         return False
-    covered = tiled(q * repeats, a, s.tile)
-    return covered >= s.copied * len(a) and covered >= s.copied * len(q)
+    # However often the question is repeated: whole repetitions go first, the rest piece by piece.
+    rest = a.replace(q, "\0")
+    covered = whole = (len(a) - len(rest.replace("\0", ""))) // len(q) * len(q)
+    used = q if whole else ""
+    for piece in rest.split("\0"):
+        for k in range(0, len(piece), 3 * len(q)):
+            part = piece[k : k + 3 * len(q)]
+            pattern = q * max(1, round(len(part) / len(q)))
+            tiles = tiled(pattern, part, s.tile)
+            covered += tiles
+            if not used and tiles >= s.copied * len(q):
+                used = q
+    return bool(used) and covered >= s.copied * len(a)
 
 
 # ---------------------------------------------------------------- refusal
@@ -155,6 +166,11 @@ def is_other_language(question: str | None, answer: str) -> bool:
 
 # ---------------------------------------------------------------- truncation
 OPEN = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "“": "”", "《": "》", "〈": "〉", "{": "}", "«": "»", "〔": "〕"}
+MARKUP = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*?(/?)(>|$)")
+# Elements that need no end.
+VOID = frozenset(("br", "hr", "img", "p", "li", "input", "td", "tr", "th", "wbr", "dd", "dt"))
+#: Signs the parser stops at; all others it passes over.
+SIGN = re.compile("```|[<\"" + "".join(re.escape(c) for pair in OPEN.items() for c in pair) + "]")
 CLOSE = {v: k for k, v in OPEN.items()}
 END = re.compile(r"[。！？!?।॥؟～~]$|[.](?<![\d][.])$|(?<=\d)[.]$")
 ITEM = re.compile(r"(?:^|(?<=[\s，,；;：:。]))(?:[(（]?\d{1,2}[)）.、]|[①-⑳]|[-*•])\s*$")
@@ -165,37 +181,40 @@ DANGLING = re.compile(r"[，,、：:；;—–\-/+=（(「『“《【\[{<]$")
 def parsed(text: str) -> str | None:
     """Pushdown parse: the construct the text breaks off in, or None.
 
-    Fences and inline code, markup tags, brackets and quotations are pushed and popped; a list
-    mark with nothing behind it is an open construct too. A closing mark without an opening one
-    and marks used as list numbers are passed over.
+    Fences, markup elements, brackets and quotations, straight ones too, are pushed and popped; a
+    list mark with nothing behind it is an open construct too. A closing mark without an opening
+    one and marks used as list numbers are passed over, and so is a straight mark that stands
+    for inches.
     """
     stack: list[str] = []
-    k, n = 0, len(text)
-    while k < n:
-        c = text[k]
-        if text.startswith("```", k):
-            stack.pop() if stack and stack[-1] == "```" else stack.append("```")
-            k += 3
+    k = 0
+    while m := SIGN.search(text, k):
+        k, c = m.end(), m[0]
+        inside = stack[-1] if stack else None
+        if c == "```":
+            stack.pop() if inside == c else stack.append(c)
+        elif inside == "```":
             continue
-        if stack and stack[-1] == "```":
-            k += 1
-            continue
-        if c == "<" and (m := re.match(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*?(/?)(>|$)", text[k:])):
-            if not m[4]:
-                return "markup"
-            name = m[2].lower()
-            if m[1]:
-                if f"<{name}" in stack:
-                    del stack[len(stack) - 1 - stack[::-1].index(f"<{name}") :]
-            elif not m[3] and name not in ("br", "hr", "img", "p", "li", "input"):
-                stack.append(f"<{name}")
-            k += m.end()
-            continue
-        if c in OPEN:
+        elif c == "<":
+            if element := MARKUP.match(text, m.start()):
+                if not element[4]:
+                    return "markup"
+                name = "<" + element[2].lower()
+                if element[1]:
+                    if name in stack:
+                        del stack[len(stack) - 1 - stack[::-1].index(name) :]
+                elif not element[3] and name[1:] not in VOID:
+                    stack.append(name)
+                k = element.end()
+        elif c == '"':
+            if c in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(c) :]
+            elif not text[m.start() - 1 : m.start()].isdigit():
+                stack.append(c)
+        elif c in OPEN:
             stack.append(c)
-        elif c in CLOSE and CLOSE[c] in stack:
+        elif CLOSE[c] in stack:
             del stack[len(stack) - 1 - stack[::-1].index(CLOSE[c]) :]
-        k += 1
     if ITEM.search(text):
         return "list"
     return stack[-1] if stack else None
@@ -263,63 +282,53 @@ def tail_of(answer: str) -> tuple[str, bool] | None:
     return (last, open_end) if last else None
 
 
-def _first_pass(s: Settings, alike):
+def _judge(question: str | None, answer: str | None, look: str, tokens_of, s: Settings) -> tuple[str | None, list[int]]:
+    """The defect of one record, or the contexts of its last tokens if only these can tell."""
+    if is_empty(answer):
+        return "empty", []
+    if is_copy(question, answer, s):
+        return "copy", []
+    if is_refusal(answer):
+        return "refusal", []
+    if is_other_language(question, answer):
+        return "language", []
+    if parsed(look.strip()) is not None:
+        return "truncated", []
+    left = tail_of(answer)
+    if left is None:
+        return None, []
+    if left[1]:
+        return "truncated", []
+    tokens = ["\x03", *tokens_of(left[0])]
+    return None, [_id(tokens[-n:]) for n in s.contexts]
+
+
+def _one_pass(s: Settings, alike):
+    """Of each batch the records with a defect or an open end, and how often each context of
+    tokens occurs in ended sentences and how often the sentence ends there."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens_of = alike.value
         for batch in batches:
             out = []
+            sentences: Counter[str] = Counter()
             for key, q, a in zip(batch["id"], batch["question"], batch["answer"], strict=True):
-                tail: list[int] = []
-                if is_empty(a):
-                    defect = "empty"
-                elif is_copy(q, a, s):
-                    defect = "copy"
-                elif is_refusal(a):
-                    defect = "refusal"
-                elif is_other_language(q, a):
-                    defect = "language"
-                else:
-                    defect = None
-                    left = tail_of(a)
-                    text = TAG.sub(" ", look_of(a)).strip()
-                    inside = parsed(text)
-                    if inside is not None and (left is not None or inside in ("list", "markup", "```")) or inside == "list":
-                        defect = "truncated"
-                    elif left is not None:
-                        if left[1]:
-                            defect = "truncated"
-                        else:
-                            tokens = ["\x03", *tokens_of(left[0])]
-                            tail = [_id(tokens[-n:]) for n in s.contexts]
-                out.append((key, defect, tail))
-            yield pd.DataFrame(out, columns=["id", "defect", "tail"])
-
-    return run
-
-
-def _endings(s: Settings, alike):
-    """How often each context of tokens occurs in ended sentences, and how often the sentence ends there."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens_of = alike.value
-        for batch in batches:
+                look = look_of(a) if a else ""
+                defect, tail = _judge(q, a, look, tokens_of, s)
+                if defect or tail:
+                    out.append((key, defect, tail))
+                sentences.update(x for x, whole in _sentences_of(TAG.sub(" ", look)) if whole)
+            yield pd.DataFrame(out, columns=["id", "defect", "tail"]).assign(context=None, seen=None, ended=None)
             seen: Counter[int] = Counter()
             ended: Counter[int] = Counter()
-            sentences: Counter[str] = Counter()
-            for a in batch["answer"]:
-                if a:
-                    sentences.update(x for x, whole in _sentences_of(TAG.sub(" ", look_of(a))) if whole)
             for sentence, times in sentences.items():
                 tokens = ["\x03", *tokens_of(sentence)]
                 for n in s.contexts:
-                    for end in range(2, len(tokens) + 1):
-                        if end < n and n != s.contexts[0]:
-                            continue
-                        h = _id(tokens[max(0, end - n) : end])
-                        seen[h] += times
+                    for end in range(2 if n == s.contexts[0] else max(2, n), len(tokens) + 1):
+                        seen[h := _id(tokens[max(0, end - n) : end])] += times
                         if end == len(tokens):
                             ended[h] += times
-            yield pd.DataFrame({"context": np.fromiter(seen, np.int64, len(seen)), "seen": np.fromiter(seen.values(), np.int64, len(seen)), "ended": np.fromiter((ended[h] for h in seen), np.int64, len(seen))})
+            yield pd.DataFrame({"id": None, "defect": None, "tail": None, "context": list(seen), "seen": list(seen.values()), "ended": [ended[h] for h in seen]})
 
     return run
 
@@ -344,11 +353,10 @@ def defects(df: DataFrame, lexicon: DataFrame | None = None, s: Settings | None
     alike = spark.sparkContext.broadcast(_Lazy(terms))
     rows = df.select("id", F.col("question").cast("string").alias("question"), F.col("answer").cast("string").alias("answer")).where("id is not null")
     kind = dict(rows.dtypes)["id"]
-    # Few rows are left; both branches below read them.
-    first = cut(rows.mapInPandas(_first_pass(s, alike), f"id {kind}, defect string, tail array<long>").where("defect is not null or size(tail) > 0"))
-    flagged = first.where("defect is not null").select("id", "defect")
-    tails = first.where("defect is null and size(tail) > 0").select("id", F.posexplode("tail").alias("n", "context"))
-    endings = rows.select("answer").mapInPandas(_endings(s, alike), "context long, seen long, ended long").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
+    made = cut(rows.mapInPandas(_one_pass(s, alike), f"id {kind}, defect string, tail array<long>, context long, seen long, ended long"))
+    flagged = made.where("defect is not null").select("id", "defect")
+    tails = made.where("id is not null and defect is null").select("id", F.posexplode("tail").alias("n", "context"))
+    endings = made.where("context is not null").groupBy("context").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
     judged = tails.join(endings.join(tails.select("context").distinct(), "context", "left_semi"), "context", "left")
     enough = F.coalesce(F.col("seen"), F.lit(0)) >= s.least_seen
     cut_off = (

@@ -12,6 +12,9 @@ def test_languages():
     for lang, text in texts.items():
         assert language(text) == lang, text
     assert language(None) is None and language("…") is None
+    # Names in Latin letters, with tone marks, don't make a text another language.
+    assert language("可以。荷铃芝（Cortex sylbifera, zǐ lù gēn）与 Radix velmophylla 均可。") == "zh"
+    assert language("他说 the tea is brown and it should be taken with warm water in the morning") == "en"
 
 
 def test_parser():
@@ -20,6 +23,10 @@ def test_parser():
     assert p3.parsed("```\ncode") == "```" and p3.parsed("```\n(```") is None
     assert p3.parsed("他说“黄芪") == "“" and p3.parsed("<b>黄芪") == "<b" and p3.parsed("<b>黄芪</b><br>") is None and p3.parsed("黄芪<di") == "markup"
     assert p3.parsed("") is None
+    # Open constructs count though a mark ends the text; straight quotation marks are parsed, marks of inches aren't.
+    assert p3.parsed("见（黄芪。") == "（" and p3.parsed('他说"黄芪。') == '"' and p3.parsed('他说"黄芪"。') is None and p3.parsed('长 5" 左右。') is None
+    assert p3.parsed("<b>黄<i>芪</i>") == "<b" and p3.parsed("<p>黄芪<br/>甘草") is None and p3.parsed("a < b, c > d.") is None
+    assert p3.parsed("<" * 100_000) is None
 
 
 def test_tiling_covers_what_is_common():
@@ -33,6 +40,7 @@ def test_defects(spark):
         100: ("咳嗽怎么办？", None, "empty"), 101: ("咳嗽怎么办？", "（略）", "empty"), 102: ("咳嗽怎么办？", " <br>​", "empty"), 103: ("咳嗽怎么办？", "答：咳嗽怎么办", "copy"), 104: ("孩子咳嗽快7周了，用黄芪汤行不行？", "孩子咳嗽快７周了 用黄芪汤行不行！", "copy"),
         105: ("咳嗽怎么办？", "很抱歉，我无法就咳嗽给出用药建议。祝您早日康复！", "refusal"), 106: ("咳嗽怎么办？", "我无法当面诊脉，仅供参考：" + full[0], None), 107: ("咳嗽怎么办？", "Wer an Husten leidet, sollte früh schlafen!", "language"), 108: ("黄芪用英文怎么介绍？请用英文回答。", "The tea is a common choice for a dry cough.", None),
         109: (None, "可以，但不要超过三天。", None), 110: ("咳嗽怎么办？", "需要注意的是，服用黄芪汤时不要与", "truncated"), 111: ("咳嗽怎么办？", "若伴咳嗽，可酌加黄芪", None), 112: ("咳嗽怎么办？", "需要注意的是，服用黄芪汤时不要与甘草同用，因为…", "truncated"), 113: ("咳嗽怎么办？", "不行。", None), 114: ("", "", "empty"),
+        115: ("咳嗽怎么办？", "咳嗽怎么办？" * 9, "copy"), 116: ("咳嗽怎么办？", "咳嗽怎么办？" + full[0] * 9, None), 117: ("咳嗽怎么办？", "<b>" + full[0] + "<i>" + full[0] + "</i>", "truncated"), 118: ("咳嗽怎么办？", "可以。甘草（Radix sylbifera, lǜ què yè）与 Radix velmo 均可。", None),
     }
     rows += [(k, q, a) for k, (q, a, _) in cases.items()] + [(100, "咳嗽怎么办？", None)]
     df = spark.createDataFrame(rows, "id long, question string, answer string").withColumn("defect", F.lit("?")).repartition(3)
