@@ -36,11 +36,13 @@ CYRILLIC = ("АВЕЅІЈКМНОРСТХУԌԚԜаеѕіјорсухһԁԛԝѵ"
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹοϲϳνι", "ABEZHIKMNOPTYXCocjvi")
 CHEROKEE = ("ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᏔᏃ", "ABCDEHJKLMPRSTVWZ")
 CHEROKEE_R = ("Ꭱ", "R")
+COPTIC = ("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥ", "HIKMNOPCTXopc")
+ARMENIAN = ("ՍՏՕսոհցզօ", "USOunhgqo")
 
 # Radicals that have no compatibility mapping, and the character drawn the same.
 RADICALS = ("⺠⻁⻄⻅⻆⻉⻋⻌⻓⻔⻘⻙⻚⻛⻜⻝⻢⻥⻦⻨⻩⻬⻮⻰", "民虎西见角贝车辶长门青韦页风飞食马鱼鸟麦黄齐齿龙")
 
-LOOKALIKE = {ord(a): b for left, right in (CYRILLIC, GREEK, CHEROKEE, CHEROKEE_R, RADICALS) for a, b in zip(left, right, strict=True)}
+LOOKALIKE = {ord(a): b for left, right in (CYRILLIC, GREEK, CHEROKEE, CHEROKEE_R, COPTIC, ARMENIAN, RADICALS) for a, b in zip(left, right, strict=True)}
 
 #: Compatibility mappings of these kinds change what a reader sees.
 SEEN_KINDS = {"<super>", "<sub>", "<circle>", "<square>", "<fraction>"}
@@ -142,32 +144,62 @@ def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
+#: Records of one text that a task pairs with others at once.
+PART = 2000
+
+
+def _ids(records: DataFrame) -> DataFrame:
+    """record_table, key and the hashes of form, look and text of each record; distinct."""
+    given = records.select("record_table", F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text"))
+    given = given.where("record_table is not null and key is not null and text is not null")
+    return cut(given.mapInPandas(_hashes, "record_table string, key string, form_id binary, look_id binary, text_id binary").distinct())
+
+
+def classes(records: DataFrame) -> DataFrame:
+    """record_table, key, class_id, look_id, text_id, variants, links: one row per record and text.
+
+    records: record_table, key, text. A class holds the records whose forms, so after case
+    folding, are equal. variants is the number of different texts that look like this one, itself
+    included; links is the number of keys whose text looks the same but has other characters. Null and
+    blank texts and null keys have no row; repeated rows give one.
+    """
+    ids = _ids(records)
+    look, text = ["record_table", "form_id", "look_id"], ["record_table", "form_id", "look_id", "text_id"]
+    # Counted by text first, so that a text with very many copies is one row when its look is summed up.
+    of_text = ids.groupBy(*text).agg(F.count("*").alias("copies"))
+    of_look = of_text.groupBy(*look).agg(F.count("*").alias("variants"), F.sum("copies").alias("alike"))
+    per_text = of_text.join(of_look, look).withColumn("links", F.col("alike") - F.col("copies"))
+    return (
+        ids.join(per_text, text)
+        .select("record_table", "key", F.hex("form_id").alias("class_id"), F.hex("look_id").alias("look_id"), F.hex("text_id").alias("text_id"), "variants", "links")
+    )
+
+
 def same_look_pairs(records: DataFrame) -> DataFrame:
     """Pairs of keys whose whole texts look the same without being the same characters.
 
-    records: record_table, key, text. Only hashes of texts are shuffled. Classes are the
-    equal ``form``s; within them the exact check on ``look`` keeps letter case apart. Copies
-    are grouped by text first, so only pairs of different texts are ever formed, and these are
-    all part of the result. Null and blank texts and null keys belong to no pair; repeated rows
-    give one pair; a key that comes with two texts is compared by each of them.
+    records: record_table, key, text. Only hashes of texts are shuffled. Pairs are formed within
+    the classes of equal form; there the exact check on the look keeps letter case, which a
+    reader sees, apart. Different texts are paired first, then their records, so that copies never
+    meet copies; the records of a text with many are parted, and each part is another task's.
+    Null and blank texts and null keys belong to no pair; repeated rows give one pair; a key
+    that comes with two texts is compared by each of them.
     """
-    given = records.select("record_table", F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text"))
-    given = given.where("record_table is not null and key is not null and text is not null")
-    ids = given.mapInPandas(_hashes, "record_table string, key string, form_id binary, look_id binary, text_id binary")
-    ids = cut(ids.distinct())
+    ids = _ids(records)
     same = ["record_table", "form_id", "look_id"]
     mixed = ids.groupBy(*same).agg(F.min("text_id").alias("lo"), F.max("text_id").alias("hi")).where("lo <> hi").select(*same)
     ids = cut(ids.join(mixed, same, "left_semi"))
-    variants = ids.select(*same, "text_id").distinct()
-    left = variants.select(*same, F.col("text_id").alias("id_1"))
-    right = variants.select(*same, F.col("text_id").alias("id_2"))
-    members = ids.select("record_table", "text_id", "key")
+    texts = ids.groupBy(*same, "text_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    side = lambda k: texts.select(*same, F.col("text_id").alias(f"id_{k}"), F.col("parts").alias(f"parts_{k}"))
+    variants = side(1).join(side(2), same).where("id_1 < id_2").select("record_table", "id_1", "id_2", "parts_1", "parts_2")
+    # One row for each pair of parts; nearly all texts have one part.
+    variants = variants.withColumn("part_1", F.explode(F.sequence(F.lit(0), F.col("parts_1") - 1))).withColumn("part_2", F.explode(F.sequence(F.lit(0), F.col("parts_2") - 1)))
+    members = ids.join(texts.select("record_table", "text_id", "parts"), ["record_table", "text_id"]).select("record_table", "text_id", "key", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    member = lambda k: members.select("record_table", F.col("text_id").alias(f"id_{k}"), F.col("part").alias(f"part_{k}"), F.col("key").alias(f"key_{k}"))
     return (
-        left.join(right, same)
-        .where("id_1 < id_2")
-        .select("record_table", "id_1", "id_2")
-        .join(members.select("record_table", F.col("text_id").alias("id_1"), F.col("key").alias("key_1")), ["record_table", "id_1"])
-        .join(members.select("record_table", F.col("text_id").alias("id_2"), F.col("key").alias("key_2")), ["record_table", "id_2"])
+        variants.select("record_table", "id_1", "id_2", "part_1", "part_2")
+        .join(member(1), ["record_table", "id_1", "part_1"])
+        .join(member(2), ["record_table", "id_2", "part_2"])
         .where("key_1 <> key_2")
         .select("record_table", F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b"))
         .distinct()

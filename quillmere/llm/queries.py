@@ -15,6 +15,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_unify.same_look_pairs(data.records(spark, folder))
 
 
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with its class, and how many records look like it in other characters."""
+    return p1_unify.classes(data.records(spark, folder))
+
+
 def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
     """Every record with the consistent form of its text."""
     return p1_unify.unify(data.records(spark, folder).distinct(), "text", "form").select("record_table", F.col("key").alias("record_key"), "form")
@@ -70,7 +75,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each, "p6_found": p6_found, "p7_mix": p7_selection, "p7_report": p7_report, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p1_unified": p1_unified, "p2_found": p2_found, "p2_neighbours": p2_neighbours_of_each, "p3_found": p3_found, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_sentences": p5_sentences_of_each, "p6_found": p6_found, "p7_mix": p7_selection, "p7_report": p7_report, "p8_found": p8_found}
 
 
 #: Neighbours by comparing all vectors with each other, for the tables of tests.

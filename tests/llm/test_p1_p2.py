@@ -42,6 +42,31 @@ def test_pairs_against_brute_force(spark):
     assert p1.same_look_pairs(df.limit(0)).count() == 0
 
 
+def test_classes_and_records_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(p1, "PART", 3)
+    rows = [("t", f"a{k}", "黄芪 A") for k in range(10)] + [("t", f"b{k}", "黄芪 A") for k in range(8)] + [("t", "c", "黄芪 a"), ("t", "a0", "黄芪 A"), ("t", "d", " "), ("u", "a0", "黄芪 A")]
+    df = spark.createDataFrame(rows, "record_table string, key string, text string").repartition(4)
+    pairs = {(r["key_a"], r["key_b"]) for r in p1.same_look_pairs(df).collect()}
+    assert pairs == {(f"a{i}", f"b{k}") for i in range(10) for k in range(8)}
+    found = p1.classes(df).collect()
+    assert sorted((r["record_table"], r["key"], r["variants"], r["links"]) for r in found) == sorted([("t", f"a{k}", 2, 8) for k in range(10)] + [("t", f"b{k}", 2, 10) for k in range(8)] + [("t", "c", 1, 0), ("u", "a0", 1, 0)])
+    assert len({r["class_id"] for r in found if r["record_table"] == "t"}) == 1 and len({r["look_id"] for r in found}) == 2
+    assert p1.classes(df.limit(0)).count() == 0
+
+
+def test_look_alikes_are_those_of_the_public_table(spark):
+    """Each pair must be confusable by the skeletons of Unicode's table, as far as the JVM carries it."""
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker
+    try:
+        skeleton = checker.Builder().build().getSkeleton
+        skeleton("a")
+    except Exception:
+        return
+    wrong = {chr(a): b for a, b in p1.LOOKALIKE.items() if b.isascii() and skeleton(chr(a)) != skeleton(b)}
+    # One letter is drawn alike but isn't in that table.
+    assert set(wrong) <= {"\u051a"}
+
+
 def test_unify_keeps_rows(spark):
     df = spark.createDataFrame([(1, "ＡＢ"), (2, None), (3, "")], "id int, text string")
     assert [r["form"] for r in p1.unify(df).orderBy("id").collect()] == ["ab", None, ""]
