@@ -78,13 +78,31 @@ def _numbers_and_words(t: Column) -> Column:
     return _to(t, rf"(?<={MARK})[.](?= *\S)", MARK)
 
 
+def _before(t: Column, signs: str, closing: str, opening: str | None = None) -> Column:
+    """Masks marks in the parts of a line that a closing sign ends, however long they are.
+
+    The line is parted behind each of the signs, so every character is looked at once. With an
+    opening sign, only parts that this sign brings in count.
+    """
+    parts = F.split(t, f"(?<=[{signs}])")
+    ends = lambda x, cls: x.rlike(f"[{cls}]$")
+
+    def masked(x: Column, i: Column) -> Column:
+        inside = ends(x, closing)
+        if opening is not None:
+            inside = inside & (i > 0) & ends(F.get(parts, i - 1), opening)
+        return F.when(inside, _to(x, INNER, MARK)).otherwise(x)
+
+    return F.array_join(F.transform(parts, masked), "")
+
+
 def _pair(a: str, b: str):
     """Masks marks within a pair of quotation marks; one brought in by a colon may end its sentence."""
 
     def step(t: Column) -> Column:
         own = CUT_OF[b]
         cut = _to(t, f"([：:]{GONE}*{a}[^{a}{b}]*{INNER}){b}(?!{GONE}*[，,、；;：。！？!?)」』”])", "$1" + own)
-        return _if(t, a, _to(cut, f"{INNER}(?=[^{a}{b}{own}]*[{b}{own}])", MARK))
+        return _if(t, a, _before(cut, a + b + own, b + own))
 
     return step
 
@@ -93,20 +111,24 @@ def _bracket(a: str, b: str):
     """Masks marks within brackets; a bracket that stands alone is a sentence."""
 
     def step(t: Column) -> Column:
-        inside = _to(t, rf"(?<={a}[^{a}{b}]{{0,400}}){INNER}(?=[^{a}{b}]*{b})", MARK)
+        inside = _before(t, a + b, b, a)
         if b == r"\)":
             inside = _to(inside, rf"(?<=(?:^|[.{ENDS}{CUT}])[ {GONE}]{{0,3}})({a}[^{a}{b}]*{MARK}){b}(?![，,、；;：:])", "$1" + CUT_OF[")"])
-        return _if(t, a[-1], inside)
+        return _if(t, b[-1], _if(t, a[-1], inside))
 
     return step
 
 
 def _plain_quotes(t: Column) -> Column:
-    even = (F.length(t) - F.length(F.replace(t, F.lit('"'), F.lit("")))) % 2 == 0
-    plain = _to(t, INNER + '(?=[^"]*"(?:[^"]*"[^"]*")*[^"]*$)', MARK)
-    # After a quotation in plain marks a new sentence may start with a capital.
-    plain = _to(plain, f'(?<={MARK})"(?= +\\p{{Lu}})(?=[^"]*(?:"[^"]*"[^"]*)*$)', CUT_OF['"'])
-    return F.when(F.contains(t, F.lit('"')) & even, plain).otherwise(t)
+    parts = F.split(t, '"')
+
+    def joined(x: Column, i: Column) -> Column:
+        # After a quotation in plain marks a new sentence may start with a capital.
+        new = (i % 2 == 0) & x.rlike(r"^ +\p{Lu}") & F.get(parts, i - 1).rlike(f"{INNER}$")
+        sign = F.when(i == 0, F.lit("")).when(new, F.lit(CUT_OF['"'])).otherwise(F.lit('"'))
+        return F.concat(sign, F.when(i % 2 == 1, _to(x, INNER, MARK)).otherwise(x))
+
+    return F.when(F.contains(t, F.lit('"')) & (F.size(parts) % 2 == 1), F.array_join(F.transform(parts, joined), "")).otherwise(t)
 
 
 def _spaces(t: Column) -> Column:
@@ -124,11 +146,11 @@ STEPS = [
     lambda t: _to(_to(_to(t, INVISIBLE, GONE), f"[{EMOJI}]", FACE), rf"^(\s*){FACE}", "$1" + MARK),
     lambda t: _to(_to(t, r"^(\s*\d{1,3})[)]", "$1" + ITEM), r"(?<=[。！？；;:：])( *\d{1,3})[)]", "$1" + ITEM),
     lambda t: _to(t, r"(?<=\d)[～~](?=\d)", MARK),
-    lambda t: F.when(t.rlike(r"://|www\."), _to(t, r"(?<=(?:://|www\.)[^\s。！？，；”」)]{0,300})[.!?~](?=[^\s。！？，；”」)])", MARK)).otherwise(t),
+    lambda t: F.when(t.rlike(r"://|www\."), _to(t, r"((?:://|www\.)|\G(?!^))([^\s。！？，；”」).!?~]*)[.!?~](?=[^\s。！？，；”」)])", "$1$2" + MARK)).otherwise(t),
     lambda t: _if(t, ".", _numbers_and_words(t)),
     _pair("“", "”"), _pair("「", "」"), _pair("『", "』"),
-    lambda t: _if(t, "«", _to(t, f"{INNER}(?=[^«»]*»)", MARK)),
-    lambda t: _if(t, "„", _to(t, f"{INNER}(?=[^„“”]*[“”])", MARK)),
+    lambda t: _if(t, "«", _before(t, "«»", "»")),
+    lambda t: _if(t, "„", _before(t, "„“”", "“”")),
     _bracket("【", "】"), _bracket("《", "》"), _bracket(r"\(", r"\)"),
     _plain_quotes,
     _spaces,
@@ -151,32 +173,51 @@ def _with_ends(lines: DataFrame) -> DataFrame:
         masked = masked.withColumn("_t", step(F.col("_t")))
     heading = F.col("_line").rlike(rf"^\s*{INVISIBLE}*\s*[#＃]")
     pieces = F.when(heading, F.array("_t")).otherwise(F.split("_t", SPLIT))
-    ends = F.aggregate(
-        pieces,
-        F.struct(F.col("_start").cast("int").alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x)).cast("int").alias("at"),
-            F.when(
-                x.rlike(rf"[^\s{GONE}]"),
-                F.concat(acc["ends"], F.array((acc["at"] + F.length(F.regexp_replace(x, F.lit(rf"[\s{GONE}]+$"), F.lit("")))).cast("int"))),
-            ).otherwise(acc["ends"]).alias("ends"),
+    # Projections of their own: within the functions below a split would be made again for each run.
+    made = masked.withColumn("_pieces", pieces).withColumn("_runs", _runs(F.col("_pieces")))
+    # Each run of pieces starts where those before it end.
+    made = made.withColumn("_from", _sums(F.transform("_runs", lambda run: F.aggregate(run, F.lit(0), lambda n, x: (n + F.length(x)).cast("int")))))
+    ends = F.zip_with(
+        "_runs",
+        "_from",
+        lambda run, begin: F.aggregate(
+            run,
+            F.struct((F.col("_start") + begin).cast("int").alias("at"), F.array().cast("array<int>").alias("ends")),
+            lambda acc, x: F.struct(
+                (acc["at"] + F.length(x)).cast("int").alias("at"),
+                F.when(
+                    x.rlike(rf"[^\s{GONE}]"),
+                    F.concat(acc["ends"], F.array((acc["at"] + F.length(F.regexp_replace(x, F.lit(rf"[\s{GONE}]+$"), F.lit("")))).cast("int"))),
+                ).otherwise(acc["ends"]).alias("ends"),
+            ),
+            lambda acc: acc["ends"],
         ),
-        lambda acc: acc["ends"],
     )
-    return masked.withColumn("_ends", ends)
+    return made.withColumn("_ends", F.flatten(ends))
 
 
-def _lines(df: DataFrame, keys: list[str], text: str, chat: Column | None) -> DataFrame:
-    """keys, chat, start, line: the lines that are not blank, with the position each starts at."""
-    given = df.where(F.col(text).isNotNull()).select(*keys, (F.lit(False) if chat is None else chat).alias("_chat"), F.split(text, "\n").alias("_lines"))
-    starts = F.aggregate(
-        F.col("_lines"),
+def _runs(parts: Column, size: int = 256) -> Column:
+    """An array in runs, so that summing up over a very long one copies only a run at each step."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(parts), F.lit(1)) - 1) / size).cast("int")), lambda k: F.slice(parts, k * size + 1, F.lit(size)))
+
+
+def _sums(lengths: Column) -> Column:
+    """For each element the sum of those before it."""
+    return F.aggregate(
+        lengths,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).cast("int").alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+        lambda acc, n: F.struct((acc["at"] + n).cast("int").alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
         lambda acc: acc["all"],
     )
-    both = F.arrays_zip(starts.alias("start"), F.col("_lines").alias("line"))
-    return given.select(*keys, "_chat", F.explode(both).alias("_one")).select(*keys, "_chat", F.col("_one")["start"].alias("_start"), F.col("_one")["line"].alias("_line")).where("trim(_line) <> ''")
+
+
+def _lines(df: DataFrame, keys: list[str], text: str, chat: Column | None) -> DataFrame:
+    """keys, chat, start, line: the lines that are not blank, with the position each starts at."""
+    given = df.where(F.col(text).isNotNull()).select(*keys, (F.lit(False) if chat is None else chat).alias("_chat"), F.split(text, "\n").alias("_all")).withColumn("_runs", _runs(F.col("_all")))
+    lengths = lambda run: F.transform(run, lambda x: F.length(x) + 1)
+    begins = _sums(F.transform("_runs", lambda run: F.aggregate(lengths(run), F.lit(0), lambda n, x: (n + x).cast("int"))))
+    both = F.zip_with("_runs", begins, lambda run, begin: F.arrays_zip(F.transform(_sums(lengths(run)), lambda at: begin + at).alias("start"), run.alias("line")))
+    return given.select(*keys, "_chat", F.explode(F.flatten(both)).alias("_one")).select(*keys, "_chat", F.col("_one")["start"].alias("_start"), F.col("_one")["line"].alias("_line")).where("trim(_line) <> ''")
 
 
 def sentences(df: DataFrame, keys: list[str], text: str = "text", chat: Column | None = None) -> DataFrame:

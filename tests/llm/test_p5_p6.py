@@ -55,6 +55,23 @@ def test_lines_headings_and_edges(spark):
     assert said >= {"# 一。二。", "1. 加水浸泡60分钟。", "煎服分三盏", "👍好。", "尾"}
 
 
+def test_long_lines(spark):
+    import time
+
+    deep = "乌坡皮（" + "性平" * 300 + "。味淡" * 200 + "。）宜用。"
+    link = "见 http://a.b/" + "c." * 400 + "d 一文。"
+    quote = '他说"' + "先看。" * 300 + '"，可。'
+    # A megabyte on one line, with marks that are never closed.
+    huge = "他写道：“（先看舌。" + "夜里不渴。" * 200_000
+    df = spark.createDataFrame([("a", deep + deep), ("b", link + "好。"), ("c", quote), ("d", huge)], "record_key string, text string")
+    begun = time.perf_counter()
+    got = {}
+    for r in p5.sentences(df, ["record_key"]).collect():
+        got.setdefault(r["record_key"], []).append(r["end_pos"])
+    assert sorted(got["a"]) == [len(deep), 2 * len(deep)] and sorted(got["b"]) == [len(link), len(link) + 2] and got["c"] == [len(quote)]
+    assert len(got["d"]) == 200_001 and time.perf_counter() - begun < 60
+
+
 def test_alignment():
     code = lambda s: p6._codes(s)
     assert p6.stretch(code("abcdefghij"), code("xxabcdefghijyy"), 2) == (10, 0)
