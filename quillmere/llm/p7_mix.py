@@ -38,29 +38,32 @@ class Settings:
 # Fixed value: the pattern that splits texts for byte-level encodings of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_encodings: dict[str, object] = {}
+_encodings: dict[int, object] = {}
 
 
-def _encoding(path: str):
-    if path not in _encodings:
+def _encoding(ranks: bytes):
+    """The encoding of a rank file, made once per worker."""
+    if (known := hash(ranks)) not in _encodings:
         import tiktoken
 
         try:
             from public_tokenizers import PATTERN as pattern
         except ImportError:
             pattern = PATTERN
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _encodings[known] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+    return _encodings[known]
 
 
 def sized(documents: DataFrame, s: Settings) -> DataFrame:
     """doc_id, source, lang, tokens of documents that have tokens; a repeated doc_id counts once."""
     kind = dict(documents.dtypes)["doc_id"]
+    # The file is needed at the driver alone; one vocabulary of some tens of thousands of entries is sent along.
+    with open(s.tokenizer, "rb") as file:
+        ranks = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = _encoding(s.tokenizer)
+        encoding = _encoding(ranks.value)
         for batch in batches:
             codes, distinct = pd.factorize(batch["text"])
             tokens = [len(encoding.encode_ordinary(t)) for t in distinct]
