@@ -28,6 +28,8 @@ class Retrieval:
     embedding_dim: int = 256
     #: Query sets up to this many rows are broadcast; larger ones go in blocks of this size.
     query_block: int = 5000
+    #: Whether a stored index keeps the terms of the lexicon whole, beside pairs of characters.
+    whole_terms: bool = False
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,7 @@ from quillmere.functions import text as tx
 from quillmere.operators import lexicon as lx
 from quillmere.operators import memory, nli
 from quillmere.operators.embedding import Encoder
+from quillmere.operators.index import TermIndex
 from quillmere.operators.retrieval import retrieve
 from quillmere.session import cut
 
@@ -173,7 +174,7 @@ def compose(questions: DataFrame, evidence: DataFrame, lexicon: DataFrame, a: Ag
     return answers.join(tops, "query_id").select("query_id", answer.alias("answer"), "claims", "citations", "quotes")
 
 
-def answer(questions: DataFrame, chunks: DataFrame, lexicon: DataFrame, config: Config | None = None, mode: str = "react", recent: DataFrame | None = None, encoder: Encoder | None = None) -> DataFrame:
+def answer(questions: DataFrame, chunks: DataFrame, lexicon: DataFrame, config: Config | None = None, mode: str = "react", recent: DataFrame | None = None, encoder: Encoder | None = None, index: TermIndex | None = None) -> DataFrame:
     """One row for each question (query_id, text): answer, refused, citations, signals, rounds_used, trace.
 
     A first search is followed by at most max_rounds - 1 more, each only for the questions whose
@@ -181,13 +182,15 @@ def answer(questions: DataFrame, chunks: DataFrame, lexicon: DataFrame, config:
     ends with a checkpoint, so plans stay small and work survives lost executors.
     """
     c = config or Config()
+    # All rounds search the same index.
+    index = index or TermIndex.build(chunks)
     asked = questions.select("query_id", "text").where("query_id is not null and text is not null").dropDuplicates(["query_id"])
     if recent is not None:
         asked = resolve_anaphora(analyze(asked, lexicon).select("query_id", "text", "entities"), recent).select("query_id", F.col("resolved").alias("text"), F.col("text").alias("asked"))
     else:
         asked = asked.withColumn("asked", F.col("text"))
     state = cut(analyze(asked, lexicon).select("query_id", "text", "asked", "entities", "focus_terms", "query_type").withColumn("query", initial_query("text", "focus_terms")))
-    search = lambda df: retrieve(df.select("query_id", F.col("query").alias("text")), chunks, lexicon, "full", None, c, encoder).select("query_id", "chunk_id", "score")
+    search = lambda df: retrieve(df.select("query_id", F.col("query").alias("text")), chunks, lexicon, "full", None, c, encoder, index).select("query_id", "chunk_id", "score")
     pool = cut(search(state))
     now = cut(signals(state, pool, chunks, lexicon))
     state = state.withColumn("history", F.array("query")).withColumn("rounds_used", F.lit(1)).withColumn("action", F.lit("search"))

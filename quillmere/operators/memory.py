@@ -7,8 +7,14 @@ long, is never gathered.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,7 +27,7 @@ from quillmere.operators import lexicon as lx
 from quillmere.operators import nli
 from quillmere.operators.embedding import Encoder, create_encoder
 
-SENTENCE_ENDS = "。！？；!?;\n"
+SENTENCE = re.compile(r"[^。！？；!?;\n]*[。！？；!?;\n]|[^。！？；!?;\n]+$")
 
 
 def latest_turns(turns: DataFrame) -> DataFrame:
@@ -32,7 +38,7 @@ def latest_turns(turns: DataFrame) -> DataFrame:
 
 def fold(df: DataFrame, key: str, order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, dict], list[tuple]]) -> DataFrame:
     """Runs step over the rows of each key in order; step changes the state and gives output rows."""
-    columns = [f.split()[0] for f in schema.split(", ")]
+    columns = [f.split()[0] for f in schema.split(", ")]  # types are written without blanks after commas
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None
@@ -53,72 +59,70 @@ def effective_importance(base: str = "base_importance", turn: str = "turn", sess
     return F.round(F.coalesce(F.col(base), F.lit(0.0)) * F.pow(F.lit(decay), F.max(turn).over(Window.partitionBy(session)) - F.col(turn)), 6)
 
 
-def sentences(text: str) -> list[str]:
-    out, start = [], 0
-    for k, c in enumerate(text):
-        if c in SENTENCE_ENDS:
-            out.append(text[start : k + 1].strip())
-            start = k + 1
-    return [s for s in [*out, text[start:].strip()] if s]
+class Turn(NamedTuple):
+    number: int
+    role: str
+    text: str
+    importance: float
+    tokens: int
+    has_terms: bool
+
+    def faded(self, now: int, decay: float) -> float:
+        return self.importance * decay ** (now - self.number)
+
+    def piece(self) -> str:
+        """What a summary keeps of a turn: its first sentences, two if it names known terms."""
+        parts = [p for m in SENTENCE.finditer(self.text) if (p := m[0].strip())][: 2 if self.has_terms else 1]
+        return f"[{'患' if self.role == 'user' else '医'}]{''.join(parts)[:120]}"
 
 
 @dataclass
 class Window_:
-    """The active turns (number, role, text, importance, tokens, has terms) and the summary."""
+    """The active turns and the summary of those that left."""
 
-    active: list[tuple[int, str, str, float, int, bool]] = field(default_factory=list)
+    active: list[Turn] = field(default_factory=list)
     summary: str = ""
     compressed: int = 0
 
-
-def shorten(summary: str, limit: int) -> str:
-    """The newest pieces of a summary that fit into a number of tokens."""
-    if python_tokens(summary) <= limit:
-        return summary
-    kept, used = [], 0
-    for piece in reversed(summary.split(" ")):
-        n = python_tokens(piece)
-        if used + n > limit:
-            break
-        kept.append(piece)
-        used += n
-    return " ".join(reversed(kept))
-
-
-def _compress(w: Window_, turns: list, last: int, s: ShortTerm) -> None:
-    ranked = sorted(turns, key=lambda t: -(t[3] * s.decay ** (last - t[0])))
-    pieces = []
-    for _, role, text, _, _, has_terms in ranked:
-        parts = sentences(text)
-        pieces.append(f"[{'患' if role == 'user' else '医'}]" + "".join((parts if has_terms else parts[:1])[:2])[:120])
-    w.summary = shorten((w.summary + " " + " ".join(pieces)).strip(), s.summary_max_tokens)
-    w.compressed += len(turns)
-
-
-def add_turn(w: Window_, number: int, role: str, text: str, importance: float, has_terms: bool, s: ShortTerm) -> list[int]:
-    """Adds a turn; gives the turns that were compressed for it: those beyond the window, then
-    the least important ones beyond the token budget, but never the newest."""
-    w.active.append((number, role, text, importance, python_tokens(text), has_terms))
-    gone: list = []
-    if len(w.active) > s.window_turns:
-        over, w.active = w.active[: -s.window_turns], w.active[-s.window_turns :]
-        _compress(w, over, number, s)
-        gone += over
-    while len(w.active) > 1 and sum(t[4] for t in w.active) > s.max_window_tokens:
-        weakest = min(w.active[:-1], key=lambda t: t[3] * s.decay ** (number - t[0]))
-        w.active.remove(weakest)
-        _compress(w, [weakest], number, s)
-        gone.append(weakest)
-    return [t[0] for t in gone]
+    @property
+    def tokens(self) -> int:
+        return sum(t.tokens for t in self.active)
+
+    def leave(self, gone: list[Turn], limit: int) -> None:
+        """Turns go into the summary, which keeps its newest pieces within a number of tokens."""
+        pieces = " ".join(filter(None, (self.summary, *(t.piece() for t in gone)))).strip().split(" ")
+        fits = bisect_right(list(accumulate(map(python_tokens, reversed(pieces)))), limit)
+        self.summary = " ".join(pieces[len(pieces) - fits :])
+        self.compressed += len(gone)
+
+
+def add_turn(w: Window_, turn: Turn, s: ShortTerm) -> list[int]:
+    """Adds a turn; gives the numbers of those that leave for it: all beyond the window, the most
+    important first, then the least important ones until the token budget holds, never the newest."""
+    turns = [*w.active, turn]
+    weight = lambda t: t.faded(turn.number, s.decay)
+    beyond = turns[: max(0, len(turns) - s.window_turns)]
+    within = turns[len(beyond) :]
+    weakest = sorted(within[:-1], key=weight)
+    excess = sum(t.tokens for t in within) - s.max_window_tokens
+    # Of the turns by rising weight as few as bring the sum down to the budget.
+    freed = list(accumulate((t.tokens for t in weakest), initial=0))
+    out = weakest[: bisect_left(freed, excess)] if excess > 0 else []
+    w.active = [t for t in within if t not in out]
+    if beyond or out:
+        w.leave(sorted(beyond, key=weight, reverse=True) + out, s.summary_max_tokens)
+    return [t.number for t in (*beyond, *out)]
 
 
 def context(w: Window_) -> str:
     """Summary and window as text."""
     names = {"user": "患者", "assistant": "医师"}
-    blocks = [f"【历史摘要】{w.summary}"] if w.summary else []
-    if w.active:
-        blocks.append("【近期对话】\n" + "\n".join(f"{names.get(t[1], '系统')}: {t[2]}" for t in w.active))
-    return "\n\n".join(blocks)
+    lines = [f"{names.get(t.role, '系统')}: {t.text}" for t in w.active]
+    return "\n\n".join(([f"【历史摘要】{w.summary}"] if w.summary else []) + (["\n".join(["【近期对话】", *lines])] if lines else []))
+
+
+def turn_of(number: int, role: str | None, text: str, found: list, c: Lexicon) -> Turn:
+    return Turn(number, role or "", text, lx.python_importance(found, c), python_tokens(text), bool(found))
 
 
 REPLAY = "session string, turn int, compressed array<int>, n_active int, active_tokens int, n_compressed int, summary string, context string"
@@ -133,8 +137,8 @@ def replay(turns: DataFrame, lexicon: DataFrame, s: ShortTerm | None = None, c:
     def step(w: Window_, row: dict) -> list[tuple]:
         text = row["text"] or ""
         found = shared.value.find(text)
-        gone = add_turn(w, int(row["turn"]), row["role"] or "", text, lx.python_importance(found, c), bool(found), s)
-        return [(row["session"], int(row["turn"]), gone, len(w.active), sum(t[4] for t in w.active), w.compressed, w.summary, context(w))]
+        gone = add_turn(w, turn_of(int(row["turn"]), row["role"], text, found, c), s)
+        return [(row["session"], int(row["turn"]), gone, len(w.active), w.tokens, w.compressed, w.summary, context(w))]
 
     return fold(latest_turns(turns).select("session", "turn", "role", "text"), "session", ["turn"], REPLAY, Window_, step)
 
@@ -157,61 +161,131 @@ def recent_entities(turns: DataFrame, last_n: int = 3, role: str | None = None)
 
 
 # ---------------------------------------------------------------- long-term memory
-@dataclass
+RECORD = "struct<id:string,content:string,importance:double,status:string,hits:int,source:string,conflicts:string,embedding:array<float>>"
+WRITES = f"key string, seq long, action string, record_id string, importance double, similarity double, reason string, n_active int, changed array<{RECORD}>"
+
+
 class Facts:
-    """Records of one key: id, content, importance, vector, status, hits, conflicts."""
-
-    rows: list[dict] = field(default_factory=list)
-
-
-WRITES = "key string, seq long, action string, record_id string, importance double, similarity double, reason string, n_active int"
-
-
-def write_fact(state: Facts, key: str, seq: int, content: str | None, source: str, found: list, vector: np.ndarray, judge: nli.Judge, p: LongTerm, c: Lexicon) -> tuple:
-    """One write: rejected, merged into a near copy, decided against a contradicting fact, or inserted."""
-    import hashlib
-
-    text = (content or "").strip()
-    weight = lx.python_importance(found, c)
-    active = lambda: sum(r["status"] == "active" for r in state.rows)
-    if not text or weight < p.write_importance:
-        return key, seq, "rejected_low_importance", None, weight if text else 0.0, None, "empty_content" if not text else None, active()
-    near = sorted(((float(np.dot(r["vector"], vector)), -i, r) for i, r in enumerate(state.rows) if r["status"] == "active"), key=lambda x: (-x[0], -x[1]))[: p.neighbours]
-    new = {"id": "mem_" + hashlib.md5(f"{key}\x1f{text}\x1f{seq}".encode()).hexdigest()[:10], "content": text, "importance": weight, "vector": vector, "status": "active", "hits": 0, "source": source, "conflicts": []}
-    if near and near[0][0] >= p.merge_similarity:
-        sim, _, old = near[0]
-        old.update(hits=old["hits"] + 1, importance=max(old["importance"], weight), vector=vector, content=max(old["content"], text, key=len))
-        return key, seq, "merged", old["id"], weight, round(sim, 4), None, active()
-    for sim, _, old in near:
-        if sim < p.candidate_similarity:
-            break
-        label, _, why = judge.judge(old["content"], text)
-        if label == "contradiction":
-            wins = p.policy == "newer_wins" or p.policy == "importance_wins" and weight >= old["importance"]
-            old["conflicts"].append((why, "superseded_by_new" if wins else "kept_old"))
-            if wins:
-                old["status"] = "superseded"
-                new["conflicts"].append((why, "supersedes_old"))
-                state.rows.append(new)
-            return key, seq, "conflict_superseded" if wins else "conflict_rejected", (new if wins else old)["id"], weight, round(sim, 4), why, active()
-    state.rows.append(new)
-    return key, seq, "inserted", new["id"], weight, round(near[0][0], 4) if near else None, None, active()
-
-
-def write_all(facts: DataFrame, lexicon: DataFrame, p: LongTerm | None = None, c: Lexicon | None = None, encoder: Encoder | None = None) -> DataFrame:
-    """The action of each write (key, seq, content, source), in order of seq within its key."""
+    """The records of one key. Active ones are rows of one matrix; what is superseded leaves it.
+
+    A key holds no two records that are nearly equal, as these are merged: its state grows with
+    the different facts told under it, about two kilobytes each, not with what is told.
+    """
+
+    def __init__(self, dim: int):
+        self.records: list[dict] = []
+        self.matrix = np.zeros((16, dim))
+
+    def __len__(self) -> int:
+        return len(self.records)
+
+    def put(self, k: int, record: dict, vector: np.ndarray) -> None:
+        if k == len(self.matrix):
+            self.matrix = np.vstack([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[k] = vector
+        self.records[k : k + 1] = [record]
+
+    def drop(self, k: int) -> dict:
+        n = len(self)
+        self.matrix[k : n - 1] = self.matrix[k + 1 : n]
+        return self.records.pop(k)
+
+    def nearest(self, vector: np.ndarray, count: int) -> list[tuple[float, int]]:
+        """Similarity and place of the nearest records, the earlier of equals first."""
+        like = self.matrix[: len(self)] @ vector
+        few = np.argpartition(-like, count - 1)[:count] if len(like) > count else np.arange(len(like))
+        # All that are as near as the last of these take part in the order.
+        few = np.flatnonzero(like >= like[few].min()) if len(few) else few
+        return [(float(like[k]), int(k)) for k in sorted(few, key=lambda k: (-like[k], k))][:count]
+
+    def shown(self, k: int) -> dict:
+        return {**self.records[k], "embedding": self.matrix[k].astype(np.float32)}
+
+
+def _noted(record: dict, why: str, how: str) -> None:
+    record["conflicts"] = json.dumps([*json.loads(record["conflicts"] or "[]"), {"reason": why, "resolution": how}], ensure_ascii=False)
+
+
+def write_fact(facts: Facts, key: str, seq: int, content: str, source: str, weight: float, vector: np.ndarray, judge: nli.Judge, p: LongTerm) -> tuple:
+    """One write: rejected, merged into a near copy, decided against a contradicting fact, or
+    inserted. Gives the action and the records that it changed, as they are now."""
+    told = lambda action, record=None, like=None, why=None, changed=(): (
+        key, seq, action, record and record["id"], weight if content else 0.0, None if like is None else round(like, 4), why, len(facts), list(changed),
+    )
+    if not content or weight < p.write_importance:
+        return told("rejected_low_importance", why=None if content else "empty_content")
+    near = facts.nearest(vector, p.neighbours)
+    best = near[0][0] if near else None
+    if near and best >= p.merge_similarity:
+        k = near[0][1]
+        old = facts.records[k]
+        facts.put(k, {**old, "hits": old["hits"] + 1, "importance": max(old["importance"], weight), "content": max(old["content"], content, key=len)}, vector)
+        return told("merged", old, best, changed=[facts.shown(k)])
+    new = {"id": "mem_" + hashlib.md5(f"{key}\x1f{content}\x1f{seq}".encode()).hexdigest()[:10], "content": content, "importance": weight, "status": "active", "hits": 0, "source": source, "conflicts": "[]"}
+    verdicts = ((like, k, *judge.judge(facts.records[k]["content"], content)) for like, k in near if like >= p.candidate_similarity)
+    against = next(((like, k, why) for like, k, label, _, why in verdicts if label == "contradiction"), None)
+    if against is None:
+        facts.put(len(facts), new, vector)
+        return told("inserted", new, best, changed=[facts.shown(len(facts) - 1)])
+    like, k, why = against
+    old = facts.records[k]
+    if p.policy == "newer_wins" or (p.policy == "importance_wins" and weight >= old["importance"]):
+        _noted(old, why, "superseded_by_new"), _noted(new, why, "supersedes_old")
+        gone = {**facts.shown(k), "status": "superseded"}
+        facts.drop(k)
+        facts.put(len(facts), new, vector)
+        return told("conflict_superseded", new, like, why, [gone, facts.shown(len(facts) - 1)])
+    _noted(old, why, "kept_old")
+    return told("conflict_rejected", old, like, why, [facts.shown(k)])
+
+
+def write_all(facts: DataFrame, lexicon: DataFrame, p: LongTerm | None = None, c: Lexicon | None = None, encoder: Encoder | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The action of each write (key, seq, content, source), in order of seq within its key, and
+    the records it changed.
+
+    known: records of an earlier time (key and the fields of a record); the writes of a key go on
+    from its active ones. Null contents are rejected like empty ones.
+    """
     p, c = p or LongTerm(), c or Lexicon()
     e = create_encoder(encoder)
     shared = facts.sparkSession.sparkContext.broadcast(lx.matcher(lexicon, c))
     judges: dict[int, nli.Judge] = {}
 
     def step(state: Facts, row: dict) -> list[tuple]:
+        if (old := row["record"]) is not None:
+            vector = np.asarray(old["embedding"], np.float64)
+            state.put(len(state), {k: old[k] for k in ("id", "content", "importance", "status", "hits", "source", "conflicts")}, vector)
+            return []
         judge = judges.setdefault(0, nli.Judge(shared.value))
         text = (row["content"] or "").strip()
-        return [write_fact(state, row["key"], int(row["seq"]), text, row["source"] or "", shared.value.find(text), e.encode([text])[0], judge, p, c)]
-
-    given = facts.where("key is not null and seq is not null").select(F.col("key").cast("string").alias("key"), F.col("seq").cast("long").alias("seq"), "content", "source")
-    return fold(given, "key", ["seq", "content"], WRITES, Facts, step)
+        weight = lx.python_importance(shared.value.find(text), c)
+        return [write_fact(state, row["key"], int(row["seq"]), text, row["source"] or "", weight, e.encode([text])[0], judge, p)]
+
+    given = facts.where("key is not null and seq is not null").select(F.col("key").cast("string").alias("key"), F.lit(1).alias("later"), F.col("seq").cast("long").alias("seq"), "content", "source", F.lit(None).cast(RECORD).alias("record"))
+    if known is not None:
+        fields = [f.split(":")[0] for f in RECORD[len("struct<") : -1].replace("array<float>", "array").split(",")]
+        fit = known.where((F.col("status") == "active") & (F.size("embedding") == e.dim)).select("key", F.struct(*fields).cast(RECORD).alias("record"))
+        fit = fit.join(given.select("key").distinct(), "key", "left_semi")
+        given = given.unionByName(fit.select("key", F.lit(0).alias("later"), F.lit(0).cast("long").alias("seq"), F.col("record.id").alias("content"), F.lit("").alias("source"), "record"))
+    return fold(given, "key", ["later", "seq", "content"], WRITES, lambda: Facts(e.dim), step)
+
+
+def records_of(writes: DataFrame) -> DataFrame:
+    """The records that writes left behind, each in its last state: key, fields of a record, seq."""
+    each = writes.select("key", "seq", F.explode("changed").alias("r")).select("key", "seq", "r.*")
+    last = Window.partitionBy("key", "id").orderBy(F.desc("seq"))
+    return each.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
+
+
+def recall_of_key(queries: DataFrame, records: DataFrame, k: int = 3) -> DataFrame:
+    """query_id, id, content, score, rank: of the active records of a query's own key the most
+    similar, weighted by importance. queries: query_id, key, embedding."""
+    asked = queries.where("query_id is not null and key is not null").select("query_id", "key", F.col("embedding").alias("_q"))
+    mine = records.where("status = 'active'").select("key", "id", "content", "importance", F.col("embedding").alias("_r"))
+    product = F.aggregate(F.zip_with("_q", "_r", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    scored = asked.join(mine, "key").where(F.size("_q") == F.size("_r")).withColumn("score", F.round(F.greatest(product, F.lit(0.0)) * (0.75 + 0.25 * F.coalesce("importance", F.lit(0.0))), 4))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "content", "score", "rank")
 
 
 def latest_records(memories: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ queries: query_id, text. chunks: chunk_id, text and, for reranking, source_type
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from quillmere.config import Config, EvidenceFilter, Retrieval
 from quillmere.functions import text as tx
 from quillmere.operators import lexicon as lx
 from quillmere.operators.embedding import Encoder, create_encoder, encode, top_k
+from quillmere.operators.index import TermIndex, words_of
+from quillmere.session import cut
 
 MODES = ("dense", "bm25", "hybrid", "hybrid_rerank", "full")
 
@@ -29,31 +33,31 @@ def _map(values: dict) -> Column:
 
 def term_statistics(chunks: DataFrame, r: Retrieval | None = None) -> DataFrame:
     """term, df, idf. A term in more than half of the chunks gets a small share of the mean."""
-    r = r or Retrieval()
-    df = chunks.select(F.explode(F.array_distinct(tx.tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = chunks.agg(F.count("*").alias("n_chunks"))
-    raw = df.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, r.epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return TermIndex.build(chunks).weights((r or Retrieval()).epsilon)
 
 
-def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int | None = None, r: Retrieval | None = None) -> DataFrame:
+def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int | None = None, r: Retrieval | None = None, index: TermIndex | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank of the best chunks with a positive score.
 
-    Only postings of query terms are counted and shuffled; query terms are sent to all tasks as
-    long as the query set is a block. Repeated query terms count each time. Ties rank by id.
+    With an index only its postings of query terms are read; without one it is made of the
+    chunks. Query terms are sent to all tasks as long as the query set is a block. Repeated query
+    terms count each time. Ties rank by id. lexicon: for an index that keeps its terms whole.
     """
     r = r or Retrieval()
-    asked = queries.where("query_id is not null").select("query_id", F.explode(tx.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    ix = index or TermIndex.build(chunks)
+    words = words_of(queries.where("query_id is not null"), "text", lexicon if ix.whole_terms else None)
+    asked = words.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     few = queries.limit(r.query_block + 1).count() <= r.query_block
     near = F.broadcast if few else (lambda df: df)
-    words = chunks.where("chunk_id is not null").select("chunk_id", tx.tokens("text").alias("words")).withColumn("length", F.size("words")).where("length >= 0")
-    average = words.agg(F.avg("length").alias("avgdl"))
-    postings = words.select("chunk_id", "length", F.explode("words").alias("term")).join(near(asked.select("term").distinct()), "term", "left_semi").groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))
-    idf = term_statistics(chunks, r).join(near(asked.select("term").distinct()), "term", "left_semi")
+    if few:
+        # The terms of a block of queries, a bounded set, are found once.
+        asked = cut(asked)
+    terms = asked.select("term").distinct()
+    idf = ix.weights(r.epsilon).join(near(terms), "term", "left_semi")
+    average = ix.sizes.select((F.col("total") / F.col("n_chunks")).alias("avgdl"))
     weight = F.col("times") * F.col("idf") * F.col("tf") * (r.k1 + 1) / (F.col("tf") + r.k1 * (1 - r.b + r.b * F.col("length") / F.col("avgdl")))
     scored = (
-        postings.join(near(asked.join(near(idf), "term")), "term").join(F.broadcast(average))
+        ix.of(near(terms)).join(near(asked.join(near(idf), "term")), "term").join(F.broadcast(average))
         .groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -78,7 +82,7 @@ def fuse(channels: dict[str, DataFrame], rrf_k: int = 60) -> DataFrame:
     return all_.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("rrf"))
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", config: Config | None = None, encoder: Encoder | None = None) -> DataFrame:
+def candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", config: Config | None = None, encoder: Encoder | None = None, index: TermIndex | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, dense, bm25_norm, rrf, rrf_norm, position: fused candidates in order.
 
     Scores are absolute: BM25 saturates as s / (s + 10), fusion is divided by the best it can be.
@@ -86,8 +90,14 @@ def candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", conf
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     r = (config or Config()).retrieval
-    use = {name: make(queries, chunks, None, r) if name == "bm25" else make(queries, chunks, None, r, encoder)
-           for name, make in (("dense", dense_top_k), ("bm25", bm25_top_k)) if mode not in ("dense", "bm25") or mode == name}
+    channels = {"dense": lambda: dense_top_k(queries, chunks, None, r, encoder), "bm25": lambda: bm25_top_k(queries, chunks, None, r, index, lexicon)}
+    use = {name: make() for name, make in channels.items() if mode not in ("dense", "bm25") or mode == name}
+    return fused(use, chunks, mode, r)
+
+
+def fused(use: dict[str, DataFrame], chunks: DataFrame, mode: str, r: Retrieval) -> DataFrame:
+    """The candidates of a mode from the ranked lists of its channels."""
+    use = {name: ranked for name, ranked in use.items() if mode not in ("dense", "bm25") or mode == name}
     columns = {"dense": F.col("score").alias("dense"), "bm25": (F.col("score") / (F.col("score") + 10.0)).alias("bm25_norm")}
     both = None
     for name, ranked in use.items():
@@ -98,11 +108,11 @@ def candidates(queries: DataFrame, chunks: DataFrame, mode: str = "hybrid", conf
             both = both.withColumn(f"{name}_rank", F.lit(None).cast("int")).withColumn({"dense": "dense", "bm25": "bm25_norm"}[name], F.lit(0.0))
     both = both.fillna(0.0, ["dense", "bm25_norm"])
     part = lambda c: F.coalesce(1.0 / (r.rrf_k + F.col(c)), F.lit(0.0))
-    fused = {"dense": F.col("dense"), "bm25": F.col("bm25_norm")}.get(mode, part("dense_rank") + part("bm25_rank"))
+    total = {"dense": F.col("dense"), "bm25": F.col("bm25_norm")}.get(mode, part("dense_rank") + part("bm25_rank"))
     top = 1.0 if mode in ("dense", "bm25") else 2.0 / (r.rrf_k + 1)
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("bm25_rank"), "chunk_id")
     return (
-        both.withColumn("rrf", F.round(fused, 10)).withColumn("rrf_norm", F.round(F.least(F.lit(1.0), F.col("rrf") / top), 6))
+        both.withColumn("rrf", F.round(total, 10)).withColumn("rrf_norm", F.round(F.least(F.lit(1.0), F.col("rrf") / top), 6))
         .join(chunks.select("chunk_id"), "chunk_id", "left_semi")
         .withColumn("position", F.row_number().over(order))
         .select("query_id", "chunk_id", "dense", F.round("bm25_norm", 6).alias("bm25_norm"), "rrf", "rrf_norm", "position")
@@ -149,49 +159,62 @@ def evidence_filter(scored: DataFrame, chunks: DataFrame, limit: int, f: Evidenc
     columns = [*scored.columns, "status", "drop_reason", "kept_rank"]
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score", "_n", "_rank", "chunk_id"], ascending=[False, True, True, True])
-        status, reason, place = [], [], []
-        kept: list[tuple[str, set[str]]] = []
-        for chunk, text, why in zip(group["chunk_id"], group["_t"], group["_why"], strict=True):
-            if len(kept) >= limit:
-                status.append("unseen"), reason.append(None), place.append(None)
-                continue
-            if not f.enabled:
-                why = None
-            pairs: set[str] = set()
-            if not why and f.enabled:
-                s = "".join((text or "").split())
-                pairs = {s[i : i + 2] for i in range(len(s) - 1)}
-                why = next((f"duplicate_of({other})" for other, has in kept if pairs and has and len(pairs & has) > f.dedup_jaccard * len(pairs | has)), None)
-            if why:
-                status.append("dropped"), reason.append(why), place.append(None)
-            else:
-                kept.append((chunk, pairs))
-                status.append("kept"), reason.append(None), place.append(len(kept))
-        return group.assign(status=status, drop_reason=reason, kept_rank=pd.array(place, "Int32"))[columns]
+        group = group.sort_values(["score", "_n", "_rank", "chunk_id"], ascending=[False, True, True, True]).reset_index(drop=True)
+        pairs = [frozenset(zip(s, s[1:], strict=False)) for s in ("".join((t or "").split()) for t in group["_t"])]
+        why = list(group["_why"]) if f.enabled else [None] * len(group)
+        kept: list[int] = []
+        for k in range(len(group)):
+            if len(kept) == limit:
+                break
+            if f.enabled and why[k] is None:
+                like = (j for j in kept if len(pairs[k] & pairs[j]) > f.dedup_jaccard * len(pairs[k] | pairs[j]))
+                why[k] = next((f"duplicate_of({group['chunk_id'][j]})" for j in like), None)
+            if why[k] is None:
+                kept.append(k)
+        place = {j: n + 1 for n, j in enumerate(kept)}
+        # All before the last one looked at are kept or dropped; the walk didn't see the rest.
+        seen = kept[-1] + 1 if len(kept) == limit else len(group)
+        status = ["kept" if j in place else "dropped" if j < seen else "unseen" for j in range(len(group))]
+        return group.assign(status=status, drop_reason=[why[j] if status[j] == "dropped" else None for j in range(len(group))], kept_rank=pd.array([place.get(j) for j in range(len(group))], "Int32"))[columns]
 
     fields = ", ".join(f"`{n}` {t}" for n, t in scored.dtypes)
     return ready.groupBy("query_id").applyInPandas(walk, fields + ", status string, drop_reason string, kept_rank int")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, lexicon: DataFrame | None = None, mode: str = "full", top: int | None = None, config: Config | None = None, encoder: Encoder | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, lexicon: DataFrame | None = None, mode: str = "full", top: int | None = None, config: Config | None = None, encoder: Encoder | None = None, index: TermIndex | None = None) -> DataFrame:
     """The retrieval of a batch of queries: query_id, chunk_id, rank, score and the channel scores.
 
     Modes: dense, bm25, hybrid (fused), hybrid_rerank, full (reranked and filtered). A top of 0
     or None is the default. chunks is used for several branches; pass a stored table.
     """
     c = config or Config()
+    if mode in ("hybrid_rerank", "full") and lexicon is None:
+        raise ValueError("reranking needs a lexicon")
+    found = candidates(queries, chunks, mode, c, encoder, index, lexicon)
+    return _ranked(found, queries, chunks, lexicon, mode, top, c)
+
+
+def retrieve_modes(queries: DataFrame, chunks: DataFrame, lexicon: DataFrame, modes: tuple[str, ...] = MODES, top: int | None = None, config: Config | None = None, encoder: Encoder | None = None, index: TermIndex | None = None) -> DataFrame:
+    """retrieve() for several modes, each row with its mode: both channels are searched once."""
+    c = config or Config()
+    lists = {"dense": cut(dense_top_k(queries, chunks, None, c.retrieval, encoder)), "bm25": cut(bm25_top_k(queries, chunks, None, c.retrieval, index, lexicon))}
+    out = None
+    for mode in modes:
+        part = _ranked(fused(lists, chunks, mode, c.retrieval), queries, chunks, lexicon, mode, top, c).withColumn("mode", F.lit(mode))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _ranked(found: DataFrame, queries: DataFrame, chunks: DataFrame, lexicon: DataFrame | None, mode: str, top: int | None, c: Config) -> DataFrame:
     top = top or c.retrieval.final_top_k
-    found = candidates(queries, chunks, mode, c, encoder)
     if mode in ("hybrid_rerank", "full"):
-        if lexicon is None:
-            raise ValueError("reranking needs a lexicon")
-        pool = found.where(F.col("position") <= max(2 * c.retrieval.rerank_top_k, c.retrieval.dense_top_k))
+        # Cut once: the texts of the pool are looked up by the reranker and by the filter.
+        pool = cut(found.where(F.col("position") <= max(2 * c.retrieval.rerank_top_k, c.retrieval.dense_top_k)))
         found = feature_rerank(pool, queries, chunks, lexicon)
     else:
         found = found.withColumn("entity_overlap", F.lit(None).cast("double")).withColumn("score", F.col("rrf_norm"))
     if mode == "full":
-        found = evidence_filter(found, chunks, max(top, c.retrieval.final_top_k), c.evidence).where("status = 'kept'").withColumnRenamed("kept_rank", "rank").drop("status", "drop_reason")
+        found = evidence_filter(cut(found), chunks, max(top, c.retrieval.final_top_k), c.evidence).where("status = 'kept'").withColumnRenamed("kept_rank", "rank").drop("status", "drop_reason")
     else:
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "position")
         found = found.withColumn("rank", F.row_number().over(best))
@@ -209,16 +232,45 @@ class Reranker:
 
 
 def rerank_with(scored: DataFrame, queries: DataFrame, chunks: DataFrame, model: Reranker, share: float = 0.7, chars: int = 1024) -> DataFrame:
-    """Mixes a model's score (as a probability) with the feature score; falls back to the latter."""
-    import math
+    """Mixes a model's score (as a probability) with the feature score. Where the model fails, or
+    gives no finite score, for any chunk of a query, the feature scores of that query stay."""
 
     @F.pandas_udf("double")
-    def mixed(q: pd.Series, t: pd.Series, base: pd.Series) -> pd.Series:
+    def told(q: pd.Series, t: pd.Series) -> pd.Series:
         try:
-            raw = model.scores(list(q), [x[:chars] for x in t])
+            raw = model.scores(list(q), [(x or "")[:chars] for x in t])
         except Exception:  # noqa: BLE001 - any failure of a remote model leaves the feature score
-            return base
-        return pd.Series([round(share / (1 + math.exp(-x)) + (1 - share) * b, 4) for x, b in zip(raw, base, strict=True)])
+            return pd.Series([float("nan")] * len(q))
+        return pd.Series([*raw, *[float("nan")] * len(q)][: len(q)], dtype="float64")
 
     both = scored.join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(chunks.select("chunk_id", F.col("text").alias("_t")), "chunk_id")
-    return both.withColumn("score", mixed("_q", "_t", "score")).drop("_q", "_t")
+    both = cut(both.withColumn("_m", told("_q", "_t")).drop("_q", "_t"))
+    whole = F.min((F.col("_m").isNotNull() & ~F.isnan("_m")).cast("int")).over(Window.partitionBy("query_id")) == 1
+    mixed = F.round(share / (1 + F.exp(-F.col("_m"))) + (1 - share) * F.col("score"), 4)
+    return both.withColumn("_all", whole).withColumn("score", F.when(F.col("_all"), mixed).otherwise(F.col("score"))).drop("_m", "_all")
+
+
+class RemoteReranker(Reranker):
+    """A reranker behind a callable post(query, texts) -> scores from 0 to 1, such as an HTTP call."""
+
+    def __init__(self, post, chars: int = 1500):
+        self.post, self.chars = post, chars
+
+    def scores(self, queries: list[str], texts: list[str]) -> list[float]:
+        out = [0.0] * len(queries)
+        for query in dict.fromkeys(queries):
+            places = [k for k, q in enumerate(queries) if q == query]
+            answer = self.post(query, [texts[k][: self.chars] for k in places])
+            for k, p in zip(places, answer, strict=False):
+                p = min(max(float(p), 1e-6), 1 - 1e-6)
+                out[k] = math.log(p / (1 - p))
+        return out
+
+
+def create_reranker(kind: str = "feature", model=None) -> Reranker | None:
+    """The reranker of a kind: None for features alone, a model with scores(), or a remote callable."""
+    if kind == "feature" or model is None:
+        return None
+    if kind not in ("model", "remote"):
+        raise ValueError("a reranker is feature, model or remote")
+    return RemoteReranker(model) if kind == "remote" else model

@@ -12,7 +12,7 @@ from quillmere.functions import text as tx
 from quillmere.operators import agent, chunking, embedding, evaluation, memory, nli, ocr, retrieval, sampling, store
 from quillmere.operators import lexicon as lx
 from quillmere.plans.oracles import ORACLES
-from quillmere.session import table
+from quillmere.session import cut, table
 from quillmere.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,8 +130,8 @@ def _recall(s, d):
 
 def _upsert(s, d):
     c = chunks(s, d)
-    late = c.where(F.col("indexed_at") >= F.lit("2025-01-15").cast("timestamp_ntz")).withColumn("is_new", F.lit(1))
-    return store.upsert(c, late).agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("n_chunks"), F.coalesce(F.sum("is_new"), F.lit(0)).alias("n_new"))
+    late = table(s, d, "chunks").where(F.col("indexed_at") >= F.lit("2025-01-15").cast("timestamp_ntz")).withColumn("is_new", F.lit(1))
+    return store.upsert(c, late.unionByName(late)).agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("n_chunks"), F.coalesce(F.sum("is_new"), F.lit(0)).alias("n_new"))
 
 
 def _numbers(s, d):
@@ -194,10 +194,9 @@ def _context_blocks(s, d):
 
 
 def _modes(s, d):
-    c, out = chunks(s, d), None
+    ranked, out = cut(retrieval.retrieve_modes(questions(s, d), chunks(s, d), lexicon(s, d), top=30)), None
     for mode in retrieval.MODES:
-        r = retrieval.retrieve(questions(s, d), c, lexicon(s, d), mode, 30)
-        part = evaluation.mean_metrics(evaluation.retrieval_metrics(r, gold(s, d))).withColumn("mode", F.lit(mode))
+        part = evaluation.mean_metrics(evaluation.retrieval_metrics(ranked.where(F.col("mode") == mode), gold(s, d))).withColumn("mode", F.lit(mode))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -251,7 +250,8 @@ QUERIES: dict[str, Query] = {
     "m03_window": lambda s, d: memory.window_turns(table(s, d, "turns")).groupBy("session").agg(F.count("*").alias("n_turns"), F.count_if("active").alias("n_active"), F.min(F.when(F.col("active"), F.col("turn"))).alias("first_active")),
     "m04_replay": lambda s, d: memory.replay(table(s, d, "turns"), lexicon(s, d)).select("session", "turn", long("n_active").alias("n_active"), long("active_tokens").alias("active_tokens"), long("n_compressed").alias("n_compressed"), "summary"),
     "m08_recent_entities": lambda s, d: memory.recent_entities(table(s, d, "turns"), 2, "assistant").select("session", "type", F.array_join("terms", "|").alias("terms")),
-    "m10_writes": lambda s, d: memory.write_all(memory.candidates(table(s, d, "turns"), lexicon(s, d)), lexicon(s, d)),
+    "m10_writes": lambda s, d: memory.write_all(memory.candidates(table(s, d, "turns"), lexicon(s, d)), lexicon(s, d)).drop("changed"),
+    "m11_records": lambda s, d: memory.records_of(memory.write_all(memory.candidates(table(s, d, "turns"), lexicon(s, d)), lexicon(s, d))).drop("embedding"),
     "m12_recall": lambda s, d: _recall(s, d).withColumn("rank", long("rank")),
     "m13_context": _context_blocks,
     "h22_round_robin": lambda s, d: sampling.round_robin(table(s, d, "eval_items").select("qid", "item_type").distinct(), "qid", "item_type", 48),

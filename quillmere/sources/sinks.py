@@ -19,7 +19,7 @@ def write(df: DataFrame, folder: str, name: str, mode: str = "overwrite", by: li
     return path
 
 
-def upsert_table(new: DataFrame, folder: str, name: str, key: str = "chunk_id") -> str:
+def upsert_table(new: DataFrame, folder: str, name: str, key: str | list[str] = "chunk_id", at: str = "indexed_at") -> str:
     """Puts rows into a stored table, over rows of the same key. The result is checkpointed
     before the table is overwritten, as it is read from that table."""
     spark = new.sparkSession
@@ -28,8 +28,8 @@ def upsert_table(new: DataFrame, folder: str, name: str, key: str = "chunk_id")
     except Exception as error:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return write(new, folder, name)
-    return write(cut(store.upsert(old, new, key)), folder, name)
+        return write(store.latest(new, key, at), folder, name)
+    return write(cut(store.upsert(old, new, key, at)), folder, name)
 
 
 def delete_rows(keys: DataFrame, folder: str, name: str, key: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillmere.config import Lexicon, ShortTerm
 from quillmere.operators import lexicon as lx
-from quillmere.operators.memory import Window_, add_turn
+from quillmere.operators.memory import Turn, Window_, add_turn, turn_of
 
 OUTPUT = "session string, turn int, compressed array<int>, n_active int, summary string"
 
@@ -30,7 +30,7 @@ def session_memory(turns: DataFrame, lexicon: DataFrame, s: ShortTerm | None = N
         last, w = -1, Window_()
         if state.exists:
             saved = json.loads(state.get[0])
-            last, w = saved["last"], Window_([tuple(t) for t in saved["active"]], saved["summary"], saved["compressed"])
+            last, w = saved["last"], Window_([Turn(*t) for t in saved["active"]], saved["summary"], saved["compressed"])
         rows = pd.concat(list(batches)).sort_values("turn")
         out = []
         for turn, role, text in zip(rows["turn"], rows["role"], rows["text"], strict=True):
@@ -38,7 +38,7 @@ def session_memory(turns: DataFrame, lexicon: DataFrame, s: ShortTerm | None = N
                 continue
             last, text = int(turn), text or ""
             found = shared.value.find(text)
-            gone = add_turn(w, last, (role or "").lower(), text, lx.python_importance(found, c), bool(found), s)
+            gone = add_turn(w, turn_of(last, (role or "").lower(), text, found, c), s)
             out.append((key[0], last, gone, len(w.active), w.summary))
         state.update((json.dumps({"last": last, "active": w.active, "summary": w.summary, "compressed": w.compressed}),))
         yield pd.DataFrame(out, columns=["session", "turn", "compressed", "n_active", "summary"])

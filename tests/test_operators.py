@@ -2,11 +2,14 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillmere.config import Chunking, EvidenceFilter, LongTerm, ShortTerm
 from quillmere.operators import agent, chunking, embedding, evaluation, memory, nli, ocr, retrieval, sampling, store
+from quillmere.functions.text import python_tokens, python_truncate
 from quillmere.operators import lexicon as lx
+from quillmere.operators.index import TermIndex
 
 
 def brute_entities(text, terms):
@@ -218,8 +221,58 @@ def test_records_items_and_samples(spark, lexicon):
 def test_store(spark):
     a = spark.createDataFrame([("x", 1, "t1"), ("x", 2, "t2"), ("y", None, "t3"), (None, 1, "t")], "chunk_id string, indexed_at int, text string")
     assert {r["chunk_id"]: r["text"] for r in store.latest(a).collect()} == {"x": "t2", "y": "t3"}
-    new = spark.createDataFrame([("y", 9, "new")], "chunk_id string, indexed_at int, text string")
-    assert {r["chunk_id"]: r["text"] for r in store.upsert(store.latest(a), new).collect()} == {"x": "t2", "y": "new"}
+    new = spark.createDataFrame([("y", 8, "older"), ("y", 9, "new"), ("y", 9, "new"), ("z", None, "b"), ("z", None, "a"), (None, 1, "t")], "chunk_id string, indexed_at int, text string")
+    got = store.upsert(store.latest(a), new).collect()
+    assert {r["chunk_id"]: r["text"] for r in got} == {"x": "t2", "y": "new", "z": "a"} and len(got) == 3
+    two = store.upsert(a.dropna(), new.dropna().withColumn("indexed_at", F.lit(1)), ["chunk_id", "text"], "nothing")
+    assert sorted((r["chunk_id"], r["text"]) for r in two.collect()) == [("x", "t1"), ("x", "t2"), ("y", "new"), ("y", "older")]
+    assert {(r["by"], r["value"], r["n"]) for r in store.counts(a, ("text", "chunk_id")).collect()} >= {("text", "t1", 1), ("chunk_id", "x", 2), ("chunk_id", None, 1)}
+
+
+def test_stored_terms(spark, tmp_path, lexicon):
+    chunks = spark.createDataFrame([("a", "黄芪汤治感冒"), ("b", "黄芪补气 Tea"), ("c", None), ("d", "甘草汤")], "chunk_id string, text string")
+    asked = spark.createDataFrame([("q", "黄芪汤 tea"), ("n", None)], "query_id string, text string")
+    made = TermIndex.build(chunks)
+    made.save(str(tmp_path))
+    stored = TermIndex.load(spark, str(tmp_path))
+    rows = lambda ix: sorted(map(tuple, retrieval.bm25_top_k(asked, chunks, index=ix).collect()))
+    assert rows(None) == rows(made) == rows(stored) and len(rows(stored)) == 2
+    whole = TermIndex.build(chunks, lexicon)
+    assert {r["term"] for r in whole.terms.collect()} - {r["term"] for r in made.terms.collect()} == {"黄芪汤"}
+    assert retrieval.bm25_top_k(asked, chunks, index=whole, lexicon=lexicon).where("rank = 1").first()["chunk_id"] == "a"
+    assert TermIndex.build(chunks.limit(0)).terms.count() == 0 and retrieval.bm25_top_k(asked, chunks.limit(0)).count() == 0
+
+
+def test_model_reranking_is_decided_by_query(spark):
+    scored = spark.createDataFrame([("q", "a", 0.5), ("q", "b", 0.5), ("r", "a", 0.5)], "query_id string, chunk_id string, score double")
+    queries = spark.createDataFrame([("q", "good"), ("r", "bad")], "query_id string, text string")
+    chunks = spark.createDataFrame([("a", "x"), ("b", "yy")], "chunk_id string, text string")
+
+    def post(query, texts):
+        return [float("nan") if query == "bad" else len(t) / 4 for t in texts]
+
+    class Half(retrieval.Reranker):
+        def scores(self, queries, texts):
+            return [float("nan") if q == "bad" else float(len(t)) for q, t in zip(queries, texts, strict=True)]
+
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in retrieval.rerank_with(scored, queries, chunks, Half()).collect()}
+    assert got["r", "a"] == 0.5 and got["q", "a"] < got["q", "b"] != 0.5
+    assert retrieval.create_reranker() is None and isinstance(retrieval.create_reranker("remote", post), retrieval.RemoteReranker)
+    assert retrieval.create_reranker("remote", post).scores(["good", "good"], ["x", "yy"])[0] < 0
+    with pytest.raises(ValueError):
+        retrieval.create_reranker("magic", post)
+
+
+def test_parts_of_a_text_are_measured():
+    rng = random.Random(5)
+    for _ in range(60):
+        text = "".join(rng.choice("ab1黄，。 　\n-") for _ in range(rng.randint(0, 40)))
+        r = chunking.Ruler(text)
+        for a in range(len(text) + 1):
+            for b in range(a, len(text) + 1):
+                assert r.tokens(a, b) == python_tokens(text[a:b])
+            for limit in (1, 3, 7):
+                assert r.reach(a, len(text), limit) == a + len(python_truncate(text[a:], limit))
 
 
 def test_what_memory_adds(spark, lexicon):

@@ -59,7 +59,20 @@ def test_engine(spark, tmp_path, lexicon):
     assert e.build(docs, lexicon).first()["n_chunks"] == 2
     assert e.search(["感冒恶寒用什么"]).where("rank = 1").count() == 1
     turns = spark.createDataFrame([("s", 0, "user", "感冒发热恶寒怎么办"), ("s", 1, "assistant", "可用桂枝")], "session string, turn int, role string, text string").withColumns({"received_at": F.lit(None).cast("timestamp"), "entities": F.lit(None).cast("map<string,array<string>>")})
-    assert e.chat(turns).count() == 1 and e.health()["chunks"] == 2
+    first = e.chat(turns).collect()
+    assert len(first) == 1 and first[0]["memories"] == [] and e.health()["chunks"] == 2
+    # Another session leaves the first one as it is; turns and records are kept by key.
+    other = turns.where("turn = 0").withColumn("session", F.lit("s2"))
+    assert e.chat(other).count() == 1 and e.chat(other).count() == 1
+    stored = e._table("turns").collect()
+    assert sorted((r["session"], r["turn"], r["role"]) for r in stored) == [("s", 0, "user"), ("s", 1, "assistant"), ("s2", 0, "user"), ("s2", 1, "assistant")]
+    records = e.memories.collect()
+    assert {r["key"] for r in records} == {"s", "s2"} and len(records) == len({(r["key"], r["id"]) for r in records})
+    assert all(len(r["embedding"]) == e.encoder.dim and r["content"] for r in records) and max(r["hits"] for r in records if r["key"] == "s2") >= 1
+    again = e.chat(spark.createDataFrame([("s", 2, "user", "感冒发热恶寒口渴怎么办")], "session string, turn int, role string, text string").withColumns({"received_at": F.lit(None).cast("timestamp"), "entities": F.lit(None).cast("map<string,array<string>>")})).first()
+    assert any("感冒" in m for m in again["memories"]) and e.session("s").count() == 4
+    e.reset_session("s")
+    assert {r["session"] for r in e._table("turns").collect()} == {"s2"}
     with pytest.raises(ValueError):
         e.search([""])
     with pytest.raises(ValueError):
