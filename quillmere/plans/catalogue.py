@@ -97,13 +97,13 @@ def _filtered(s, d):
 
 def _judged(s, d):
     c = table(s, d, "build_corpus").where("answer is not null").select("id", "answer").distinct()
-    parts = c.select("id", tx.clauses("answer").alias("p")).where("size(p) >= 2").select("id", F.col("p")[0].alias("premise"), F.col("p")[1].alias("hypothesis"))
-    return nli.judge_pairs(parts, lexicon(s, d)).select("id", "label", "strength", "reason")
+    parts = c.withColumn("p", tx.clauses("answer")).select("id", F.posexplode(F.arrays_zip(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))).alias("premise"), F.slice("p", 2, F.size("p")).alias("hypothesis"))).alias("at", "x"))
+    return nli.judge_pairs(parts.select("id", "at", "x.premise", "x.hypothesis"), lexicon(s, d)).select("id", long("at").alias("clause"), "label", "strength", "reason")
 
 
 def _consistency(s, d):
     c = table(s, d, "build_corpus").where("answer is not null").select("id", "answer").distinct()
-    return c.select("id", nli.consistency(lexicon(s, d), F.slice(tx.claims("answer"), 1, 8)).alias("c")).select("id", "c.score", long(F.size("c.reasons")).alias("n_conflicts"))
+    return c.select("id", nli.consistency(lexicon(s, d), tx.claims("answer")).alias("c")).select("id", "c.score", long(F.size("c.reasons")).alias("n_conflicts"))
 
 
 def _answers(s, d):
@@ -181,7 +181,9 @@ def _types(s, d):
 
 def _vectors(s, d):
     v = embedding.encode(chunk_texts(s, d), "text")
-    return v.select("chunk_id", long(F.size(F.filter("embedding", lambda x: x > 0))).alias("n_buckets"), F.round(F.array_max("embedding"), 6).alias("largest"))
+    return v.select("chunk_id", long(F.size(F.filter("embedding", lambda x: x > 0))).alias("n_buckets"), F.round(F.array_max("embedding"), 6).alias("largest"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"),
+        F.round(F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 2).alias("by_bucket"),
+    )
 
 
 def _sections(s, d):
@@ -193,6 +195,13 @@ def _context_blocks(s, d):
     return memory.context_lines(_recall(s, d), memory.latest_records(table(s, d, "memories")))
 
 
+def _stored_retention(s, d):
+    """What the stored chunks keep of the sentences with a known term, overall and by kind of source."""
+    one = table(s, d, "source_documents").where("text is not null").groupBy("doc_id").agg(F.min(F.struct("text", "source_type")).alias("d")).select("doc_id", "d.text", "d.source_type")
+    terms = sorted(r["term"] for r in lx.unique_terms(lexicon(s, d)).collect())
+    return chunking.retention(one, chunks(s, d), terms, "source_type")
+
+
 def _modes(s, d):
     ranked, out = cut(retrieval.retrieve_modes(questions(s, d), chunks(s, d), lexicon(s, d), top=30)), None
     for mode in retrieval.MODES:
@@ -221,6 +230,7 @@ QUERIES: dict[str, Query] = {
     "c07_chunks": lambda s, d: chunking.chunk(documents(s, d)).select("chunk_id", long("seq").alias("seq"), long("char_start").alias("char_start"), long("char_end").alias("char_end"), long("n_tokens").alias("n_tokens"), "split_method"),
     "c08_naive": lambda s, d: chunking.naive_chunks(documents(s, d), Chunking(naive_tokens=64)).select("chunk_id", long("char_end").alias("char_end"), F.md5("text").alias("text_md5")),
     "c09_retention": lambda s, d: chunking.retention(documents(s, d).dropDuplicates(["doc_id"]), chunking.chunk(documents(s, d).dropDuplicates(["doc_id"])), None, "source_type"),
+    "c09_stored_retention": _stored_retention,
     "n02_entities": _entities,
     "n03_types": _types,
     "n04_importance": lambda s, d: chunk_texts(s, d).select("chunk_id", lx.importance(lx.entities(lexicon(s, d), "text")).alias("importance")),
@@ -229,7 +239,8 @@ QUERIES: dict[str, Query] = {
     "e06_dense_topk": lambda s, d: _dense(s, d).withColumn("rank", long("rank")),
     "e06_label_purity": _purity,
     "e07_counts": lambda s, d: store.count_by(table(s, d, "chunks").select("chunk_id", "split_method").distinct(), "split_method"),
-    "e08_manifest": lambda s, d: store.manifest(chunks(s, d)).select("n_docs", "n_chunks"),
+    "e08_manifest": lambda s, d: store.manifest(chunks(s, d)),
+    "e08_counts": lambda s, d: store.counts(chunks(s, d)),
     "q10_rollup": lambda s, d: table(s, d, "documents").where("text is not null").rollup("source_type", "lang").agg(F.count("*").alias("n"), F.sum(long(tx.count_tokens("text"))).alias("tokens")),
     "r01_term_statistics": lambda s, d: retrieval.term_statistics(chunk_texts(s, d)).withColumn("idf", F.round("idf", 6)),
     "r02_bm25_topk": lambda s, d: retrieval.bm25_top_k(questions(s, d), chunk_texts(s, d)).withColumn("rank", long("rank")),

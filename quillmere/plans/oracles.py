@@ -256,3 +256,130 @@ ev AS (SELECT query_id, string_agg(text, ' ' ORDER BY place) AS ev, max(score) A
 q AS (SELECT query_id, {entities('text')} AS e, list_distinct(list_filter({tokens('text')}, lambda t: length(t) >= 2)) AS w, {bigrams('text')} AS b FROM ({QUERIES})),
 j AS (SELECT query_id, e, coalesce(top_score, 0) AS top_score, coalesce(n_evidence, 0) AS n_evidence, CASE WHEN len(e) > 0 THEN len(list_filter(e, lambda t: contains(ev, t))) / len(e) ELSE 0.0 END AS c, {coverage('w', tokens('ev'))} AS t, {coverage('b', bigrams('ev'))} AS bc FROM q LEFT JOIN ev USING (query_id) LEFT JOIN n USING (query_id))
 SELECT query_id, round(c, 4) AS coverage, round(t, 4) AS token_overlap, round(bc, 4) AS bigram_coverage, round(CASE WHEN len(e) > 0 THEN 0.5::DOUBLE * c + 0.25::DOUBLE * t + 0.25::DOUBLE * bc ELSE greatest(t, bc) END, 4) AS relevance, round(top_score, 4) AS top_score, n_evidence FROM j"""
+
+LATEST_CHUNKS = "SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST) = 1"
+LATEST_MEMORIES = "SELECT * FROM memories WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, hits DESC NULLS LAST, content) = 1"
+ORACLES["m13_context"] = f"""WITH h AS ({ORACLES['m12_recall']}), m AS ({LATEST_MEMORIES})
+SELECT query_id, '【长期记忆】' || chr(10) || string_agg('- ' || content || '（重要度' || printf('%.2f', coalesce(importance, 0)) || '，命中' || coalesce(hits, 0) || '次）', chr(10) ORDER BY rank) AS block FROM h JOIN m USING (id) GROUP BY query_id"""
+
+# The window holds six turns; no window of these tables exceeds the token budget, so turns leave by age alone.
+ORACLES["m04_replay"] = f"""WITH {turns_cte()}, {TERMS},
+p AS (SELECT session, turn, row_number() OVER (PARTITION BY session ORDER BY turn) AS i, {token_count("coalesce(text, '')")} AS n, role, {parts("coalesce(text, '')", SENTENCE)} AS s, len({entities("coalesce(text, '')")}) > 0 AS has FROM t),
+q AS (SELECT session, turn, i, sum(n) OVER (PARTITION BY session ORDER BY turn ROWS 5 PRECEDING)::BIGINT AS active_tokens, rtrim(CASE WHEN role = 'user' THEN '[患]' ELSE '[医]' END || substr(array_to_string(s[1:CASE WHEN has THEN 2 ELSE 1 END], ''), 1, 120)) AS piece FROM p),
+h AS (SELECT session, turn, i, active_tokens, string_agg(piece, ' ') OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 6 PRECEDING) AS told FROM q),
+w AS (SELECT session, turn, unnest(string_split(told, ' ')) AS word, unnest(range(1, len(string_split(told, ' ')) + 1)) AS k FROM h WHERE told IS NOT NULL),
+c AS (SELECT *, sum({token_count('word')}) OVER (PARTITION BY session, turn ORDER BY k DESC) AS upto FROM w),
+z AS (SELECT session, turn, string_agg(word, ' ' ORDER BY k) AS summary FROM c WHERE upto <= 220 GROUP BY ALL)
+SELECT session, turn, least(i, 6)::BIGINT AS n_active, active_tokens, greatest(i - 6, 0)::BIGINT AS n_compressed, coalesce(summary, '') AS summary FROM h LEFT JOIN z USING (session, turn)"""
+
+TEMPLATE_ROWS = "('herb', '{}的性味归经是什么？', '性味', 0), ('herb', '{}怎么炮制？', '炮制', 1), ('formula', '{}由哪些药组成？', '组成', 2), ('formula', '{}主治什么？', '主治', 3), ('disease', '{}的病因病机是什么？', '病机', 4), ('pattern', '{}有哪些主要表现？', '表现', 5), ('symptom', '{}怎么调理？', '调理', 6)"
+ORACLES["v14_items"] = f"""WITH {TERMS}, t(type, template, field, number) AS (VALUES {TEMPLATE_ROWS}),
+c AS (SELECT CASE WHEN source_type = 'qa' THEN doc_id ELSE concat_ws('|', doc_id, array_to_string(coalesce(title_path, []), '>')) END AS record_key, chunk_id, seq, text FROM ({LATEST_CHUNKS})),
+e AS (SELECT record_key, seq, chunk_id, regexp_extract(text, (SELECT p FROM pattern)) AS entity FROM c),
+f AS (SELECT record_key, entity FROM e WHERE entity <> '' QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY seq, chunk_id) = 1),
+h AS (SELECT record_key, field, count(*) AS n FROM c JOIN (SELECT DISTINCT field FROM t) ON contains(text, field) GROUP BY ALL),
+o AS (SELECT f.record_key, replace(template, '{{}}', entity) AS question, type AS item_type, field, n FROM f JOIN terms ON term = entity JOIN t USING (type) LEFT JOIN h USING (record_key, field)
+  QUALIFY row_number() OVER (PARTITION BY f.record_key ORDER BY n IS NULL, md5('42#' || f.record_key || '#' || number)) = 1)
+SELECT record_key, question, item_type, chunk_id FROM o JOIN c USING (record_key) WHERE coalesce(n, 0) <> 1 OR contains(text, field)""".replace("'{}'", "'{}'")
+
+
+def walked(limit: int) -> str:
+    """The evidence filter, one candidate of each query a step: walk has the kept chunks in order, cand all candidates."""
+    base = ORACLES["r10_reranked"].replace("\nSELECT query_id, chunk_id, round(", ",\nscored_ AS (SELECT query_id, chunk_id, round(").replace("WITH ", "WITH RECURSIVE ", 1)
+    rank = "CASE source_type WHEN 'textbook' THEN 0 WHEN 'classic' THEN 1 WHEN 'case' THEN 2 WHEN 'pdf' THEN 3 WHEN 'qa' THEN 4 WHEN 'pdf_scan' THEN 5 WHEN 'ocr_scan' THEN 6 ELSE 9 END"
+    return base + f"""),
+cand AS (SELECT s.query_id, s.chunk_id, s.score, noise, {bigrams('text')} AS b, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, noise, {rank}, s.chunk_id) AS place,
+  CASE WHEN length({squeeze('text')}) < 24 THEN 'too_short' WHEN noise > 0.18 THEN 'ocr_noise' WHEN s.score < 0.3 THEN 'low_relevance' END AS why FROM scored_ s JOIN cc USING (chunk_id)),
+like_ AS (SELECT x.query_id, x.place, list(y.chunk_id) AS alike FROM cand x JOIN cand y ON x.query_id = y.query_id AND y.place < x.place AND x.why IS NULL AND y.why IS NULL
+  AND len(list_intersect(x.b, y.b)) > 0.72 * (len(x.b) + len(y.b) - len(list_intersect(x.b, y.b))) GROUP BY ALL),
+step AS (SELECT c.query_id, c.place, c.chunk_id, c.score, c.why, coalesce(l.alike, []) AS alike FROM cand c LEFT JOIN like_ l USING (query_id, place)),
+walk AS (SELECT DISTINCT query_id, 0::BIGINT AS n, []::VARCHAR[] AS kept, 0::BIGINT AS seen FROM cand UNION ALL
+  SELECT w.query_id, w.n + 1, CASE WHEN len(w.kept) < {limit} AND s.why IS NULL AND len(list_intersect(w.kept, s.alike)) = 0 THEN list_append(w.kept, s.chunk_id) ELSE w.kept END,
+    CASE WHEN len(w.kept) < {limit} THEN w.n + 1 ELSE w.seen END FROM walk w JOIN step s ON s.query_id = w.query_id AND s.place = w.n + 1),
+last_ AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC) = 1)"""
+
+
+ORACLES["r07_full"] = walked(5) + """
+SELECT query_id, chunk_id, list_position(kept, chunk_id)::BIGINT AS rank, score FROM last_ JOIN step USING (query_id) WHERE list_contains(kept, chunk_id)"""
+ORACLES["r15_filtered"] = walked(5) + """
+SELECT status, CASE WHEN status = 'dropped' THEN coalesce(why, 'duplicate_of') ELSE '' END AS reason, count(*) AS n
+FROM (SELECT *, CASE WHEN list_contains(kept, chunk_id) THEN 'kept' WHEN place <= seen THEN 'dropped' ELSE 'unseen' END AS status FROM last_ JOIN step USING (query_id)) GROUP BY ALL"""
+ORACLES["v18_modes"] = (
+    walked(30).replace("pool AS (SELECT * FROM candidates WHERE position <= 30)", "pool AS (SELECT * FROM candidates WHERE position <= 30), cand_pos AS (SELECT query_id, chunk_id, position FROM candidates)")
+    + """,
+hybrid AS (SELECT query_id, chunk_id, position AS rank FROM candidates WHERE position <= 30),
+reranked AS (SELECT s.query_id, s.chunk_id, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, position) AS rank FROM scored_ s JOIN cand_pos USING (query_id, chunk_id)),
+whole AS (SELECT query_id, chunk_id, list_position(kept, chunk_id) AS rank FROM last_ JOIN step USING (query_id) WHERE list_contains(kept, chunk_id))
+"""
+    + " UNION ALL ".join(f"SELECT *, '{mode}' AS mode FROM (WITH {metrics(ranked)})" for mode, ranked in (("dense", "dense"), ("bm25", "bm25"), ("hybrid", "hybrid"), ("hybrid_rerank", "reranked"), ("full", "whole")))
+)
+ORACLES["e08_manifest"] = f"WITH c AS ({LATEST_CHUNKS}) SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, round(avg(n_tokens), 2) AS avg_tokens, max(n_tokens)::BIGINT AS max_tokens, count(*) FILTER (WHERE n_tokens > 512) AS n_over, count(DISTINCT source_type) AS n_source_types, count(DISTINCT split_method) AS n_split_methods FROM c"
+ORACLES["e08_counts"] = f"WITH c AS ({LATEST_CHUNKS}) SELECT 'split_method' AS by, split_method AS value, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'source_type', source_type, count(*) FROM c GROUP BY ALL"
+# The whole vector in two numbers: its sum, and its sum weighted by bucket.
+ORACLES["e03_hash_vectors"] = f"WITH v AS (SELECT * FROM {grams(CHUNK_TEXTS, 'chunk_id')}) SELECT chunk_id, count(*) AS n_buckets, round(max(w), 6) AS largest, round(sum(w), 4) AS total, round(sum(w * (bucket + 1)), 2) AS by_bucket FROM v GROUP BY 1"
+ORACLES["c09_stored_retention"] = f"""WITH {TERMS}, d AS (SELECT doc_id, any_value(text) AS text, any_value(source_type) AS source_type FROM (SELECT DISTINCT doc_id, text, source_type FROM source_documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY text) = 1) GROUP BY doc_id),
+s AS (SELECT doc_id, source_type, {squeeze('s')} AS s FROM (SELECT doc_id, source_type, unnest({parts('text', SENTENCE)}) AS s FROM d) WHERE regexp_matches(s, (SELECT p FROM pattern))),
+whole AS (SELECT doc_id, string_agg({squeeze('text')}, '' ORDER BY seq, chunk_id) AS t FROM ({LATEST_CHUNKS}) WHERE text IS NOT NULL GROUP BY doc_id)
+SELECT source_type, count(*) AS sentences, count(*) FILTER (WHERE contains(coalesce(t, ''), s))::BIGINT AS retained, round(count(*) FILTER (WHERE contains(coalesce(t, ''), s)) / count(*), 4) AS retention FROM s LEFT JOIN whole USING (doc_id) GROUP BY ROLLUP (source_type)"""
+
+
+OPPOSITE_ROWS = ", ".join(f"({n}, '{x}', '{y}')" for n, (x, y) in enumerate(p.split("/") for p in (
+    "寒/热 温/凉 虚/实 补/泻 升/降 浮/沉 表/里 燥/湿 收/散 迟/数 有毒/无毒 小毒/无毒 大毒/无毒 忌用/可用 禁用/可用 慎用/可用 禁忌/适宜 宜/忌 恶寒/恶热 自汗/无汗 汗出/无汗 "
+    "口渴/不渴 便秘/泄泻 喜温/喜凉 拒按/喜按 加重/缓解 增加/减少 亢盛/不足 上炎/下陷 外感/内伤 生用/炙用 先煎/后下 久服/中病即止"
+).split()))
+NUMBER = "CASE WHEN v SIMILAR TO '[0-9].*' THEN v::DOUBLE WHEN length(v) = 2 AND v[1] = '十' AND strpos('一二三四五六七八九十', v[2]) > 0 THEN 10.0 + strpos('一二三四五六七八九十', v[2]) WHEN v = '十半' THEN 10.5 WHEN v = '半' THEN 0.5 WHEN length(v) = 1 THEN strpos('一二三四五六七八九十', v) END"
+
+
+def judged(pairs_: str) -> str:
+    """CTEs up to verdict (a, b, label, strength, reason) of the pairs of statements in a relation (a, b)."""
+    whole = lambda x: f"CASE WHEN length({squeeze(x)}) = 1 THEN [{squeeze(x)}] ELSE {bigrams(x)} END"
+    return f"""{TERMS}, ab AS (SELECT DISTINCT a, b FROM {pairs_}), texts AS (SELECT DISTINCT text FROM (SELECT a AS text FROM ab UNION ALL SELECT b FROM ab)),
+fact AS (SELECT text, {entities('text')} AS e, {whole('text')} AS p, CASE WHEN len({parts('text', '[^。！？；\n，,]+', 4)}) = 0 THEN [text] ELSE {parts('text', '[^。！？；\n，,]+', 4)} END AS c FROM texts),
+neg AS (SELECT *, list_filter(e, lambda t: {' OR '.join(f"contains(text, '{c}' || t)" for c in '不无非未勿莫否')}) AS ne FROM fact),
+clause AS (SELECT text, c, {entities('c')} AS ce, {whole('c')} AS cp FROM (SELECT text, unnest(c) AS c FROM fact)),
+opposite(n, x, y) AS (VALUES {OPPOSITE_ROWS}),
+topic AS (SELECT DISTINCT a, b, i.c AS ic, j.c AS jc FROM ab JOIN clause i ON i.text = a JOIN clause j ON j.text = b WHERE list_has_any(i.ce, j.ce) OR ({jaccard('i.cp', 'j.cp')}) >= 0.3),
+against AS (SELECT a, b, min(n) AS n FROM topic JOIN opposite ON (contains(ic, x) AND NOT contains(ic, y) AND contains(jc, y) AND NOT contains(jc, x)) OR (contains(ic, y) AND NOT contains(ic, x) AND contains(jc, x) AND NOT contains(jc, y)) GROUP BY a, b),
+place AS (SELECT text, unnest(range(1, length(text) + 1)) AS k FROM texts WHERE regexp_matches(text, '(g|克|钱|两|枚|升|合|片)')),
+dose AS (SELECT text, k, regexp_extract(substr(text, k), '^(\d+(?:\.\d+)?|[一二三四五六七八九十半]+)\s*(g|克|钱|两|枚|升|合|片)', ['v', 'u']) AS m, substr(text, greatest(1, k - 12), k - greatest(1, k - 12)) AS w FROM place
+  WHERE NOT regexp_matches(substr(text, greatest(1, k - 2), least(2, k - 1)), '[0-9一二三四五六七八九十半]$|[0-9][.]$')),
+given AS (SELECT text, k, w, m.v AS v, m.u AS u FROM dose WHERE m.v <> ''),
+named AS (SELECT text, k, v, u, term FROM given JOIN terms ON type = 'herb' AND contains(w, term) QUALIFY row_number() OVER (PARTITION BY text, k ORDER BY length(w) - strpos(reverse(w), reverse(term)) - length(term) DESC, length(term) DESC) = 1),
+told AS (SELECT text, term, k, ({NUMBER}) * CASE WHEN u = '钱' THEN 3.0 ELSE 1.0 END AS q FROM named WHERE ({NUMBER}) IS NOT NULL),
+herb AS (SELECT text, term, min(k) AS first, arg_max(q, k) AS q FROM told GROUP BY ALL),
+differ AS (SELECT a, b, i.term, i.q AS qa, j.q AS qb FROM ab JOIN herb i ON i.text = a JOIN herb j ON j.text = b AND j.term = i.term WHERE abs(i.q - j.q) > 0.25 * greatest(i.q, j.q, 1e-6) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY i.first) = 1),
+both_ AS (SELECT ab.a, ab.b, f.e AS ea, g.e AS eb, {jaccard('f.p', 'g.p')} AS sim,
+  list_sort(list_filter(list_intersect(f.e, g.e), lambda t: list_contains(f.ne, t) <> list_contains(g.ne, t) AND len(list_filter(CASE WHEN list_contains(f.ne, t) THEN g.c ELSE f.c END, lambda c: contains(c, t))) > 0))[1] AS negation
+  FROM ab JOIN neg f ON f.text = ab.a JOIN neg g ON g.text = ab.b),
+known AS (SELECT both_.*, CASE WHEN negation IS NOT NULL THEN 0.9 WHEN against.n IS NOT NULL THEN 0.85 WHEN differ.term IS NOT NULL THEN 0.8 END AS power,
+  CASE WHEN negation IS NOT NULL THEN 'negation:' || negation WHEN against.n IS NOT NULL THEN 'antonym:' || x || '↔' || y WHEN differ.term IS NOT NULL THEN 'dose:' || differ.term || '(' || qa || 'vs' || qb || ')' END AS why
+  FROM both_ LEFT JOIN against USING (a, b) LEFT JOIN opposite ON opposite.n = against.n LEFT JOIN differ USING (a, b)),
+ruled AS (SELECT *, CASE WHEN sim >= 0.55 AND why IS NULL THEN 1 WHEN NOT list_has_any(ea, eb) AND sim < 0.35 THEN 2 WHEN why IS NOT NULL THEN 3 WHEN sim >= 0.7 * 0.55::DOUBLE AND len(ea) >= 0 AND len(eb) > 0 AND list_has_all(ea, eb) THEN 4 ELSE 5 END AS rule FROM known),
+verdict AS (SELECT a, b, CASE rule WHEN 1 THEN 'entailment' WHEN 3 THEN 'contradiction' WHEN 4 THEN 'entailment' ELSE 'neutral' END AS label, round(CASE rule WHEN 1 THEN least(1.0, sim) WHEN 2 THEN 0 WHEN 3 THEN power ELSE sim END, 3)::DOUBLE AS strength,
+  CASE rule WHEN 1 THEN 'content_overlap=' || printf('%.2f', sim) WHEN 2 THEN 'no_shared_entity' WHEN 3 THEN why WHEN 4 THEN 'entity_subset' ELSE 'insufficient_overlap' END AS reason FROM ruled)"""
+
+
+ANSWERS = "SELECT DISTINCT id, answer FROM build_corpus WHERE answer IS NOT NULL"
+ORACLES["l01_judged"] = f"""WITH x AS (SELECT id, {parts('answer', '[^。！？；\n，,]+', 4)} AS c FROM ({ANSWERS})), y AS (SELECT id, c, unnest(range(1, len(c))) AS k FROM x WHERE len(c) > 1), pr AS (SELECT id, k - 1 AS clause, c[k] AS a, c[k + 1] AS b FROM y), {judged('pr')}
+SELECT id, pr.clause, label, strength, reason FROM pr JOIN verdict USING (a, b)"""
+CLAIMS = parts("regexp_replace(answer, '〔\\d+〕|\\[[\\w#]+\\]', '', 'g')", "[^。！？；\\n]+", 8)
+ORACLES["l06_consistency"] = f"""WITH x AS (SELECT row_number() OVER () AS r, id, {CLAIMS} AS c FROM ({ANSWERS})), y AS (SELECT r, c, unnest(range(1, len(c))) AS i FROM x WHERE len(c) > 1), z AS (SELECT r, c, i, unnest(range(i + 1, len(c) + 1)) AS j FROM y), pr AS (SELECT r, c[i] AS a, c[j] AS b FROM z), {judged('pr')},
+n AS (SELECT r, count(*) AS pairs, count(*) FILTER (WHERE label = 'contradiction') AS bad FROM pr JOIN verdict USING (a, b) GROUP BY r)
+SELECT id, coalesce(round(1 - bad / pairs, 4), 1.0)::DOUBLE AS score, coalesce(bad, 0)::BIGINT AS n_conflicts FROM x LEFT JOIN n USING (r)"""
+
+# No line of these tables is longer than a chunk, so units are whole sections or lines.
+ORACLES["c07_chunks"] = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, title, text FROM (SELECT doc_id, text, any_value(title) AS title FROM source_documents WHERE text IS NOT NULL AND doc_id IS NOT NULL GROUP BY ALL)),
+l AS (SELECT r, doc_id, title, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM d),
+m AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\\s+\\S') THEN length(regexp_extract(line, '^(#+)', 1)) END AS level, {strip("regexp_replace(line, '^#+', '')")} AS head, coalesce(sum(length(line) + 1) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM l),
+s AS (SELECT *, count(level) OVER (PARTITION BY r ORDER BY k) AS section, {heading_state().replace('PARTITION BY doc_id', 'PARTITION BY r')} FROM m),
+b AS (SELECT r, doc_id, title, section, k, {strip('line')} AS body, off + length(line) - length(regexp_replace(line, '^{WS}+', '')) AS start, list_filter([h1, h2, h3, h4, h5, h6], lambda h: h IS NOT NULL AND h <> '') AS path FROM s WHERE level IS NULL AND {squeeze('line')} <> ''),
+g AS (SELECT r, doc_id, any_value(title) AS title, section, any_value(path) AS path, list({token_count('body')} ORDER BY k) AS sizes, list(start ORDER BY k) AS starts, list(start + length(body) ORDER BY k) AS ends FROM b GROUP BY r, doc_id, section),
+u AS (SELECT r, doc_id, section, CASE WHEN len(path) > 1 THEN {token_count("'〈' || array_to_string(path, '·') || '〉'")} ELSE 0 END AS used, CASE WHEN list_sum(sizes) <= 480 THEN [list_sum(sizes)::BIGINT] ELSE sizes END AS sizes, CASE WHEN list_sum(sizes) <= 480 THEN [starts[1]] ELSE starts END AS starts, CASE WHEN list_sum(sizes) <= 480 THEN [ends[len(ends)]] ELSE ends END AS ends FROM g),
+v AS (SELECT *, list_transform(range(0, len(sizes) + 1), lambda n: coalesce(list_sum(sizes[1:n]), 0)::BIGINT) AS sums, greatest(256 - used, 24) AS budget, greatest(480 - used, 24) AS hard FROM u),
+w AS (SELECT r, section, 0::BIGINT AS n, 0::BIGINT AS first, 0::BIGINT AS new, 0::BIGINT AS upto FROM v UNION ALL
+  SELECT r, section, n + 1, CASE WHEN sums[e + 1] - sums[again + 1] <= hard // 2 THEN again ELSE e END, e, e FROM (
+    SELECT *, greatest(first, len(list_filter(sums, lambda x: x < sums[e + 1] - 32))) AS again FROM (
+      SELECT w.r, w.section, w.n, w.first, v.sums, v.hard, greatest(w.new + 1, len(list_filter(v.sums, lambda x: x <= v.sums[w.first + 1] + v.budget)) - 1) AS e FROM w JOIN v ON v.r = w.r AND v.section = w.section WHERE w.new < len(v.sizes)))),
+x AS (SELECT r, section, n, lag(first) OVER (PARTITION BY r, section ORDER BY n) AS a, upto AS z FROM w),
+o AS (SELECT doc_id, v.r, starts[a + 1] AS char_start, ends[z] AS char_end, used + sums[z + 1] - sums[a + 1] AS n_tokens, row_number() OVER (PARTITION BY v.r ORDER BY section, n) - 1 AS seq FROM x JOIN v USING (r, section) WHERE n > 0)
+SELECT doc_id || '#c' || lpad(seq::VARCHAR, 3, '0') AS chunk_id, seq, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, n_tokens::BIGINT AS n_tokens, 'semantic' AS split_method FROM o"""
