@@ -157,6 +157,24 @@ def _signals(s, d):
     return agent.signals(q, pool, chunks(s, d), lexicon(s, d)).select("query_id", "coverage", "token_overlap", "bigram_coverage", "relevance", "top_score", "n_evidence")
 
 
+def _asked(s, d):
+    return agent.analyze(questions(s, d), lexicon(s, d))
+
+
+def _refined(s, d):
+    """The refined query of each question with all its terms missing, and the one after that was asked before."""
+    q = _asked(s, d).withColumn("missing", F.array_sort("entities")).withColumn("none", F.array().cast("array<string>"))
+    q = q.withColumn("query", agent.refined_query("text", "missing", "focus_terms", "none")).withColumn("history", F.array("query"))
+    return q.select("query_id", "query", agent.refined_query("text", "missing", "focus_terms", "history").alias("again"))
+
+
+def _composed(s, d):
+    """Answers of sentences from the five best chunks by BM25."""
+    pool = retrieval.bm25_top_k(questions(s, d), chunk_texts(s, d), 8).select("query_id", "chunk_id", F.round(F.col("score") / (F.col("score") + 10), 6).alias("score"))
+    made = agent.compose(_asked(s, d), agent.top_evidence(pool, chunks(s, d)), lexicon(s, d))
+    return made.select("query_id", "answer", F.array_join("citations", " ").alias("citations"))
+
+
 def _decisions(s, d):
     from quillmere.config import Agent
 
@@ -254,14 +272,18 @@ QUERIES: dict[str, Query] = {
     "l06_consistency": _consistency,
     "a01_focus": lambda s, d: questions(s, d).select(F.col("query_id").alias("qid"), agent.focus_terms("text").alias("focus_terms")).withColumn("query_type", F.when(F.col("focus_terms") == "", "lookup").otherwise(F.split("focus_terms", " ")[0])),
     "a02_initial_query": lambda s, d: questions(s, d).select(F.col("query_id").alias("qid"), agent.initial_query("text", agent.focus_terms("text")).alias("query")),
+    "a04_refined": _refined,
+    "a05_conflict_query": lambda s, d: _asked(s, d).select("query_id", agent.conflict_query("entities", "focus_terms").alias("query")),
+    "a06_merged_pools": lambda s, d: agent.merge_pools(retrieval.bm25_top_k(questions(s, d), chunk_texts(s, d)).withColumn("score", F.round(F.col("score") / (F.col("score") + 10), 6)), retrieval.dense_top_k(questions(s, d), chunk_texts(s, d))),
     "a08_signals": _signals,
     "a09_decisions": _decisions,
     "a10_answers": _answers,
+    "a11_composed": _composed,
     "m02_decay": lambda s, d: memory.latest_turns(table(s, d, "turns")).select("session", "turn", memory.effective_importance().alias("importance")),
     "m03_window": lambda s, d: memory.window_turns(table(s, d, "turns")).groupBy("session").agg(F.count("*").alias("n_turns"), F.count_if("active").alias("n_active"), F.min(F.when(F.col("active"), F.col("turn"))).alias("first_active")),
     "m04_replay": lambda s, d: memory.replay(table(s, d, "turns"), lexicon(s, d)).select("session", "turn", long("n_active").alias("n_active"), long("active_tokens").alias("active_tokens"), long("n_compressed").alias("n_compressed"), "summary"),
     "m08_recent_entities": lambda s, d: memory.recent_entities(table(s, d, "turns"), 2, "assistant").select("session", "type", F.array_join("terms", "|").alias("terms")),
-    "m10_writes": lambda s, d: memory.write_all(memory.candidates(table(s, d, "turns"), lexicon(s, d)), lexicon(s, d)).drop("changed"),
+    "m10_writes": lambda s, d: memory.write_all(memory.candidates(table(s, d, "turns"), lexicon(s, d)), lexicon(s, d)).drop("changed").withColumn("n_active", long("n_active")),
     "m11_records": lambda s, d: memory.records_of(memory.write_all(memory.candidates(table(s, d, "turns"), lexicon(s, d)), lexicon(s, d))).drop("embedding"),
     "m12_recall": lambda s, d: _recall(s, d).withColumn("rank", long("rank")),
     "m13_context": _context_blocks,

@@ -383,3 +383,60 @@ w AS (SELECT r, section, 0::BIGINT AS n, 0::BIGINT AS first, 0::BIGINT AS new, 0
 x AS (SELECT r, section, n, lag(first) OVER (PARTITION BY r, section ORDER BY n) AS a, upto AS z FROM w),
 o AS (SELECT doc_id, v.r, starts[a + 1] AS char_start, ends[z] AS char_end, used + sums[z + 1] - sums[a + 1] AS n_tokens, row_number() OVER (PARTITION BY v.r ORDER BY section, n) - 1 AS seq FROM x JOIN v USING (r, section) WHERE n > 0)
 SELECT doc_id || '#c' || lpad(seq::VARCHAR, 3, '0') AS chunk_id, seq, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, n_tokens::BIGINT AS n_tokens, 'semantic' AS split_method FROM o"""
+
+
+# ---------------------------------------------------------------- search rounds and answers
+BM25_POOL = f"{BM25_RANKED}, pool AS (SELECT query_id, chunk_id, round(score / (score + 10), 6) AS score FROM bm25 WHERE rank <= 8)"
+KEYWORDS_OF = f"list_filter({tokens('text')}, lambda t: length(t) >= 2)[1:6]"
+#: A list without its repeats, each at its first place.
+ONCE = lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
+ORACLES["a04_refined"] = f"""WITH {TERMS}, q AS (SELECT query_id, text, {focus_case('text')} AS f, {entities('text')} AS e, {KEYWORDS_OF} AS k FROM ({QUERIES})),
+p AS (SELECT query_id, f, list_concat(list_concat(k, list_sort(e)), list_filter(string_split(f, ' '), lambda x: x <> '')) AS l FROM q), o AS (SELECT query_id, f, array_to_string({ONCE('l')}, ' ') AS wanted FROM p),
+h AS (SELECT query_id, wanted, CASE string_split(f, ' ')[1] WHEN '主治' THEN '功效 应用 适应症' WHEN '组成' THEN '药味 方剂组成' WHEN '使用注意' THEN '禁忌 慎用 孕妇' WHEN '辨证论治' THEN '证型 治法 代表方' WHEN '性味归经' THEN '四气五味 归经' WHEN '出处' THEN '来源 载于 首见' ELSE '中医 治疗 方药' END AS other FROM o)
+SELECT query_id, {strip('wanted')} AS query, {strip("wanted || ' ' || other")} AS again FROM h"""
+ORACLES["a05_conflict_query"] = f"""WITH {TERMS}, q AS (SELECT query_id, regexp_extract_all(text, (SELECT p FROM pattern)) AS e, {focus_case('text')} AS f FROM ({QUERIES})),
+p AS (SELECT query_id, list_concat(list_concat(e, list_filter(string_split(f, ' '), lambda x: x <> '')), ['禁忌', '注意']) AS l FROM q) SELECT query_id, array_to_string({ONCE('l')}, ' ') AS query FROM p"""
+ORACLES["a06_merged_pools"] = f"WITH {BM25_RANKED}, {DENSE_RANKED} SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, round(score / (score + 10), 6) AS score FROM bm25 UNION ALL SELECT query_id, chunk_id, score FROM dense) GROUP BY ALL"
+EVIDENCE = parts(f"regexp_replace({strip('text')}, '^〈[^〉]*〉\\s*', '')", "[^。！？；\\n]*[。！？；\\n]|[^。！？；\\n]+", 6)
+ORACLES["a11_composed"] = f"""WITH {BM25_POOL}, {TERMS}, cc AS ({LATEST_CHUNKS}), ev AS (SELECT query_id, chunk_id, place, score, text, coalesce(ocr_noise, 0) AS noise FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM pool QUALIFY place <= 5) JOIN cc USING (chunk_id)),
+q AS (SELECT query_id, {entities('text')} AS e, list_distinct({tokens('text')}) AS qt FROM ({QUERIES})),
+s AS (SELECT query_id, chunk_id, place, score, noise, unnest({EVIDENCE}) AS s, unnest(range(0, len({EVIDENCE}))) AS pos FROM ev),
+v AS (SELECT s.*, round((0.55::DOUBLE * CASE WHEN len(e) > 0 THEN len(list_intersect(e, {entities('s')})) / len(e) ELSE 0.0 END + 0.45::DOUBLE * ({coverage('qt', tokens('s'))})) * (0.5::DOUBLE + 0.5::DOUBLE * score) * (1 - least(noise, 0.2)), 8) AS value FROM s JOIN q USING (query_id)),
+once AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY query_id, substr({squeeze('s')}, 1, 40) ORDER BY value DESC, place, pos) = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, place, pos) AS claim FROM once QUALIFY claim <= 8),
+block AS (SELECT query_id, chunk_id, place, string_agg(s, '' ORDER BY claim) AS block FROM best GROUP BY ALL),
+run AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS mark, sum(length(block)) OVER (PARTITION BY query_id ORDER BY place) AS upto FROM block),
+told AS (SELECT *, coalesce(lag(upto) OVER (PARTITION BY query_id ORDER BY place), 0) <= 600 AS cited FROM run),
+body AS (SELECT query_id, coalesce(string_agg('〔' || mark || '〕' || block, chr(10) ORDER BY place) FILTER (WHERE upto <= 600), '') AS body, string_agg(chunk_id, ' ' ORDER BY place) FILTER (WHERE cited) AS citations FROM told GROUP BY 1),
+lead_ AS (SELECT query_id, regexp_replace(s, '[。；]+$', '') AS top FROM best WHERE claim = 1)
+SELECT query_id, CASE WHEN starts_with(body, substr(top, 1, 10)) THEN body ELSE '根据检索到的证据：' || top || '。' || chr(10) || chr(10) || body END AS answer, citations FROM body JOIN lead_ USING (query_id)"""
+
+POINTING = "它|它们|该药|此药|这味药|该方|此方|本方|上方|这个方|那个方|这个|那个|前述|上述|此证|该证|这种|他的|她的"
+RECENT = " || ".join(f"coalesce({who}['{kind}'], [])[1:2]" for who, kind in [("a", "formula"), ("a", "pattern"), ("a", "disease"), ("u", "formula"), ("u", "herb"), ("u", "pattern"), ("u", "disease"), ("a", "symptom"), ("u", "symptom"), ("u", "western_disease")])
+ORACLES["v22_memory_effect"] = f"""WITH {turns_cte()}, {TERMS},
+w AS (SELECT session, turn, role, text, last_value(CASE WHEN role = 'assistant' THEN entities END IGNORE NULLS) OVER before AS a, last_value(CASE WHEN role = 'user' THEN entities END IGNORE NULLS) OVER before AS u, lead(role) OVER (PARTITION BY session ORDER BY turn) AS nr, lead(entities) OVER (PARTITION BY session ORDER BY turn) AS ne
+  FROM t WINDOW before AS (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT *, {entities('text')} AS e, coalesce(flatten(map_values(ne)), []) AS answered FROM w WHERE role = 'user' AND nr = 'assistant' AND text IS NOT NULL),
+r AS (SELECT *, list_filter({RECENT}, lambda x: NOT contains(text, x)) AS l FROM q),
+d AS (SELECT *, CASE WHEN (regexp_matches(text, '{POINTING}') OR len(e) = 0) AND (a IS NOT NULL OR u IS NOT NULL) THEN ({ONCE('l')})[1:3] ELSE [] END AS added FROM r)
+SELECT CASE WHEN regexp_matches(text, '{POINTING}') THEN 'points_back' WHEN len(e) = 0 THEN 'names_nothing' ELSE 'direct' END AS kind, count(*) AS n, round(avg(CASE WHEN len(added) > 0 THEN 1.0 ELSE 0.0 END), 4) AS completed,
+  round(avg(CASE WHEN list_has_any(list_concat(e, added), answered) THEN 1.0 ELSE 0.0 END), 4) AS hit, round(avg(CASE WHEN list_has_any(e, answered) THEN 1.0 ELSE 0.0 END), 4) AS hit_without FROM d GROUP BY 1"""
+
+# Long-term writes: similarities and verdicts of all facts of a key, then one step for each fact in order.
+WEIGHT = "CASE type WHEN 'formula' THEN 1.0 WHEN 'herb' THEN 0.9 WHEN 'pattern' THEN 0.85 WHEN 'disease' THEN 0.85 WHEN 'western_disease' THEN 0.6 WHEN 'symptom' THEN 0.7 WHEN 'meridian' THEN 0.45 ELSE 0.3 END"
+ORACLES["m10_writes"] = f"""WITH RECURSIVE {turns_cte()}, fs AS (SELECT session AS key, turn, unnest({parts('text', SENTENCE)}) AS c, unnest(range(0, len({parts('text', SENTENCE)}))) AS pos FROM t WHERE role = 'user' AND text IS NOT NULL),
+facts AS (SELECT key, turn * 4 + row_number() OVER (PARTITION BY key, turn ORDER BY pos) - 1 AS seq, c FROM fs WHERE regexp_matches(c, (SELECT string_agg(term, '|') FROM lexicon WHERE length(term) >= 2)) QUALIFY row_number() OVER (PARTITION BY key, turn ORDER BY pos) <= 4),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM facts), pr AS (SELECT x.c AS a, y.c AS b FROM numbered x JOIN numbered y ON x.key = y.key AND y.i > x.i), {judged('pr')},
+gram AS {grams('SELECT DISTINCT c AS key, c AS text FROM facts', 'key')}, sims AS (SELECT x.key AS a, y.key AS b, sum(x.w * y.w) AS s FROM gram x JOIN gram y ON x.bucket = y.bucket JOIN (SELECT DISTINCT a, b FROM pr UNION SELECT DISTINCT b, a FROM pr) p ON p.a = x.key AND p.b = y.key GROUP BY ALL),
+importance AS (SELECT c, round(least(1.0, 0.15 + 0.85 * (1 - exp(-coalesce(sum({WEIGHT}), 0) / 2))), 4)::DOUBLE AS weight FROM (SELECT DISTINCT c, unnest({entities('c')}) AS term FROM facts) JOIN terms USING (term) GROUP BY c),
+tab AS (SELECT x.key, y.i AS i, list(coalesce(sims.s, 0) ORDER BY x.i) AS s, list(coalesce(v.label, '') ORDER BY x.i) AS l, list(coalesce(v.reason, '') ORDER BY x.i) AS r FROM numbered x JOIN numbered y ON x.key = y.key LEFT JOIN sims ON sims.a = x.c AND sims.b = y.c LEFT JOIN verdict v ON v.a = x.c AND v.b = y.c GROUP BY x.key, y.i),
+line AS (SELECT n.key, n.seq, n.i, n.c, coalesce(weight, 0.15) AS weight, tab.s, tab.l, tab.r, 'mem_' || substr(md5(n.key || chr(31) || n.c || chr(31) || n.seq), 1, 10) AS new_id, length(n.c) AS size, (SELECT list(length(m.c) ORDER BY m.i) FROM numbered m WHERE m.key = n.key) AS sizes FROM numbered n JOIN tab ON tab.key = n.key AND tab.i = n.i LEFT JOIN importance USING (c)),
+walk AS (SELECT DISTINCT key, 0::BIGINT AS i, NULL::BIGINT AS seq, ''::VARCHAR AS action, NULL::VARCHAR AS record_id, NULL::DOUBLE AS importance, NULL::DOUBLE AS similarity, NULL::VARCHAR AS reason, []::STRUCT(id VARCHAR, c BIGINT, v BIGINT, w DOUBLE)[] AS held FROM numbered UNION ALL
+  SELECT key, i, seq, action, CASE action WHEN 'rejected_low_importance' THEN NULL WHEN 'merged' THEN near[1].r.id WHEN 'conflict_superseded' THEN new_id ELSE new_id END, weight, CASE action WHEN 'rejected_low_importance' THEN NULL WHEN 'conflict_superseded' THEN round(bad.s, 4) ELSE round(near[1].s, 4) END,
+    CASE action WHEN 'conflict_superseded' THEN why[bad.r.c] END,
+    CASE action WHEN 'rejected_low_importance' THEN held WHEN 'merged' THEN list_transform(held, lambda h: CASE WHEN h.id = near[1].r.id THEN {{'id': h.id, 'c': CASE WHEN size > sizes[h.c] THEN i ELSE h.c END, 'v': i, 'w': greatest(h.w, weight)}} ELSE h END)
+      WHEN 'conflict_superseded' THEN list_append(list_filter(held, lambda h: h.id <> bad.r.id), {{'id': new_id, 'c': i, 'v': i, 'w': weight}}) ELSE list_append(held, {{'id': new_id, 'c': i, 'v': i, 'w': weight}}) END
+  FROM (SELECT *, CASE WHEN weight < 0.5 THEN 'rejected_low_importance' WHEN len(near) > 0 AND near[1].s >= 0.88 THEN 'merged' WHEN bad IS NOT NULL THEN 'conflict_superseded' ELSE 'inserted' END AS action
+    FROM (SELECT *, list_filter(near, lambda x: x.s >= 0.45 AND labels[x.r.c] = 'contradiction')[1] AS bad
+      FROM (SELECT n.key, n.i, n.seq, n.weight, n.new_id, n.size, n.sizes, n.l AS labels, n.r AS why, w.held, list_transform(list_sort(list_transform(w.held, lambda h, k: {{'o': -n.s[h.v], 'k': k, 's': n.s[h.v], 'r': h}})), lambda x: {{'s': x.s, 'r': x.r}})[1:5] AS near FROM walk w JOIN line n ON n.key = w.key AND n.i = w.i + 1))))
+SELECT key, seq::BIGINT AS seq, action, record_id, importance, similarity, reason, len(held)::BIGINT AS n_active FROM walk WHERE i > 0"""
