@@ -216,11 +216,13 @@ def answer(questions: DataFrame, chunks: DataFrame, lexicon: DataFrame, config:
     made = compose(done.where("not refused").select("query_id", F.col("asked").alias("text"), "entities"), evidence, lexicon, c.agent)
     low = F.when(~F.col("refused") & (F.col("confidence") < c.agent.answer_threshold), F.lit(True)).otherwise(False)
     steps = trace.groupBy("query_id").agg(F.array_sort(F.collect_list("step")).alias("trace"))
-    ids = evidence.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
+    shown = F.struct("place", "chunk_id", "doc_id", F.substring("text", 1, 400).alias("text"), F.round("score", 4).alias("score"))
+    ids = evidence.groupBy("query_id").agg(F.array_sort(F.collect_list(shown)).alias("_shown")).withColumn("retrieved", F.transform("_shown", lambda x: x["chunk_id"]))
     return (
-        done.join(made, "query_id", "left").join(steps, "query_id", "left").join(ids, "query_id", "left")
+        done.join(made, "query_id", "left").withColumn("quotes", F.coalesce("quotes", F.create_map().cast("map<string,string>"))).join(steps, "query_id", "left").join(ids, "query_id", "left")
         .select("query_id", F.col("asked").alias("question"), F.when(F.col("refused"), F.lit("抱歉，现有语料中未能检索到足以可靠回答该问题的证据。")).otherwise(F.coalesce("answer", F.lit(""))).alias("answer"), "refused", low.alias("low_confidence"),
                 F.coalesce("citations", F.array().cast("array<string>")).alias("citations"), F.coalesce("claims", F.array().cast("array<string>")).alias("claims"), F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"),
+                F.coalesce(F.transform("_shown", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["doc_id"].alias("doc_id"), x["text"].alias("text"), x["score"].alias("score"), F.col("quotes")[x["chunk_id"]].alias("quote"))), F.array()).alias("evidence"),
                 "confidence", "consistency", "coverage", "relevance", "rounds_used", "trace")
     )
 

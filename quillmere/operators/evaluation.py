@@ -124,6 +124,33 @@ def build_items(entries: DataFrame, lexicon: DataFrame, seed: int = 42) -> DataF
     return gold.where((F.coalesce("n_holding", F.lit(0)) != 1) | F.contains("text", F.col("field"))).select("record_key", "question", "item_type", "chunk_id")
 
 
+# Questions of further kinds, with what is put into them.
+FURTHER = {"classic": "“{}”一语出自哪部书？", "case": "{}的医案用了什么方药？", "diagnosis": "出现{}与{}，应辨为什么证？", "multi_hop": "{}中的{}起什么作用？"}
+
+
+def further_items(entries: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """More evaluation items as rows of gold (record_key, question, item_type, chunk_id).
+
+    qa: a question record is asked for by its own title. classic and case: an entry of that
+    source by its term. diagnosis: the chunks that name a pattern and two symptoms or more.
+    multi_hop: chunks that name a formula and a herb, with the chunks of entries about the herb.
+    Each entry is asked once of each kind, by its first chunk that serves.
+    """
+    found = entries.withColumn("_e", lx.entities(lexicon, "text"))
+    named = lambda kind: F.array_distinct(F.transform(F.filter("_e", lambda e: e["type"] == kind), lambda e: e["text"]))
+    found = found.select("record_key", "term", "source_type", "chunk_id", "seq", *[named(k).alias(k) for k in ("formula", "herb", "pattern", "symptom")])
+    first = Window.partitionBy("record_key").orderBy("seq", "chunk_id")
+    say = lambda kind, *what: F.format_string(FURTHER[kind].replace("{}", "%s"), *what)
+    once = lambda df: df.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    own = lambda kind, question: once(found.where(F.col("source_type") == kind)).select("record_key", question.alias("question"), F.lit(kind).alias("item_type"), "chunk_id")
+    told = once(found.where((F.size("pattern") > 0) & (F.size("symptom") > 1)))
+    diagnosis = told.select("record_key", say("diagnosis", F.col("symptom")[0], F.col("symptom")[1]).alias("question"), F.lit("diagnosis").alias("item_type"), "chunk_id")
+    hop = once(found.where((F.size("formula") > 0) & (F.size("herb") > 0))).select("record_key", say("multi_hop", F.col("formula")[0], F.col("herb")[0]).alias("question"), F.lit("multi_hop").alias("item_type"), "chunk_id", F.col("herb")[0].alias("_h"))
+    about = entries.select(F.col("term").alias("_h"), F.col("chunk_id").alias("_c"))
+    more = hop.join(about, "_h").select("record_key", "question", "item_type", F.col("_c").alias("chunk_id"))
+    return own("qa", F.col("term")).unionByName(own("classic", say("classic", F.col("term")))).unionByName(own("case", say("case", F.col("term")))).unionByName(diagnosis).unionByName(hop.drop("_h")).unionByName(more).distinct()
+
+
 def least_covered(questions: DataFrame, chunks: DataFrame, n: int, text: str = "question") -> DataFrame:
     """The n questions whose pairs of characters occur least in the corpus: the question and its overlap."""
     asked = questions.select("qid", F.explode(tx.bigrams(text)).alias("pair"))

@@ -22,6 +22,23 @@ def unique_terms(lexicon: DataFrame) -> DataFrame:
     return lexicon.where("length(term) >= 2").withColumn("_r", F.row_number().over(best)).where("_r = 1").select("term", "type")
 
 
+# A small lexicon to begin with, of names that any textbook of the field has.
+SEED = {
+    "herb": "人参 黄芪 党参 白术 甘草 当归 熟地黄 白芍 川芎 麻黄 桂枝 柴胡 葛根 薄荷 石膏 知母 黄连 黄芩 黄柏 大黄 芒硝 茯苓 泽泻 猪苓 附子 干姜 半夏 陈皮 枳实 厚朴 杏仁 桔梗 丹参 桃仁 红花 酸枣仁 远志 龙骨 牡蛎 天麻",
+    "formula": "麻黄汤 桂枝汤 小柴胡汤 大承气汤 白虎汤 四君子汤 四物汤 六味地黄丸 补中益气汤 归脾汤 逍遥散 银翘散 桑菊饮 二陈汤 五苓散 真武汤 理中丸 血府逐瘀汤 酸枣仁汤 炙甘草汤",
+    "symptom": "发热 恶寒 头痛 咳嗽 气喘 心悸 失眠 健忘 眩晕 口渴 盗汗 自汗 胸闷 胁痛 腹痛 腹胀 便秘 泄泻 水肿 腰酸",
+    "pattern": "气虚证 血虚证 阴虚证 阳虚证 风寒表证 风热表证 脾虚湿盛证 肝郁气滞证 肝阳上亢证 心脾两虚证 痰湿内阻证 瘀血内停证",
+    "disease": "感冒 咳嗽病 哮病 胸痹 不寐 胃痛 泄泻病 便秘病 黄疸 水肿病 消渴 中风 头痛病 痹证",
+    "western_disease": "高血压 糖尿病 冠心病 支气管炎 慢性胃炎 肝炎 贫血 过敏性鼻炎 偏头痛 类风湿关节炎",
+    "meridian": "肺经 大肠经 胃经 脾经 心经 小肠经 膀胱经 肾经 心包经 三焦经 胆经 肝经",
+}
+
+
+def seed(spark) -> DataFrame:
+    """term, type of the built-in lexicon, where no other one is at hand."""
+    return spark.createDataFrame([(t, k) for k, words in SEED.items() for t in words.split()], "term string, type string")
+
+
 def add_terms(lexicon: DataFrame, extra: DataFrame) -> DataFrame:
     """The lexicon with more terms of kinds it already has."""
     known = lexicon.select("type").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmere.config import Chunking
 from quillmere.functions import text as tx
-from quillmere.operators import agent, chunking, embedding, evaluation, memory, nli, ocr, retrieval, sampling, store
+from quillmere.operators import agent, chunking, embedding, evaluation, experiments, memory, nli, ocr, retrieval, sampling, store
 from quillmere.operators import lexicon as lx
 from quillmere.plans.oracles import ORACLES
 from quillmere.session import cut, table
@@ -220,6 +220,30 @@ def _stored_retention(s, d):
     return chunking.retention(one, chunks(s, d), terms, "source_type")
 
 
+KEYWORDS = ["失眠", "头痛", "咳嗽", "盗汗", "饮食", "泡水", "加重", "调理"]
+
+
+def _recovery(s, d):
+    """How far cleaning brings corrupted texts back, by kind of source."""
+    one = documents(s, d).where("text is not null").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("stem"), "text", "source_type")
+    noisy = ocr.corrupt(one, "text", "stem").select("stem", F.col("corrupted").alias("text"))
+    found = experiments.ocr_recovery(one, noisy, lexicon(s, d)).join(one.select("stem", "source_type"), "stem")
+    return evaluation.mean_metrics(found.withColumnRenamed("stem", "query_id"), ["source_type"])
+
+
+def _recomputed(s, d):
+    """Refusals by whether a question could be answered, if all without a good chunk by BM25 were refused."""
+    best = retrieval.bm25_top_k(questions(s, d), chunk_texts(s, d), 1).select("query_id", (F.col("score") < 30).alias("refused"))
+    rows = table(s, d, "eval_items").select(F.col("qid").alias("query_id"), "item_type").distinct().join(best, "query_id", "left").withColumn("refused", F.coalesce("refused", F.lit(True)))
+    return experiments.recomputed(rows.withColumn("mode", F.lit("bm25")))
+
+
+def _seed_terms(s, d):
+    """How often the built-in terms occur in documents."""
+    e = table(s, d, "documents").where("text is not null").select("doc_id", F.explode(lx.entities(lx.seed(s), "text")).alias("e"))
+    return e.groupBy("e.type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_documents"))
+
+
 def _modes(s, d):
     ranked, out = cut(retrieval.retrieve_modes(questions(s, d), chunks(s, d), lexicon(s, d), top=30)), None
     for mode in retrieval.MODES:
@@ -252,7 +276,7 @@ QUERIES: dict[str, Query] = {
     "n02_entities": _entities,
     "n03_types": _types,
     "n04_importance": lambda s, d: chunk_texts(s, d).select("chunk_id", lx.importance(lx.entities(lexicon(s, d), "text")).alias("importance")),
-    "n06_vocabulary": lambda s, d: lx.vocabulary(lexicon(s, d), lexicon(s, d).limit(0), table(s, d, "build_corpus")),
+    "n06_vocabulary": lambda s, d: lx.vocabulary(lexicon(s, d), evaluation.records(chunks(s, d)).where("source_type = 'textbook'").select("term", F.lit("other").alias("type")).distinct(), table(s, d, "build_corpus")),
     "e03_hash_vectors": _vectors,
     "e06_dense_topk": lambda s, d: _dense(s, d).withColumn("rank", long("rank")),
     "e06_label_purity": _purity,
@@ -293,6 +317,11 @@ QUERIES: dict[str, Query] = {
     "v09_relevancy": lambda s, d: table(s, d, "eval_items").select("qid", "question", "reference_answer").distinct().withColumn("e", lx.entity_texts(lx.entities(lexicon(s, d), "question"))).select("qid", evaluation.relevancy("question", "reference_answer", "e").alias("relevancy")),
     "v12_records": lambda s, d: evaluation.records(chunks(s, d)).groupBy("record_key").agg(F.count("*").alias("n_chunks")),
     "v14_items": lambda s, d: evaluation.build_items(evaluation.records(chunks(s, d)), lexicon(s, d)),
+    "v14_further_items": lambda s, d: evaluation.further_items(evaluation.records(chunks(s, d)), lexicon(s, d)),
+    "v19_ocr_recovery": _recovery,
+    "q09_keywords": lambda s, d: experiments.keyword_counts(table(s, d, "build_corpus").select("id", "question", "answer").distinct(), ["question", "answer"], KEYWORDS),
+    "h23_recomputed": _recomputed,
+    "n07_seed_terms": lambda s, d: _seed_terms(s, d),
     "v15_least_covered": lambda s, d: evaluation.least_covered(table(s, d, "eval_items").select("qid", "question").distinct(), chunk_texts(s, d), 30),
     "v16_stratified": lambda s, d: sampling.stratified(table(s, d, "eval_items").select("qid", "item_type").distinct(), "qid", "item_type", 120, "unanswerable").select("qid", "item_type"),
     "v17_type_counts": lambda s, d: table(s, d, "eval_items").select("qid", "item_type").distinct().groupBy("item_type").agg(F.count("*").alias("n")),

@@ -440,3 +440,20 @@ walk AS (SELECT DISTINCT key, 0::BIGINT AS i, NULL::BIGINT AS seq, ''::VARCHAR A
     FROM (SELECT *, list_filter(near, lambda x: x.s >= 0.45 AND labels[x.r.c] = 'contradiction')[1] AS bad
       FROM (SELECT n.key, n.i, n.seq, n.weight, n.new_id, n.size, n.sizes, n.l AS labels, n.r AS why, w.held, list_transform(list_sort(list_transform(w.held, lambda h, k: {{'o': -n.s[h.v], 'k': k, 's': n.s[h.v], 'r': h}})), lambda x: {{'s': x.s, 'r': x.r}})[1:5] AS near FROM walk w JOIN line n ON n.key = w.key AND n.i = w.i + 1))))
 SELECT key, seq::BIGINT AS seq, action, record_id, importance, similarity, reason, len(held)::BIGINT AS n_active FROM walk WHERE i > 0"""
+
+RECORDS = f"SELECT CASE WHEN source_type = 'qa' THEN doc_id ELSE concat_ws('|', doc_id, array_to_string(coalesce(title_path, []), '>')) END AS record_key, source_type, chunk_id, doc_id, seq, text, coalesce(title_path, []) AS path, meta['doc_title'] AS title FROM ({LATEST_CHUNKS})"
+NAMED = f"r AS ({RECORDS}), f AS (SELECT record_key, path, source_type, doc_id, title FROM r QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY seq, chunk_id) = 1), named AS (SELECT record_key, CASE WHEN source_type = 'qa' THEN coalesce(title, doc_id) WHEN len(path) >= 2 THEN path[-1] ELSE coalesce(path[1], '') END AS term FROM f), entry AS (SELECT r.*, term FROM r JOIN named USING (record_key))"
+ORACLES["v14_further_items"] = f"""WITH {TERMS}, {NAMED},
+l AS (SELECT chunk_id, regexp_extract_all(text, (SELECT p FROM pattern)) AS l FROM entry), o AS (SELECT chunk_id, unnest(l) AS e, unnest(range(1, len(l) + 1)) AS k FROM l),
+g AS (SELECT chunk_id, list(e ORDER BY k) FILTER (WHERE type = 'formula') AS formula, list(e ORDER BY k) FILTER (WHERE type = 'herb') AS herb, list(e ORDER BY k) FILTER (WHERE type = 'pattern') AS pattern_, list(e ORDER BY k) FILTER (WHERE type = 'symptom') AS symptom FROM (SELECT chunk_id, e, min(k) AS k FROM o GROUP BY ALL) JOIN terms ON term = e GROUP BY chunk_id),
+c AS (SELECT entry.*, formula, herb, pattern_, symptom FROM entry LEFT JOIN g USING (chunk_id)),
+own AS (SELECT record_key, CASE source_type WHEN 'qa' THEN term WHEN 'classic' THEN '“' || term || '”一语出自哪部书？' ELSE term || '的医案用了什么方药？' END AS question, source_type AS item_type, chunk_id FROM c WHERE source_type IN ('qa', 'classic', 'case') QUALIFY row_number() OVER (PARTITION BY record_key, source_type ORDER BY seq, chunk_id) = 1),
+dia AS (SELECT record_key, '出现' || symptom[1] || '与' || symptom[2] || '，应辨为什么证？' AS question, 'diagnosis' AS item_type, chunk_id FROM c WHERE len(pattern_) > 0 AND len(symptom) > 1 QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY seq, chunk_id) = 1),
+hop AS (SELECT record_key, formula[1] || '中的' || herb[1] || '起什么作用？' AS question, 'multi_hop' AS item_type, chunk_id, herb[1] AS h FROM c WHERE len(formula) > 0 AND len(herb) > 0 QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY seq, chunk_id) = 1)
+SELECT * FROM own UNION SELECT * FROM dia UNION SELECT record_key, question, item_type, chunk_id FROM hop UNION SELECT hop.record_key, question, item_type, entry.chunk_id FROM hop JOIN entry ON entry.term = h"""
+ORACLES["q09_keywords"] = f"SELECT keyword, count(*) AS n FROM (SELECT DISTINCT id, question, answer FROM build_corpus), (SELECT unnest([{quoted(KEYWORDS)}]) AS keyword) WHERE contains(concat_ws(chr(10), question, answer), keyword) GROUP BY 1"
+ORACLES["h23_recomputed"] = f"""WITH {BM25_RANKED}, b AS (SELECT query_id, score < 30 AS refused FROM bm25 WHERE rank = 1), i AS (SELECT DISTINCT qid AS query_id, item_type FROM eval_items), r AS (SELECT item_type = 'unanswerable' AS un, coalesce(refused, true) AS refused FROM i LEFT JOIN b USING (query_id))
+SELECT 'bm25' AS mode, count(*) FILTER (WHERE un) AS n_unanswerable, count(*) FILTER (WHERE un AND refused) AS n_refused, count(*) FILTER (WHERE NOT un) AS n_answerable, count(*) FILTER (WHERE NOT un AND refused) AS n_over_refused,
+  round(count(*) FILTER (WHERE un AND refused) / nullif(count(*) FILTER (WHERE un), 0), 4) AS refusal_accuracy, round(count(*) FILTER (WHERE NOT un AND refused) / nullif(count(*) FILTER (WHERE NOT un), 0), 4) AS over_refusal FROM r"""
+ORACLES["n06_vocabulary"] = f"""WITH {NAMED} SELECT DISTINCT term, type FROM (SELECT term, type FROM lexicon WHERE term IS NOT NULL UNION ALL SELECT trim(term), 'other' FROM entry WHERE source_type = 'textbook' AND length(term) BETWEEN 2 AND 12
+  UNION ALL SELECT trim(d), 'western_disease' FROM (SELECT unnest(string_split(related_diseases, '|')) AS d FROM build_corpus) WHERE length(d) BETWEEN 2 AND 12)"""

@@ -135,11 +135,19 @@ def pdf(spark: SparkSession, folder: str, source_type: str | None = None) -> Dat
 READERS = {".md": markdown, ".markdown": markdown, ".txt": text_files, ".json": lambda s, f, t=None: textbooks(s, f), ".jsonl": lambda s, f, t=None: questions_to_documents(question_records(s, f), f), ".pdf": pdf}
 
 
-def corpus(spark: SparkSession, folder: str, kinds: tuple[str, ...] = (".md", ".txt", ".json")) -> DataFrame:
-    """All documents of a folder and the folders below it, by file type; an unknown type is an error."""
+def kinds_of(spark: SparkSession, folder: str) -> list[str]:
+    """The file types of a folder and the folders below it; hidden files don't count."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_extract(F.lower("path"), r"/[^/]*?(\.[^./]+)$", 1).alias("kind"))
+    return sorted(r["kind"] for r in names.distinct().limit(1000).collect())
+
+
+def corpus(spark: SparkSession, folder: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """All documents of a folder and the folders below it, by file type. Without kinds all files
+    are read; a type that no reader knows is an error, never passed over."""
+    kinds = tuple(kinds_of(spark, folder)) if kinds is None else kinds
     unknown = [k for k in kinds if k not in READERS]
-    if unknown:
-        raise ValueError(f"no reader for {unknown}")
+    if unknown or not kinds:
+        raise ValueError(f"no reader for {unknown}" if unknown else f"no files in {folder}")
     out = None
     for make in dict.fromkeys(READERS[k] for k in kinds):
         part = make(spark, folder).select(*DOCUMENT)
@@ -147,6 +155,11 @@ def corpus(spark: SparkSession, folder: str, kinds: tuple[str, ...] = (".md", ".
     return out
 
 
+def reports(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of reports: JSON lines, or a file that is one object or list of objects."""
+    return spark.read.option("multiLine", str(path.endswith(".json"))).json(path)
+
+
 def eval_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVAL).json(path)
 
