@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -69,30 +69,42 @@ def _word_id(word: str) -> int:
 
 @dataclass
 class Words:
-    """Word ids of a text, sentence by sentence."""
+    """Word ids of texts, sentence by sentence; only sentences with words count."""
 
     ids: np.ndarray
+    #: For each sentence where its words start, how many they are, and the number of its text.
     starts: np.ndarray
-    lengths: np.ndarray = field(default_factory=lambda: np.empty(0))
-
-
-def words_of(text: str, lang: str) -> Words:
-    """The words of each sentence that has any; length is the number of words or characters."""
-    flat = TAG.sub("\n", look_of(text)).lower() if lang == "zh" else TAG.sub("\n", look_of(text))
-    ids: list[np.ndarray] = []
-    for sentence in SPLIT.split(flat):
-        if not sentence:
-            continue
-        if lang == "zh":
-            c = np.frombuffer(sentence.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            han = (c >= 0x3400) & (c < 0xA000)
-            both = np.flatnonzero(han[1:] & han[:-1])
-            if len(both):
-                ids.append(c[both] << 21 | c[both + 1])
-        elif found := WORD.findall(sentence.lower()):
-            ids.append(np.fromiter(map(_word_id, found), np.int64, len(found)))
-    lengths = np.array([len(x) for x in ids], np.int64)
-    return Words(np.concatenate(ids) if ids else np.empty(0, np.int64), np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64), lengths)
+    lengths: np.ndarray
+    text: np.ndarray
+
+    @property
+    def sentence(self) -> np.ndarray:
+        """The number of the sentence of each word."""
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+
+def _sentences(text: str, lang: str) -> str:
+    """A text with one sentence a line."""
+    flat = TAG.sub("\n", look_of(text))
+    return SPLIT.sub("\n", flat.lower() if lang == "zh" else flat)
+
+
+def words_of(texts: list[str], lang: str) -> Words:
+    """The words of several texts at once: pairs of neighbouring Chinese characters, or English words."""
+    lines = [_sentences(t, lang) for t in texts]
+    if lang == "zh":
+        c = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        han = (c >= 0x3400) & (c < 0xA000)
+        pairs = np.flatnonzero(han[1:] & han[:-1])
+        ids, line = c[pairs] << 21 | c[pairs + 1], np.cumsum(c == 10)[pairs]
+    else:
+        found = [list(map(_word_id, WORD.findall(x))) for x in "\n".join(lines).lower().split("\n")]
+        line = np.repeat(np.arange(len(found)), list(map(len, found)))
+        ids = np.fromiter((w for x in found for w in x), np.int64, len(line))
+    used, starts, lengths = np.unique(line, return_index=True, return_counts=True)
+    # Texts follow each other, each with its number of lines.
+    last = np.cumsum([x.count("\n") + 1 for x in lines]) if lines else np.empty(0, np.int64)
+    return Words(ids, starts, lengths, np.searchsorted(last, used, "right"))
 
 
 @dataclass
@@ -131,42 +143,52 @@ def rate(words: Words, lists: Lists, s: Settings) -> np.ndarray:
     return level
 
 
-def document_level(levels: np.ndarray, words: Words, lists: Lists) -> int:
-    """Level 1 to 4 of most sentences; of equal numbers the one with more words, then the lower.
-    Without a rated sentence, the level whose average sentence is nearest in length."""
-    rated = levels >= 0
-    if not rated.any():
-        if not len(words.lengths):
-            return 1
-        return int(np.abs(np.log(words.lengths).mean() - lists.log_length).argmin()) + 1
-    n = np.bincount(levels[rated], minlength=LEVELS)
-    size = np.bincount(levels[rated], weights=words.lengths[rated], minlength=LEVELS)
-    return int(np.lexsort((np.arange(LEVELS), -size, -n))[0]) + 1
+def document_levels(levels: np.ndarray, words: Words, lists: Lists, count: int) -> np.ndarray:
+    """Level 1 to 4 of each of count texts: of most of its sentences; of equal numbers the one with
+    more words, then the lower. Without a rated sentence, the level whose average sentence is
+    nearest in length; without any words the first."""
+    rated = np.flatnonzero(levels >= 0)
+    place = words.text[rated] * LEVELS + levels[rated]
+    n = np.bincount(place, minlength=count * LEVELS).reshape(count, LEVELS)
+    size = np.bincount(place, weights=words.lengths[rated], minlength=count * LEVELS).reshape(count, LEVELS)
+    found = (n * float(1 << 31) + size).argmax(axis=1) + 1
+    sentences = np.bincount(words.text, minlength=count)
+    logs = np.bincount(words.text, weights=np.log(words.lengths), minlength=count) / np.maximum(sentences, 1)
+    near = np.abs(logs[:, None] - lists.log_length[None, :]).argmin(axis=1) + 1
+    return np.where(n.any(axis=1), found, np.where(sentences > 0, near, 1))
 
 
 LANGS = ("zh", "en")
 
 
-def _read(batch: pd.DataFrame) -> Iterator[tuple[int, str, Words]]:
-    for k, text in enumerate(batch["text"]):
-        lang = language_of(text)
-        if lang is not None:
-            yield k, lang, words_of(text, lang)
+def _read(batch: pd.DataFrame, langs: tuple[str, ...] = LANGS) -> Iterator[tuple[str, np.ndarray, Words]]:
+    """By language the rows of a batch in it, and their words."""
+    told = [language_of(t) for t in batch["text"]]
+    for lang in langs:
+        rows = np.array([k for k, x in enumerate(told) if x == lang], np.int64)
+        if len(rows):
+            yield lang, rows, words_of([batch["text"].iloc[k] for k in rows], lang)
 
 
-def _tally(rows: list[tuple[str, np.ndarray, int]], columns: list[str]) -> pd.DataFrame:
-    """Sums of (language, distinct words, level): lang, word, n1 to n4. Word 0 counts units, -1 their log lengths."""
+def _tally(lang: str, words: Words, unit: np.ndarray, level: np.ndarray) -> list[pd.DataFrame]:
+    """In how many units of each level each word occurs. unit: of each word; level: of each unit, -1 for none."""
+    order = np.lexsort((words.ids, unit))
+    ids, unit = words.ids[order], unit[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (unit[1:] != unit[:-1])
+    ids, at = ids[new], level[unit[new]]
     out = []
-    for lang in LANGS:
-        for level in range(LEVELS):
-            own = [w for x, w, k in rows if x == lang and k == level]
-            if own:
-                words, n = np.unique(np.concatenate(own), return_counts=True)
-                frame = pd.DataFrame({"lang": lang, "word": words, "level": level, "n": n})
-                out.append(frame)
-    if not out:
-        return pd.DataFrame(columns=columns)
-    return pd.concat(out)[columns]
+    for k in range(LEVELS):
+        found, n = np.unique(ids[at == k], return_counts=True)
+        # Word 0 counts the units.
+        out.append(pd.DataFrame({"lang": lang, "word": np.append(found, 0), "level": k, "n": np.append(n, (level == k).sum()).astype(np.float64)}))
+    return out
+
+
+def _logs(lang: str, lengths: np.ndarray, level: np.ndarray) -> pd.DataFrame:
+    """Sums of the log lengths of units by level, as word -1."""
+    rated = level >= 0
+    return pd.DataFrame({"lang": lang, "word": -1, "level": np.arange(LEVELS), "n": np.bincount(level[rated], weights=lengths[rated], minlength=LEVELS)})
 
 
 COUNTED = "lang string, word long, level int, n double"
@@ -175,13 +197,13 @@ COUNTED = "lang string, word long, level int, n double"
 def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Distinct words of labelled documents, one unit a document."""
     for batch in batches:
-        rows, lengths = [], []
-        level = batch["level"].to_numpy()
-        for k, lang, words in _read(batch):
-            rows.append((lang, np.append(np.unique(words.ids), 0), int(level[k]) - 1))
-            if len(words.lengths):
-                lengths.append((lang, -1, int(level[k]) - 1, float(np.log(words.lengths).mean())))
-        yield pd.concat([_tally(rows, ["lang", "word", "level", "n"]), pd.DataFrame(lengths, columns=["lang", "word", "level", "n"])])
+        given, out = batch["level"].to_numpy() - 1, []
+        for lang, rows, words in _read(batch):
+            n = np.bincount(words.text, minlength=len(rows))
+            means = np.bincount(words.text, weights=np.log(words.lengths), minlength=len(rows)) / np.maximum(n, 1)
+            out += [*_tally(lang, words, words.text[words.sentence], given[rows]), _logs(lang, means, given[rows])]
+        if out:
+            yield pd.concat(out)
 
 
 def _lists_from(counted: DataFrame, least: float, s: Settings) -> dict[str, Lists]:
@@ -229,17 +251,12 @@ def levels(documents: DataFrame, labels: DataFrame, s: Settings | None = None) -
     def by_sentence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lists = rough.value
         for batch in batches:
-            units, lengths = [], {}
-            for _, lang, words in _read(batch):
-                if lang not in lists or not len(words.lengths):
-                    continue
-                ends = np.append(words.starts[1:], len(words.ids))
-                for k, (a, b) in zip(rate(words, lists[lang], s), zip(words.starts, ends, strict=True), strict=True):
-                    if k >= 0:
-                        units.append((lang, np.append(np.unique(words.ids[a:b]), 0), int(k)))
-                        lengths[lang, int(k)] = lengths.get((lang, int(k)), 0.0) + float(np.log(b - a))
-            logs = pd.DataFrame([(lang, -1, k, v) for (lang, k), v in lengths.items()], columns=["lang", "word", "level", "n"])
-            yield pd.concat([_tally(units, ["lang", "word", "level", "n"]), logs])
+            out = []
+            for lang, _, words in _read(batch, tuple(lists)):
+                level = rate(words, lists[lang], s)
+                out += [*_tally(lang, words, words.sentence, level), _logs(lang, np.log(words.lengths), level)]
+            if out:
+                yield pd.concat(out)
 
     final = _lists_from(rows.select("text").mapInPandas(by_sentence, COUNTED), s.least_share_sentences, s)
     shared = spark.sparkContext.broadcast(final or first)
@@ -248,8 +265,10 @@ def levels(documents: DataFrame, labels: DataFrame, s: Settings | None = None) -
         lists = shared.value
         for batch in batches:
             keys = batch["doc_id"].to_numpy()
-            out = [(keys[k], document_level(rate(words, lists[lang], s), words, lists[lang]), xxhash.xxh3_64_intdigest(batch["text"].iloc[k].encode("utf-8", "surrogatepass")) >> 1) for k, lang, words in _read(batch) if lang in lists]
-            yield pd.DataFrame(out, columns=["doc_id", "reading_level", "text_id"])
+            for lang, rows, words in _read(batch, tuple(lists)):
+                told = document_levels(rate(words, lists[lang], s), words, lists[lang], len(rows))
+                ids = [xxhash.xxh3_64_intdigest(batch["text"].iloc[k].encode("utf-8", "surrogatepass")) >> 1 for k in rows]
+                yield pd.DataFrame({"doc_id": keys[rows], "reading_level": told, "text_id": ids})
 
     found = rows.mapInPandas(decide, f"doc_id {kind}, reading_level int, text_id long")
     return found.groupBy("doc_id").agg(F.min(F.struct("text_id", "reading_level")).alias("m")).select("doc_id", F.col("m.reading_level").alias("reading_level"))

@@ -61,7 +61,7 @@ def test_levels(spark):
 
 
 def test_words_of_sentences():
-    w = p8.words_of("黄芪补气。短！Good", "zh")
+    w = p8.words_of(["黄芪补气。短！Good"], "zh")
     assert list(w.lengths) == [3]
-    assert list(p8.words_of("The tea is hot. Wait for it.", "en").lengths) == [4, 3]
-    assert len(p8.words_of("", "zh").ids) == 0
+    assert list(p8.words_of(["The tea is hot. Wait for it."], "en").lengths) == [4, 3]
+    assert len(p8.words_of([""], "zh").ids) == 0
