@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
-#: Scripts that name a language by themselves.
-SCRIPTS = [
-    ("ja", re.compile("[぀-ヿㇰ-ㇿｦ-ﾝ]+")),
-    ("ko", re.compile("[가-힯ᄀ-ᇿ㄰-㆏]+")),
-    ("zh", re.compile("[㐀-鿿豈-﫿⺀-⿟\U00020000-\U0003ffff]+")),
-    ("th", re.compile("[฀-๿]+")),
-    ("hi", re.compile("[ऀ-ॿ]+")),
-    ("ar", re.compile("[؀-ۿݐ-ݿ]+")),
-    ("ru", re.compile("[Ѐ-ӿ]+")),
-    ("el", re.compile("[Ͱ-Ͽ]+")),
-    ("he", re.compile("[֐-׿]+")),
-]
-LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]+")
+import numpy as np
+
+# Code points of scripts that name a language by themselves, and of Latin letters, as ranges.
+SCRIPTS = {
+    "ja": "぀-ヿㇰ-ㇿｦ-ﾝ", "ko": "가-힯ᄀ-ᇿ㄰-㆏", "zh": "\u3400-\u9fff\uf900-\ufaff\u2e80-\u2fdf\U00020000-\U0003ffff", "th": "฀-๿", "hi": "ऀ-ॿ", "ar": "؀-ۿݐ-ݿ", "ru": "Ѐ-ӿ", "el": "Ͱ-Ͽ", "he": "֐-׿", "latin": "A-Za-zÀ-ɏḀ-ỿ",
+}
+_NAMES = list(SCRIPTS)
+#: The script of each code point, by its place in the list; one more than all for any other.
+_SCRIPT_OF = np.full(0x110000, len(_NAMES), np.uint8)
+for _k, _ranges in enumerate(SCRIPTS.values()):
+    for _a, _b in zip(_ranges[::3], _ranges[2::3], strict=True):
+        _SCRIPT_OF[ord(_a) : ord(_b) + 1] = _k
 WORD = re.compile("[a-zà-ɏḁ-ỿ]+(?:['’][a-zà-ɏ]+)?")
 
 # The commonest function words of languages in Latin script.
@@ -32,7 +31,10 @@ FUNCTION_WORDS = {
     "id": "yang dan di dari untuk dengan ini itu pada tidak adalah atau dalam akan oleh ke juga karena bisa dapat saat lebih sudah",
     "vi": "và của là có cho không này khi một những người được các để với vì sao lại bị nên mỗi lần từ bao giờ thì mà ở ra vào trong ngoài trên dưới sau trước cũng đã đang sẽ rồi nếu nhưng hay hoặc rất",
 }
-_WORDS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
+_LANGUAGES_OF: dict[str, list[str]] = defaultdict(list)
+for _lang, _words in FUNCTION_WORDS.items():
+    for _word in dict.fromkeys(_words.split()):
+        _LANGUAGES_OF[_word].append(_lang)
 _MARKS = [("vi", re.compile("[ăđơưĂĐƠƯẠ-ỹ]")), ("de", re.compile("[äöüßÄÖÜ„]")), ("fr", re.compile("[èêçàùœîôûÀÈÊÇ]")), ("es", re.compile("[ñ¿¡]"))]
 
 
@@ -40,10 +42,9 @@ def language(text: str | None, least: int = 4) -> str | None:
     """A language code, or None for texts with too few letters to tell."""
     if not text:
         return None
-    # Runs are found faster than single characters.
-    count = lambda pattern: sum(map(len, pattern.findall(text)))
-    counts = Counter() if text.isascii() else Counter({lang: n for lang, pattern in SCRIPTS if (n := count(pattern))})
-    latin = count(LATIN)
+    n = np.bincount(_SCRIPT_OF[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=len(_NAMES))
+    latin = int(n[len(_NAMES) - 1])
+    counts = Counter({lang: int(k) for lang, k in zip(_NAMES[:-1], n, strict=False) if k})
     if counts.get("ja", 0) * 8 >= counts.get("zh", 0) and counts.get("ja", 0) > 1:
         counts["ja"] += counts.pop("zh", 0)
     # A Latin word has about five letters where Chinese or Japanese has one or two characters.
@@ -54,7 +55,10 @@ def language(text: str | None, least: int = 4) -> str | None:
     if latin < least:
         return best if n else None
     words = Counter(WORD.findall(text.lower().replace("’", "'")))
-    scores = Counter({lang: sum(c for w, c in words.items() if w in known) for lang, known in _WORDS.items()})
+    scores = Counter(dict.fromkeys(FUNCTION_WORDS, 0))
+    for word, times in words.items():
+        for lang in _LANGUAGES_OF.get(word, ()):
+            scores[lang] += times
     # Names in Latin letters within a text of another script: no language of theirs shows.
     if best and n >= min(least, 2) and max(scores.values()) < max(2, sum(words.values()) * 0.15):
         return best
