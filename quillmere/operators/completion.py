@@ -86,16 +86,15 @@ def judged(answers: DataFrame, model: Completion, measures: tuple[str, ...] = ("
             return None
         return min(1.0, max(0.0, value)) if value == value else None
 
-    out = answers
-    for name in measures:
-
+    def measure(name: str):
         @F.pandas_udf("double")
-        def told(question: pd.Series, answer: pd.Series, context: pd.Series, name=name) -> pd.Series:
+        def told(question: pd.Series, answer: pd.Series, context: pd.Series) -> pd.Series:
             rows = zip(question, answer, context, strict=True)
             return pd.Series([None if a is None else score(JUDGED[name].format(question=q or "", answer=a[:answer_chars], context=(c or "")[:context_chars])) for q, a, c in rows], dtype="float64")
 
-        out = out.withColumn(f"judged_{name}", told("question", "answer", "context"))
-    return out
+        return told("question", "answer", "context")
+
+    return answers.withColumns({f"judged_{name}": measure(name) for name in measures})
 
 
 def generated(questions: DataFrame, model: Completion, grounded: bool = False) -> DataFrame:
