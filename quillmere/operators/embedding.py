@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmere.session import cut
+
 
 class Encoder(Protocol):
     dim: int
@@ -91,11 +93,16 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_id
     given = queries.select(query_id, vector).where(f"{query_id} is not null and {vector} is not null").dropDuplicates([query_id])
     total = given.count()
     best = None
+    # The size that most queries have is that of all; of equally common sizes the smaller.
+    size = given.groupBy(F.size(vector).alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
+    dim = size["dim"] if size else 0
+    given = given.where(F.size(vector) == dim).withColumn("_n", F.row_number().over(Window.orderBy(query_id)) - 1) if total > block else given.where(F.size(vector) == dim).withColumn("_n", F.lit(0))
+    if total > block:
+        given = cut(given)
     for start in range(0, total, block):
-        part = given.orderBy(query_id).offset(start).limit(block).toPandas()
-        sizes = Counter(len(v) for v in part[vector])
-        dim = sizes.most_common(1)[0][0]
-        part = part[[len(v) == dim for v in part[vector]]]
+        part = given.where((F.col("_n") >= start) & (F.col("_n") < start + block)).toPandas()
+        if not len(part):
+            continue
         shared = spark.sparkContext.broadcast((part[query_id].to_numpy(), np.stack(part[vector].to_numpy()).astype(np.float64)))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared, dim=dim) -> Iterator[pd.DataFrame]:
@@ -114,14 +121,15 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_id: str = "query_id
                 if skip_same:
                     scores[ids[:, None] == own[None, :]] = -np.inf
                 n = min(k, len(own))
-                for q, line in zip(ids, scores, strict=True):
-                    # All rows as good as the k-th best; ids decide among them later.
-                    at = np.flatnonzero(line >= max(np.partition(line, len(line) - n)[len(line) - n], -1e300))
-                    yield pd.DataFrame({query_id: [q] * len(at), row_id: own[at], "score": line[at]})
+                # All rows as good as the k-th best; ids decide among them later.
+                least = np.maximum(np.partition(scores, len(own) - n, axis=1)[:, len(own) - n], -1e300)
+                q, at = np.nonzero(scores >= least[:, None])
+                yield pd.DataFrame({query_id: ids[q], row_id: own[at], "score": scores[q, at]})
 
         found = rows.select(row_id, vector).where(f"{row_id} is not null").mapInPandas(search, schema)
         best = found if best is None else best.unionByName(found)
     if best is None:
         return spark.createDataFrame([], schema + ", rank int")
     place = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
-    return best.distinct().withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    # Repeated rows have one rank; they are neighbours, so dropping them needs no further shuffle.
+    return best.withColumn("rank", F.dense_rank().over(place)).where(F.col("rank") <= k).dropDuplicates([query_id, row_id, "rank"])

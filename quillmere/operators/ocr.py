@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,25 +56,43 @@ def fix_list(lexicon: DataFrame | None, limit: int = 20_000) -> list[tuple[str,
     return [*STATIC_FIXES, *((r["variant"], r["term"]) for r in rows)]
 
 
+class Fixes:
+    """Fixes in their order as one automaton; built once per Python worker, not shipped."""
+
+    def __init__(self, fixes: list[tuple[str, str]]):
+        self.fixes, self._tree = fixes, None
+
+    def __getstate__(self):
+        return self.fixes
+
+    def __setstate__(self, fixes):
+        self.fixes, self._tree = fixes, None
+
+    def __call__(self, text: str) -> tuple[str, int, list[str]]:
+        """The text with each fix made everywhere before a later one is looked for, how many there were, and which."""
+        if self._tree is None:
+            self._tree = ahocorasick.Automaton()
+            for k, (bad, _) in reversed(list(enumerate(self.fixes))):
+                self._tree.add_word(bad, k)
+            if self.fixes:
+                self._tree.make_automaton()
+        done, said, last = 0, [], -1
+        # What is in the text is found in one pass; a fix may bring about a later one, so it is looked at again.
+        while self.fixes and (due := min((k for _, k in self._tree.iter(text) if k > last), default=None)) is not None:
+            bad, good = self.fixes[due]
+            times, text, last = text.count(bad), text.replace(bad, good), due
+            done += times
+            said.append(f"{bad}→{good}×{times}")
+        return text, done, said
+
+
 def fix_confusions(text: Column | str, fixes: list[tuple[str, str]]) -> Column:
     """struct(text, n_fixes, fixes): each fix replaces all its places before the next one is looked for."""
+    apply = Fixes(fixes)
 
     @F.pandas_udf("struct<text:string,n_fixes:int,fixes:array<string>>")
     def fixed(values: pd.Series) -> pd.DataFrame:
-        out = []
-        for v in values:
-            if v is None:
-                out.append((None, None, None))
-                continue
-            n, said = 0, []
-            for bad, good in fixes:
-                if bad in v:
-                    c = v.count(bad)
-                    v = v.replace(bad, good)
-                    n += c
-                    said.append(f"{bad}→{good}×{c}")
-            out.append((v, n, said))
-        return pd.DataFrame(out, columns=["text", "n_fixes", "fixes"]).astype({"n_fixes": "Int32"})
+        return pd.DataFrame([(None, None, None) if v is None else apply(v) for v in values], columns=["text", "n_fixes", "fixes"]).astype({"n_fixes": "Int32"})
 
     return fixed(F.col(text) if isinstance(text, str) else text)
 
