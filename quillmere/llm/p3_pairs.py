@@ -119,33 +119,56 @@ def is_copy(question: str | None, answer: str, s: Settings) -> bool:
 
 # ---------------------------------------------------------------- refusal
 SENTENCE = re.compile(r"[^。！？!?\n；;]+[。！？!?；;]*")
-_VERB = "回答|作答|解答|答复|回应|回复|提供|给出|判断|讨论|诊断|协助|帮助|帮您|帮你|帮忙|评论|评价|告知|透露|处理|受理|满足|建议|推荐|说明|介绍"
-DECLINE = re.compile(
-    rf"(?:无法|不能|没法|没有?办法|不便|不宜|恕|难以|拒绝|无权|不可以|不予|不会|不得|不方便).{{0,24}}?(?:{_VERB})|无可奉告|恕难|不具备.{{0,20}}资[格质]|"
-    r"不在.{0,10}范围|超出.{0,20}范围|(?:已|被|予以)(?:关闭|停用|禁止|屏蔽).{0,8}(?:问答|提问|咨询|问题|功能|话题)|不便(?:作答|回答|多言)|"
-    r"(?i:can(?:no|')t be (?:answered|discussed)|cannot be (?:answered|discussed)|(?:can't|can’t|cannot|can not|unable to|won't|won’t|not able to|not allowed to|refuse to|must decline to|decline to|not something i can|outside (?:of )?(?:my|the) scope|beyond (?:my|the) scope)(?:.{0,30}(?:help|answer|assist|comment|provide|discuss|advise|respond|share|speak))?)"
-)
-COURTESY = re.compile(
-    r"祝您?|早日康复|换一?个(?:话题|问题)|尽力配合|(?:咨询|另询|前往|联系|求助|询问).{0,14}(?:专业|医师|医生|门诊|机构|人员|医院)|代替面诊|延误病情|谅解|"
-    r"(?:抱歉|对不起|不好意思|很遗憾)|需要由.{0,24}(?:当面|资质)|感谢您|谢谢|"
-    r"(?i:sorry|apolog|please (?:ask|consult|see|contact|speak|talk)|professional|thank you|feel free|another (?:topic|question)|happy to help with)"
-)
-TURN = re.compile(r"不过|但是|然而|仅供参考|一般来说|通常|可先|可以先|(?i:\bhowever\b|\bin general\b|\bgenerally\b)")
+# The terminals of the grammar of declining. Each is a set of words, as alternatives.
+TERMINALS = {
+    "inability": "无法|不能|没法|没有?办法|不便|不宜|恕|难以|拒绝|无权|不可以|不予|不会|不得|不方便",
+    "act": "回答|作答|解答|答复|回应|回复|提供|给出|判断|讨论|诊断|协助|帮助|帮您|帮你|帮忙|评论|评价|告知|透露|处理|受理|满足|建议|推荐|说明|介绍",
+    "silence": "无可奉告|恕难|不便(?:作答|回答|多言)",
+    "lacking": "不具备",
+    "standing": "资[格质]",
+    "within": "不在",
+    "beyond": "超出",
+    "range": "范围",
+    "shut": "(?:已|被|予以)(?:关闭|停用|禁止|屏蔽)",
+    "channel": "问答|提问|咨询|问题|功能|话题",
+    "cannot": "can't|can’t|cannot|can not|unable to|won't|won’t|not able to|not allowed to|refuse to|must decline to|decline to|not something i can|outside (?:of )?(?:my|the) scope|beyond (?:my|the) scope|can(?:no|')t be (?:answered|discussed)",
+    "regret": "抱歉|对不起|不好意思|很遗憾|谅解|sorry|apolog",
+    "wish": "祝您?|早日康复|换一?个(?:话题|问题)|尽力配合|感谢您|谢谢|thank you|feel free|another (?:topic|question)|happy to help with",
+    "turn_to": "咨询|另询|前往|联系|求助|询问",
+    "expert": "专业|医师|医生|门诊|机构|人员|医院",
+    "ask": "please (?:ask|consult|see|contact|speak|talk)|professional",
+    "warning": "代替面诊|延误病情",
+    "need": "需要由",
+    "in_person": "当面|资质",
+    "but": r"不过|但是|然而|仅供参考|一般来说|通常|可先|可以先|\bhowever\b|\bin general\b|\bgenerally\b",
+    "dose": r"\d+(?:\.\d+)?\s*(?:克|毫升|毫克|片|粒|丸|mg|ml|g)(?![a-z])",
+}
+# What a sentence can be, by productions of terminals; a number is the most characters between two of them.
+PRODUCTIONS = {
+    "decline": ["inability 24 act", "silence", "lacking 20 standing", "within 10 range", "beyond 20 range", "shut 8 channel", "cannot"],
+    "courtesy": ["regret", "wish", "turn_to 14 expert", "ask", "warning", "need 24 in_person"],
+    "substance": ["but", "dose"],
+}
+
+
+def _compiled(rules: list[str]) -> re.Pattern[str]:
+    """The productions of one symbol as a pattern."""
+    part = lambda x: f".{{0,{x}}}?" if x.isdigit() else f"(?:{TERMINALS[x]})"
+    return re.compile("|".join("".join(map(part, rule.split())) for rule in rules), re.I)
+
+
+GRAMMAR = {symbol: _compiled(rules) for symbol, rules in PRODUCTIONS.items()}
 
 
 def is_refusal(answer: str) -> bool:
-    """All sentences decline or are mere courtesy, and at least one declines."""
+    """All sentences decline or are mere courtesy, and at least one declines. A sentence that turns
+    to general advice, or that names a dose, has substance whatever else it says."""
     text = LEAD.sub("", look_of(answer))
-    declined = False
-    for sentence in SENTENCE.findall(text):
-        for part in re.split(r"(?<=[a-z])\. ", sentence):
-            if not any(unicodedata.category(c)[0] == "L" for c in part):
-                continue
-            if DECLINE.search(part) and not TURN.search(part):
-                declined = True
-            elif not COURTESY.search(part) or TURN.search(part):
-                return False
-    return declined
+    parts = [p for sentence in SENTENCE.findall(text) for p in re.split(r"(?<=[a-z])\. ", sentence) if any(map(str.isalpha, p))]
+    if any(GRAMMAR["substance"].search(p) for p in parts):
+        return False
+    declines = [bool(GRAMMAR["decline"].search(p)) for p in parts]
+    return any(declines) and all(d or GRAMMAR["courtesy"].search(p) for d, p in zip(declines, parts, strict=True))
 
 
 # ---------------------------------------------------------------- language

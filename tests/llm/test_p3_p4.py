@@ -170,3 +170,10 @@ def test_confusions_come_from_the_corpus(spark):
     v = p4.vocabulary(docs, p4.Settings(lift=2.0))
     assert {(chr(int(k) >> 21), chr(int(k) & (1 << 21) - 1)) for k in v.confused} == {("虚", "虐")} | {(a, b) for a, b in {(chr(int(k) >> 21), chr(int(k) & (1 << 21) - 1)) for k in v.confused} if a == "之"}
     assert len(p4.vocabulary(docs.limit(0), p4.Settings()).confused) == 0
+
+
+def test_grammar_of_declining():
+    yes = ["此问题不在服务范围内。", "这类问题恕难作答，还请另询医师。", "我没有办法帮您判断，换个问题吧。", "平台方面已关闭此类问答。网络咨询不能代替面诊。", "作为一个助手，我不具备诊断的资格，因此不便回答。", "I'm sorry, but I can't help with that. Please consult a professional.", "This question cannot be answered."]
+    no = ["黄芪补气。", "我无法当面诊脉，可用黄芪9克煎服。", "不能确定，不过可先观察。此问题不便回答。", "抱歉。", "", "谢谢您的咨询。", "无法回答。黄芪补气固表。", "In general, I can't recommend more than 3 g."]
+    assert [p3.is_refusal(a) for a in yes] == [True] * len(yes)
+    assert [p3.is_refusal(a) for a in no] == [False] * len(no)
