@@ -341,7 +341,7 @@ opposite(n, x, y) AS (VALUES {OPPOSITE_ROWS}),
 topic AS (SELECT DISTINCT a, b, i.c AS ic, j.c AS jc FROM ab JOIN clause i ON i.text = a JOIN clause j ON j.text = b WHERE list_has_any(i.ce, j.ce) OR ({jaccard('i.cp', 'j.cp')}) >= 0.3),
 against AS (SELECT a, b, min(n) AS n FROM topic JOIN opposite ON (contains(ic, x) AND NOT contains(ic, y) AND contains(jc, y) AND NOT contains(jc, x)) OR (contains(ic, y) AND NOT contains(ic, x) AND contains(jc, x) AND NOT contains(jc, y)) GROUP BY a, b),
 place AS (SELECT text, unnest(range(1, length(text) + 1)) AS k FROM texts WHERE regexp_matches(text, '(g|克|钱|两|枚|升|合|片)')),
-dose AS (SELECT text, k, regexp_extract(substr(text, k), '^(\d+(?:\.\d+)?|[一二三四五六七八九十半]+)\s*(g|克|钱|两|枚|升|合|片)', ['v', 'u']) AS m, substr(text, greatest(1, k - 12), k - greatest(1, k - 12)) AS w FROM place
+dose AS (SELECT text, k, regexp_extract(substr(text, k), '^(\\d+(?:\\.\\d+)?|[一二三四五六七八九十半]+)\\s*(g|克|钱|两|枚|升|合|片)', ['v', 'u']) AS m, substr(text, greatest(1, k - 12), k - greatest(1, k - 12)) AS w FROM place
   WHERE NOT regexp_matches(substr(text, greatest(1, k - 2), least(2, k - 1)), '[0-9一二三四五六七八九十半]$|[0-9][.]$')),
 given AS (SELECT text, k, w, m.v AS v, m.u AS u FROM dose WHERE m.v <> ''),
 named AS (SELECT text, k, v, u, term FROM given JOIN terms ON type = 'herb' AND contains(w, term) QUALIFY row_number() OVER (PARTITION BY text, k ORDER BY length(w) - strpos(reverse(w), reverse(term)) - length(term) DESC, length(term) DESC) = 1),
