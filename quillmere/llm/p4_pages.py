@@ -31,6 +31,8 @@ from quillmere.llm.scripts import Simplifier, simplified
 from quillmere.session import cut
 
 KINDS = ("broken_word", "misread", "running_head", "page_number")
+#: Kinds of source whose texts come from pages.
+PAGES = ["pdf", "pdf_scan", "ocr_scan"]
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,8 @@ class Settings:
     least_frames: int = 3
     frame_share: float = 1e-5
     lift: float = 12.0
+    #: ... and so many times oftener in texts of pages than their share of all text lets expect, where that is known.
+    page_lift: float = 1.5
     #: ... and occur this often at least.
     least_word: int = 4
     least_sequence: int = 5
@@ -117,7 +121,7 @@ def _triple(a: np.ndarray, b: np.ndarray, mid: np.ndarray) -> np.ndarray:
     return (a << 42 | b << 21 | mid).astype(np.int64)
 
 
-PAIR, SEQUENCE, WORDS, LABEL, TOTAL = range(5)
+PAIR, SEQUENCE, WORDS, LABEL, TOTAL, PAGED = range(6)
 
 
 def _counts(simple: Simplifier, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,9 +130,11 @@ def _counts(simple: Simplifier, batches: Iterator[pd.DataFrame]) -> Iterator[pd.
         words: Counter[str] = Counter()
         labels: Counter[str] = Counter()
         codes = []
-        for text, title in zip(batch["text"], batch["title"], strict=True):
+        flags: list[bool] = []
+        for text, title, page in zip(batch["text"], batch["title"], batch["page"], strict=True):
             if not text:
                 continue
+            flags += [bool(page), False]
             text = simple(text)
             words.update(WORD.findall(text.lower()))
             codes += [_sequence_codes(text), np.array([10, 10], np.int64)]
@@ -137,6 +143,7 @@ def _counts(simple: Simplifier, batches: Iterator[pd.DataFrame]) -> Iterator[pd.
                 title = simple(title)
                 labels.update({m["section"].casefold() for line in text.split("\n") if " · " in line and (m := HEAD.fullmatch(line.strip())) and m["section"] and m["title"].casefold() == title.casefold()})
         frames = []
+        paged = np.array(flags, bool)
         if codes:
             c = np.concatenate(codes)
             han = (c >= HAN[0]) & (c < HAN[1])
@@ -145,6 +152,13 @@ def _counts(simple: Simplifier, batches: Iterator[pd.DataFrame]) -> Iterator[pd.
                 values, n = np.unique(keys, return_counts=True)
                 frames.append(pd.DataFrame({"kind": kind, "key": values, "word": None, "n": n}))
             frames.append(pd.DataFrame({"kind": [TOTAL, TOTAL, TOTAL], "key": [PAIR, WORDS, LABEL], "word": None, "n": [int(han.sum()), sum(words.values()), len(batch)]}))
+            if paged.any():
+                # What stands in texts of pages is counted once more, by itself.
+                of_page = np.repeat(paged, [len(x) for x in codes])
+                inside = of_page[1:-1] & han[1:-1]
+                values, n = np.unique(_triple(c[:-2], c[2:], c[1:-1])[inside], return_counts=True)
+                frames.append(pd.DataFrame({"kind": PAGED, "key": values, "word": None, "n": n}))
+                frames.append(pd.DataFrame({"kind": [TOTAL], "key": [PAGED], "word": None, "n": [int((of_page & han).sum())]}))
         for kind, counter in ((WORDS, words), (LABEL, labels)):
             frames.append(pd.DataFrame({"kind": kind, "key": 0, "word": list(counter), "n": list(counter.values())}))
         yield pd.concat(frames).astype({"word": object})
@@ -329,15 +343,20 @@ def confusions(counts: DataFrame, s: Settings) -> DataFrame:
 
     counts: kind, key, n of all sequences. A frame is a pair of neighbours; a character that is
     far rarer in it than the commonest one stands there instead of it. Chance is what the
-    numbers of frames of both characters alone let expect.
+    numbers of frames of both characters alone let expect. Where it is counted what stands in texts
+    of pages, it must stand there for the most part: ordinary writing varies everywhere.
     """
     frame = (F.col("key").bitwiseAND(F.lit(~((1 << 21) - 1)))).alias("frame")
     mid = F.col("key").bitwiseAND(F.lit((1 << 21) - 1)).alias("mid")
     seen = counts.where(F.col("kind") == SEQUENCE).select(frame, mid, "n")
     top = seen.groupBy("frame").agg(F.max(F.struct("n", "mid")).alias("top")).where(F.col("top.n") >= s.commoner).select("frame", F.col("top.mid").alias("meant"), F.col("top.n").alias("most"))
+    on_pages = counts.where(F.col("kind") == PAGED).select(frame, mid, F.col("n").alias("on_pages"))
+    totals = {r["key"]: r["n"] for r in counts.where((F.col("kind") == TOTAL) & F.col("key").isin(PAIR, PAGED)).collect()}
+    share = totals.get(PAGED, 0) / max(1, totals.get(PAIR, 0))
     instead = seen.join(top, "frame").where((F.col("mid") != F.col("meant")) & (F.col("n") * s.commoner <= F.col("most")))
     han = lambda c: (F.col(c) >= HAN[0]) & (F.col(c) < HAN[1])
-    pairs = cut(instead.where(han("meant") & han("mid")).groupBy("meant", F.col("mid").alias("read")).agg(F.count("*").alias("frames")))
+    instead = instead.where(han("meant") & han("mid")).join(on_pages, ["frame", "mid"], "left")
+    pairs = cut(instead.groupBy("meant", F.col("mid").alias("read")).agg(F.count("*").alias("frames"), (F.sum(F.coalesce("on_pages", F.lit(0))) / F.sum("n")).alias("on_pages")))
     of = lambda side: pairs.groupBy(side).agg(F.sum("frames").alias(f"of_{side}"))
     total = pairs.agg(F.sum("frames")).collect()[0][0] or 0
     least = max(s.least_frames, total * s.frame_share)
@@ -345,14 +364,16 @@ def confusions(counts: DataFrame, s: Settings) -> DataFrame:
     return (
         pairs.where(F.col("frames") >= least).join(of("meant"), "meant").join(of("read"), "read")
         .where(F.col("frames") * total >= s.lift * F.col("of_meant") * F.col("of_read"))
+        .where(F.col("on_pages") >= min(0.9, s.page_lift * share))
         .select("meant", "read")
     )
 
 
 def vocabulary(documents: DataFrame, s: Settings) -> Vocabulary:
-    """Counts over all documents (title, text); what is collected is bounded by the shares."""
+    """Counts over all documents (title, text, and if known source_type); what is collected is bounded by the shares."""
     spark = documents.sparkSession
-    given = documents.select(F.col("title").cast("string").alias("title"), F.col("text").cast("string").alias("text")).where("text is not null")
+    page = F.coalesce(F.col("source_type").isin(PAGES), F.lit(False)) if "source_type" in documents.columns else F.lit(False)
+    given = documents.select(F.col("title").cast("string").alias("title"), F.col("text").cast("string").alias("text"), page.alias("page")).where("text is not null")
     simple = Simplifier(simplified(spark))
     counts = cut(given.mapInPandas(lambda batches: _counts(simple, batches), "kind int, key long, word string, n long").groupBy("kind", "key", "word").agg(F.sum("n").alias("n")))
     totals = {r["key"]: r["n"] for r in counts.where(F.col("kind") == TOTAL).collect()}

@@ -170,6 +170,11 @@ def test_confusions_come_from_the_corpus(spark):
     v = p4.vocabulary(docs, p4.Settings(lift=2.0))
     assert {(chr(int(k) >> 21), chr(int(k) & (1 << 21) - 1)) for k in v.confused} == {("虚", "虐")} | {(a, b) for a, b in {(chr(int(k) >> 21), chr(int(k) & (1 << 21) - 1)) for k in v.confused} if a == "之"}
     assert len(p4.vocabulary(docs.limit(0), p4.Settings()).confused) == 0
+    # The same, but what stands for the other does so in ordinary texts too: that is writing, not misreading.
+    pages = docs.withColumn("source_type", F.when(F.contains("text", F.lit("虐")), "ocr_scan").otherwise("classic"))
+    pair = ord("虚") << 21 | ord("虐")
+    assert pair in p4.vocabulary(pages, p4.Settings(lift=2.0)).confused
+    assert pair not in p4.vocabulary(pages.withColumn("source_type", F.when(F.contains("text", F.lit("之")), "pdf").otherwise("classic")), p4.Settings(lift=2.0)).confused
 
 
 def test_grammar_of_declining():
