@@ -75,7 +75,8 @@ LIKE_LETTERS = frozenset(a + b for group in ("iljtf", "aoec", "hnbk", "vyuw", "n
 HYPHEN = "-\u2010\u2011¬\u00ad–"
 TOKEN = re.compile(r"[A-Za-zÀ-ɏḀ-ỿ0-9!|]*[A-Za-zÀ-ɏḀ-ỿ][A-Za-zÀ-ɏḀ-ỿ0-9!|]*")
 WORD = re.compile(r"[a-zà-ɏḁ-ỿ]{2,}")
-BROKEN = re.compile(rf"([A-Za-zÀ-ɏḀ-ỿ0-9!|]+)([{HYPHEN}])[ \t]*\n\s*([a-zà-ɏḁ-ỿ0-9!|]+)")
+#: Looked for at the beginning of a word only, so that a very long one is read once.
+BROKEN = re.compile(rf"(?<![A-Za-zÀ-ɏḀ-ỿ0-9!|])([A-Za-zÀ-ɏḀ-ỿ0-9!|]+)([{HYPHEN}])[ \t]*\n\s*([a-zà-ɏḁ-ỿ0-9!|]+)")
 NUMBER = r"\d[\d ]{0,6}|[ivxlc]{1,7}|[一二三四五六七八九十百〇零]{1,5}"
 PAGE = re.compile(rf"[\[(（〔【<·•.—–\-~=\s]*(?:第|page|pg?\.?|p\.|s\.)?\s*(?:{NUMBER})\s*(?:页|頁|/\s*\d+)?[\])）〕】>·•.—–\-~=\s]*", re.I)
 HEAD = re.compile(r"(?:(?P<before>\d[\d ]{0,6})\s{2,})?(?P<title>\S.*?)(?:\s*[·•|]\s*(?P<section>\S[^·•|]*?))?(?:\s{2,}(?P<after>\d[\d ]{0,6}))?")

@@ -182,3 +182,11 @@ def test_grammar_of_declining():
     no = ["黄芪补气。", "我无法当面诊脉，可用黄芪9克煎服。", "不能确定，不过可先观察。此问题不便回答。", "抱歉。", "", "谢谢您的咨询。", "无法回答。黄芪补气固表。", "In general, I can't recommend more than 3 g."]
     assert [p3.is_refusal(a) for a in yes] == [True] * len(yes)
     assert [p3.is_refusal(a) for a in no] == [False] * len(no)
+
+
+def test_very_long_words():
+    import time
+
+    begun = time.perf_counter()
+    done = p4.repair("x" * 300_000 + " digest-\nive", None, vocabulary())
+    assert done.kinds == {"broken_word"} and time.perf_counter() - begun < 20
