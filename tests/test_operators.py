@@ -280,3 +280,16 @@ def test_what_memory_adds(spark, lexicon):
     turns = spark.createDataFrame(rows, "session string, turn int, role string, text string, entities map<string,array<string>>").withColumn("received_at", F.lit(None).cast("timestamp"))
     got = {r["kind"]: r for r in agent.memory_effect(turns, lexicon).collect()}
     assert got["points_back"]["hit"] == 1.0 and got["points_back"]["hit_without"] == 0.0 and got["direct"]["completed"] == 0.0
+
+
+def test_retention_of_sentences_over_many_chunks(spark):
+    long = "".join(chr(0x4E00 + k) for k in range(1500)) + "。"
+    docs = spark.createDataFrame([("a", long + "黄芪补气。\n黄芪补气。", "classic"), ("b", "甘草和中。桂枝解肌。", None), (None, "甘草和中。", "qa")], "doc_id string, text string, source_type string")
+    pieces = [long[k : k + 100] for k in range(0, len(long), 100)] + ["黄芪 补气。"]
+    chunks = spark.createDataFrame([("a", f"a#{k:03d}", k, p) for k, p in enumerate(pieces)] + [("b", "b#0", 0, "甘草和"), ("b", "b#1", 1, "中。"), ("c", "c#0", 0, "桂枝解肌。")], "doc_id string, chunk_id string, seq int, text string")
+    found = chunking.retention(docs, chunks, None, "source_type")
+    assert {(r["source_type"], r["sentences"], r["retained"]) for r in found.collect()} == {("classic", 3, 3), (None, 2, 1), ("qa", 1, 0), (None, 6, 4)}
+    # Nothing is sent to the driver, whatever the threshold for broadcasts is.
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    named = {r["doc_id"]: (r["sentences"], r["retained"]) for r in chunking.retention(docs, chunks, ["黄芪", "桂枝", "x"]).collect()}
+    assert named == {"a": (2, 2), "b": (1, 0)}
