@@ -1,3 +1,7 @@
+import random
+import time
+from difflib import SequenceMatcher
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -65,3 +69,19 @@ def test_numbers_json_and_accuracy(spark):
     assert one(spark, 'x ```json\n{"a": 1}``` y', lambda c: tx.repaired_json(c, "a int"))["a"] == 1
     assert one(spark, "nothing", lambda c: tx.repaired_json(c, "a int")) is None
     assert one(spark, "黄芪补气", lambda c: tx.char_accuracy(c, c)) == 1.0
+
+
+def test_matching_ratio_is_that_of_difflib_in_less_time():
+    r = random.Random(3)
+    for letters in ("甲", "甲乙", "甲乙丙abc", "甲乙丙丁戊己庚辛壬癸子丑寅卯"):
+        for _ in range(150):
+            a = "".join(r.choice(letters) for _ in range(r.randrange(90))) * r.choice([1, 1, 3])
+            b = "".join("" if (x := r.random()) < 0.03 else c * 2 if x < 0.06 else r.choice(letters) if x < 0.1 else c for c in a)
+            for x, y in ((a, b), (b[len(b) // 2 :] + b[: len(b) // 2], a), (a, b[::-1])):
+                assert tx.matching_ratio(x, y) == SequenceMatcher(None, x, y, autojunk=False).ratio()
+    a = "".join(chr(0x4E00 + int(200 * r.random() ** 2)) for _ in range(3000))
+    b = "".join(c * 2 if r.random() < 0.05 else c for c in a)[:3000]
+    begun = time.process_time()
+    fast = tx.matching_ratio(a, b)
+    between = time.process_time()
+    assert fast == SequenceMatcher(None, a, b, autojunk=False).ratio() and between - begun < (time.process_time() - between) / 3
