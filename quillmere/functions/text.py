@@ -5,8 +5,11 @@ Every function takes a column and gives a column; null gives null unless said ot
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +21,7 @@ GARBAGE = r"[\x{fffd}\x{25a1}\x{25a0}\x{25c6}\x{2605}\x{e000}-\x{f8ff}]"
 CONTROL = r"[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}]"
 #: White space as Unicode counts it.
 SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+PYTHON_SPACE = re.compile("[ \t\n\x0b\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 # Words that search leaves out.
 STOPWORDS = tuple("的 了 是 在 和 与 及 或 而 等 为 对 之 其 者 也 于 以 则 乃 但 且 夫 盖".split())
@@ -32,6 +36,12 @@ def squeeze(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), SPACE + "+", "")
 
 
+def python_squeeze(text: str) -> str:
+    """squeeze for Python code."""
+    # Python splits at four control characters too, which aren't white space in SQL.
+    return "".join(text.split()) if not any(c in text for c in "\x1c\x1d\x1e\x1f") else PYTHON_SPACE.sub("", text)
+
+
 def strip(text: Column) -> Column:
     """The text without white space at its ends."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -189,67 +199,116 @@ def repaired_json(text: Column | str, schema: str) -> Column:
 
 #: Blocks of at least this many characters are looked for through the places of their first ones.
 SEED = 8
+#: Characters of either side whose blocks are looked for at once.
+TOGETHER = 1 << 15
+# Odd factors of the hash of SEED characters, and of the number of a pair.
+FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def _blocks_by_seed(a: str, b: str) -> tuple[int, list[tuple[int, int, int, int]]] | None:
-    """Characters in matching blocks of at least SEED, and the parts of a and b between these
-    (from and to in either); None for texts that repeat themselves too much."""
-    places: dict[str, list[int]] = {}
-    for j in range(len(b) - SEED + 1):
-        places.setdefault(b[j : j + SEED], []).append(j)
-    ends: dict[int, list[int]] = {}
-    runs: list[list[int]] = []
-    pairs = 0
-    for i in range(len(a) - SEED + 1):
-        if (found := places.get(a[i : i + SEED])) is None:
-            continue
-        if (pairs := pairs + len(found)) > 16 * (len(a) + len(b)):
-            return None
-        for j in found:
-            # Goes on on the same diagonal, or begins there.
-            if (run := ends.get(j - i)) is not None and run[0] + run[2] == i + SEED - 1:
-                run[2] += 1
-            else:
-                runs.append(run := [i, j, SEED])
-                ends[j - i] = run
-    total, rest = 0, []
-    todo = [(0, len(a), 0, len(b), runs)]
-    while todo:
-        a0, a1, b0, b1, near = todo.pop()
-        best, kept = (SEED - 1, 0, 0), []
-        for run in near:
-            i, j, n = run
-            skip = max(0, a0 - i, b0 - j)
-            size = min(n, a1 - i, b1 - j) - skip
-            if size >= SEED:
-                kept.append(run)
-                # The longest, then the first in a, then the first in b.
-                if size > best[0] or size == best[0] and (i + skip, j + skip) < best[1:]:
-                    best = (size, i + skip, j + skip)
-        size, i, j = best
-        if not kept:
-            rest.append((a0, a1, b0, b1))
-            continue
-        total += size
-        if i > a0 and j > b0:
-            todo.append((a0, i, b0, j, kept))
-        if i + size < a1 and j + size < b1:
-            todo.append((i + size, a1, j + size, b1, kept))
-    return total, rest
+def _numbered(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each part begins, and the number of the part that each place belongs to."""
+    return np.concatenate(([0], np.cumsum(lengths))), np.repeat(np.arange(len(lengths)), lengths)
 
 
-def matching_ratio(a: str, b: str) -> float:
-    """What difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() gives, in far less time for texts that are much alike.
+def _seed_runs(codes: np.ndarray, la: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All blocks of at least SEED characters that can't be made longer: where they begin in a and
+    in b, and their size, in order of a and b; and which pairs repeat themselves too much.
 
-    The longest common block is taken, the earliest in a and then in b, and the same is done on
-    both sides of it. Within a part whose blocks have at most n characters those of n follow each
-    other from left to right, so that one pass finds them all; shorter ones lie between them.
+    codes holds all a, then all b. Equal hashes may be of different characters, which the caller checks.
     """
-    if a == b:
-        return 1.0
-    if (found := _blocks_by_seed(a, b)) is None:
-        return SequenceMatcher(None, a, b, autojunk=False).ratio()
-    total, parts = found
+    n, na = len(la), int(la.sum())
+    ends, owner = _numbered(np.concatenate((la, lb)))
+    bits = np.uint64(len(codes).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    h = codes[:-1] * FACTORS[0] + codes[1:] * FACTORS[1]
+    h = h[:-2] + h[2:] * FACTORS[2]
+    h = h[:-4] + h[4:] * FACTORS[3]
+    place = np.flatnonzero(owner[: len(h)] == owner[SEED - 1 :])
+    key = h[place] + (owner[place] % n).astype(np.uint64) * FACTORS[4]
+    key = np.sort(key & ~low | place.astype(np.uint64))
+    place = (key & low).astype(np.int64)
+    key >>= bits
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    in_a = np.add.reduceat(place < na, first, dtype=np.int64) if len(first) else first
+    in_b = np.diff(first, append=len(place)) - in_a
+    met = (in_a > 0) & (in_b > 0)
+    first, in_a, in_b = first[met], in_a[met], in_b[met]
+    pair = owner[place[first]]
+    heavy = np.bincount(pair, in_a * in_b, n) > 16 * (la + lb)
+    kept = ~heavy[pair]
+    first, in_a, in_b = first[kept], in_a[kept], in_b[kept]
+    once = (in_a == 1) & (in_b == 1)
+    i, j = place[first[once]], place[first[once] + 1]
+    if not once.all():
+        first, in_a, in_b = first[~once], in_a[~once], in_b[~once]
+        at, which = _numbered(in_a * in_b)
+        k = np.arange(at[-1]) - at[which]
+        i = np.concatenate((i, place[first[which] + k // in_b[which]]))
+        j = np.concatenate((j, place[first[which] + in_a[which] + k % in_b[which]]))
+    # On a diagonal, one that follows another goes on with its block.
+    key = np.sort((j - i) << np.int64(bits) | i)
+    begin = np.flatnonzero(np.diff(key, prepend=-2) != 1)
+    size = np.diff(begin, append=len(key)) + SEED - 1
+    i, diagonal = key[begin] & np.int64(low), key[begin] >> np.int64(bits)
+    order = np.lexsort((diagonal, i))
+    return i[order], (i + diagonal)[order], size[order], heavy
+
+
+def _taken(i: np.ndarray, j: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks that remain of these where the longest is taken, then the first in a, then the
+    first in b, and the same is done on both sides of it; for all parts of all pairs at once."""
+    taken = [(i[:0], j[:0], size[:0])]
+    # Where all blocks before and all behind lie on their sides of a place in a and in b, they don't meet.
+    apart = (np.maximum.accumulate(i + size)[:-1] <= i[1:]) & (np.maximum.accumulate(j + size)[:-1] <= np.minimum.accumulate(j[::-1])[::-1][1:])
+    part = np.cumsum(np.concatenate(([0], apart)))[: len(i)]
+    while len(i):
+        first = np.diff(part, prepend=-1) != 0
+        part = np.cumsum(first) - 1
+        most = np.maximum.reduceat(size, np.flatnonzero(first))
+        best = np.flatnonzero(size == most[part])
+        place = np.minimum.reduceat(i[best] << 32 | j[best], np.flatnonzero(np.diff(part[best], prepend=-1)))
+        x, y = place >> 32, place & 0xFFFFFFFF
+        taken.append((x, y, most))
+        x, y = x[part], y[part]
+        before = np.minimum(size, np.minimum(x - i, y - j))
+        skip = np.maximum(0, np.maximum(x - i, y - j) + most[part])
+        behind = size - skip
+        a, b = np.flatnonzero(before >= SEED), np.flatnonzero(behind >= SEED)
+        part = np.concatenate((2 * part[a], 2 * part[b] + 1))
+        order = np.argsort(part, kind="stable")
+        part, i, j, size = part[order], *(np.concatenate(v)[order] for v in ((i[a], (i + skip)[b]), (j[a], (j + skip)[b]), (before[a], behind[b])))
+    i, j, size = (np.concatenate(v) for v in zip(*taken, strict=True))
+    order = np.argsort(i)
+    return i[order], j[order], size[order]
+
+
+def _without_seeds(a: str, b: str) -> int:
+    """Characters in the matching blocks of two texts that have none of SEED characters in common."""
+    if len(a) * len(b) > 2500:
+        return _long_without_seeds(a, b)
+    total, todo = 0, [(a, b, SEED - 1)]
+    while todo:
+        a, b, most = todo.pop()
+        for n in range(min(len(a), len(b), most), 0, -1):
+            for i in range(len(a) - n + 1):
+                if (j := b.find(a[i : i + n])) >= 0:
+                    total += n
+                    if i and j:
+                        todo.append((a[:i], b[:j], n))
+                    if i + n < len(a) and j + n < len(b):
+                        todo.append((a[i + n :], b[j + n :], n))
+                    break
+            else:
+                continue
+            break
+    return total
+
+
+def _long_without_seeds(a: str, b: str) -> int:
+    """_without_seeds by the places of all short blocks: within a part whose blocks have at most n
+    characters those of n follow each other from left to right, so that one pass finds them all;
+    shorter ones lie between them."""
+    total, parts = 0, [(0, len(a), 0, len(b))]
     for n in range(SEED - 1, 0, -1):
         later = []
         for a0, a1, b0, b1 in parts:
@@ -269,7 +328,78 @@ def matching_ratio(a: str, b: str) -> float:
             if a0 < a1 and b0 < b1:
                 later.append((a0, a1, b0, b1))
         parts = later
-    return 2.0 * total / (len(a) + len(b))
+    return total
+
+
+def _matching(pairs: list[tuple[str, str]]) -> list[float]:
+    """matching_ratios of pairs that are looked at together; neither text is empty."""
+    a, b = "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
+    text = a + b
+    la, lb = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    i, j, size, heavy = _seed_runs(codes, la, lb)
+    at_a, owner = _numbered(la)
+    at_b = len(a) + _numbered(lb)[0]
+    # Each character of each block must be the same on both sides.
+    begin, block = _numbered(size)
+    along = np.arange(begin[-1]) - begin[block]
+    heavy[owner[i[block[codes[i[block] + along] != codes[j[block] + along]]]]] = True
+    fit = ~heavy[owner[i]]
+    i, j, size = _taken(i[fit], j[fit], size[fit])
+    total = np.bincount(owner[i], size, len(pairs))
+    # The parts between the blocks of a pair, and before the first and after the last one.
+    light = np.flatnonzero(~heavy)
+    of = np.concatenate((owner[i], light))
+    begins = np.concatenate((i, at_a[light + 1])), np.concatenate((j, at_b[light + 1]))
+    order = np.argsort(begins[0] * 2 + (np.arange(len(of)) < len(i)), kind="stable")
+    of, a1, b1 = of[order], begins[0][order], begins[1][order]
+    new = np.diff(of, prepend=-1) != 0
+    a0, b0 = (np.where(new, at[of], np.roll(e[order], 1)) for at, e in ((at_a, np.concatenate((i + size, at_a[light + 1]))), (at_b, np.concatenate((j + size, at_b[light + 1])))))
+    open_ = (a0 < a1) & (b0 < b1)
+    single = open_ & (a1 - a0 == 1) & (b1 - b0 == 1)
+    np.add.at(total, of[single], codes[a0[single]] == codes[b0[single]])
+    open_ &= ~single
+    for k, w, x, y, z in zip(*(v[open_].tolist() for v in (of, a0, a1, b0, b1)), strict=True):
+        total[k] += _without_seeds(text[w:x], text[y:z])
+    return [SequenceMatcher(None, x, y, autojunk=False).ratio() if slow else 2.0 * n / (len(x) + len(y)) for (x, y), n, slow in zip(pairs, total.tolist(), heavy.tolist(), strict=True)]
+
+
+def matching_ratios(pairs: Iterable[tuple[str, str]]) -> list[float]:
+    """What difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() gives for each pair, in far
+    less time for texts that are much alike.
+
+    The longest common block is taken, the earliest in a and then in b, and the same is done on
+    both sides of it. Blocks of SEED characters or more are found for many pairs at once.
+    """
+    out: list[float] = []
+    some: list[tuple[str, str]] = []
+    places: list[int] = []
+    letters = 0
+
+    def done() -> None:
+        nonlocal letters
+        if some:
+            for k, r in zip(places, _matching(some), strict=True):
+                out[k] = r
+        some.clear()
+        places.clear()
+        letters = 0
+
+    for a, b in pairs:
+        out.append(1.0 if a == b else 0.0)
+        if a and b and a != b:
+            if letters and letters + max(len(a), len(b)) > TOGETHER:
+                done()
+            places.append(len(out) - 1)
+            some.append((a, b))
+            letters += max(len(a), len(b))
+    done()
+    return out
+
+
+def matching_ratio(a: str, b: str) -> float:
+    """matching_ratios of a single pair."""
+    return matching_ratios([(a, b)])[0]
 
 
 def char_accuracy(truth: Column | str, text: Column | str, window: int = 3000) -> Column:
@@ -277,6 +407,8 @@ def char_accuracy(truth: Column | str, text: Column | str, window: int = 3000) -
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else matching_ratio(x, y) for x, y in zip(a, b, strict=True)])
+        known = [x is not None and y is not None for x, y in zip(a, b, strict=True)]
+        found = iter(matching_ratios((python_squeeze(x)[:window], python_squeeze(y)[:window]) for x, y in zip(a[known], b[known], strict=True)))
+        return pd.Series([next(found) if k else None for k in known], dtype="float64")
 
-    return ratio(F.substring(squeeze(_c(truth)), 1, window), F.substring(squeeze(_c(text)), 1, window))
+    return ratio(_c(truth), _c(text))

@@ -6,6 +6,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +25,30 @@ def ocr_recovery(truth: DataFrame, noisy: DataFrame, lexicon: DataFrame) -> Data
     noisy text as it is and after cleaning. A row with a null stem has none; averages come from
     evaluation.mean_metrics(found.withColumnRenamed("stem", "query_id"))."""
     both = truth.where("stem is not null and text is not null").select("stem", F.col("text").alias("truth")).join(noisy.where("text is not null").select("stem", F.col("text").alias("raw")), "stem")
-    cleaned = ocr.clean(both, "raw", lexicon).withColumn("_e", lx.entities(lexicon, "truth"))
-    cleaned = cleaned.withColumn("_terms", lx.entity_texts(F.col("_e")))
-    of = lambda c: (
-        F.round(evaluation.term_recall(F.col("truth"), F.col(c), F.col("_terms")), 4), F.round(tx.char_accuracy("truth", c), 4), tx.noise_score(c),
+    return recovered(both, lexicon)
+
+
+def recovered(both: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The measures of ocr_recovery where a row holds both texts, truth and raw; its other columns stay."""
+    shared = lexicon.sparkSession.sparkContext.broadcast(lx.matcher(lexicon))
+
+    @F.pandas_udf("struct<n_terms:int,raw:double,cleaned:double>")
+    def recall(truth: pd.Series, raw: pd.Series, clean: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, *texts in zip(truth, raw, clean, strict=True):
+            terms = {word for word, *_ in shared.value.find(t)}
+            rows.append((len(terms), *(sum(word in x for word in terms) / max(1, len(terms)) for x in texts)))
+        return pd.DataFrame(rows, columns=["n_terms", "raw", "cleaned"])
+
+    kept = [c for c in both.columns if c not in ("truth", "raw")]
+    cleaned = ocr.clean(both.where("truth is not null and raw is not null"), "raw", lexicon)
+    sides = {"raw": "raw", "cleaned": "clean_text"}
+    measured = cleaned.select(
+        *kept, recall("truth", "raw", "clean_text").alias("_recall"), *[tx.noise_score(c).alias(f"{side}_noise") for side, c in sides.items()],
+        *[F.round(tx.char_accuracy("truth", c), 4).alias(f"{side}_char_accuracy") for side, c in sides.items()],
     )
-    named = zip(("raw", "cleaned"), (of("raw"), of("clean_text")), strict=True)
-    return cleaned.select("stem", F.size("_terms").alias("n_terms"), *[c.alias(f"{side}_{what}") for side, three in named for what, c in zip(("term_recall", "char_accuracy", "noise"), three, strict=True)])
+    of = lambda side: [F.round(F.col("_recall")[side], 4).alias(f"{side}_term_recall"), f"{side}_char_accuracy", f"{side}_noise"]
+    return measured.select(*kept, F.col("_recall")["n_terms"].alias("n_terms"), *of("raw"), *of("cleaned"))
 
 
 def dialogues(asked: DataFrame, chunks: DataFrame, lexicon: DataFrame, config: Config | None = None, encoder: Encoder | None = None, mode: str = "static") -> DataFrame:

@@ -138,13 +138,19 @@ def corrupt(df: DataFrame, text: str = "text", key: str = "doc_id", seed: int =
                 continue
             rng = np.random.default_rng([seed, zlib.crc32(str(k).encode())])
             draw, gap = rng.random(len(v)), rng.random(len(v))
-            parts = []
-            for c, r, g in zip(v, draw, gap, strict=True):
+            parts, last = [], 0
+            # Nothing happens to any other character.
+            at = np.flatnonzero((draw < 0.10) | (gap < 0.045))
+            for i, r, g in zip(at.tolist(), draw[at].tolist(), gap[at].tolist(), strict=True):
+                c = v[i]
+                parts.append(v[last:i])
                 parts.append(swap[c] if c in swap and r < 0.10 else marks[c] if c in marks and r < 0.03 else c * 2 if r < 0.034 else c)
                 if "一" <= c <= "鿿" and g < 0.045:
                     parts.append(" ")
                 elif g < 0.004:
                     parts.append("□�◆"[int(g * 3000) % 3])
+                last = i + 1
+            parts.append(v[last:])
             out.append("".join(parts))
         return pd.Series(out, dtype=object)
 

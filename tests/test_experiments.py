@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillmere.operators import completion, evaluation, experiments, ocr, retrieval
 from quillmere.operators import lexicon as lx
+from quillmere.plans import catalogue
 from quillmere.sources import readers, sinks
 
 CHUNKS = [
@@ -63,6 +64,16 @@ def test_ocr_recovery(spark, lexicon):
     assert ocr.corrupt(truth, "text", "stem").where("stem = 'n'").first()["corrupted"] is None
 
 
+def test_recovery_reads_one_text_of_each_document_once(spark, lexicon, tmp_path):
+    rows = [("x", "黄芪与甘草主治感冒发热。" * 9, "a"), ("x", "桂枝", "b"), ("y", "口渴恶寒。" * 9, "b"), ("n", None, "a"), (None, "甘草", "a")]
+    spark.createDataFrame(rows, "doc_id string, text string, source_type string").write.parquet(f"{tmp_path}/source_documents.parquet")
+    lexicon.write.parquet(f"{tmp_path}/lexicon.parquet")
+    found = catalogue.QUERIES["v19_ocr_recovery"](spark, str(tmp_path))
+    got = {r["source_type"]: r for r in found.collect()}
+    assert {k: (r["n"], r["n_terms"]) for k, r in got.items()} == {"b": (2, 1.5)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("doc_id") > 0 == found._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
 def test_dialogues(spark, chunks, lexicon):
     asked = spark.createDataFrame([("d", 0, "黄芪汤主治什么？", "direct", ["a#0", "c#0"]), ("d", 1, "它怎么煎？", "anaphora", ["c#0", "a#0"]), ("d", 1, "它怎么煎？", "anaphora", ["c#0", "a#0"])], "dialogue_id string, turn int, question string, kind string, gold_chunk_ids array<string>")
     got = {(r["memory"], r["kind"]): r for r in experiments.dialogues(asked, chunks, lexicon).collect()}

@@ -85,3 +85,21 @@ def test_matching_ratio_is_that_of_difflib_in_less_time():
     fast = tx.matching_ratio(a, b)
     between = time.process_time()
     assert fast == SequenceMatcher(None, a, b, autojunk=False).ratio() and between - begun < (time.process_time() - between) / 3
+
+
+def test_ratios_of_many_texts_at_once_are_those_of_difflib(monkeypatch):
+    monkeypatch.setattr(tx, "TOGETHER", 700)
+    r = random.Random(5)
+    words = ["".join(r.choice("甲乙丙丁戊己庚abc😀") for _ in range(r.randrange(2, 14))) for _ in range(40)]
+    pairs = [("", ""), ("", "甲"), ("甲", ""), ("甲" * 300, "甲" * 290), ("甲乙", "乙甲"), ("\ud800甲乙丙丁戊己庚辛", "甲乙丙丁戊己庚辛")]
+    for n in range(300):
+        a = "".join(r.choice(words) for _ in range(r.randrange(1, 30)))
+        b = "".join("" if (x := r.random()) < 0.01 else c * 2 if x < 0.04 else r.choice("子丑 ") if x < 0.07 else c for c in a)
+        # Parts that change places, stand twice or stem from another text.
+        pairs.append((a, (b, b[len(b) // 3 :] + b[: len(b) // 3], b + b[:40], pairs[-1][1])[n % 4]))
+    assert tx.matching_ratios(pairs) == [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
+
+
+def test_white_space_is_the_same_in_python(spark):
+    text = "".join(f"{chr(c)}x" for c in [*range(1, 0x300), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010), 0xFEFF])
+    assert one(spark, text, tx.squeeze) == tx.python_squeeze(text) and one(spark, "甲 \u3000\n乙", tx.squeeze) == tx.python_squeeze("甲 \u3000\n乙") == "甲乙"
