@@ -6,8 +6,7 @@ Every function takes a column and gives a column; null gives null unless said ot
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-from difflib import SequenceMatcher
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -214,7 +213,7 @@ def _seed_runs(codes: np.ndarray, la: np.ndarray, lb: np.ndarray) -> tuple[np.nd
     """All blocks of at least SEED characters that can't be made longer: where they begin in a and
     in b, and their size, in order of a and b; and which pairs repeat themselves too much.
 
-    codes holds all a, then all b. Equal hashes may be of different characters, which the caller checks.
+    codes holds all a, then all b.
     """
     n, na = len(la), int(la.sum())
     ends, owner = _numbered(np.concatenate((la, lb)))
@@ -234,7 +233,7 @@ def _seed_runs(codes: np.ndarray, la: np.ndarray, lb: np.ndarray) -> tuple[np.nd
     met = (in_a > 0) & (in_b > 0)
     first, in_a, in_b = first[met], in_a[met], in_b[met]
     pair = owner[place[first]]
-    heavy = np.bincount(pair, in_a * in_b, n) > 16 * (la + lb)
+    heavy = np.bincount(pair, in_a * in_b, n) > np.minimum(16 * (la + lb), np.maximum(2 * (la + lb), 1 << 20))
     kept = ~heavy[pair]
     first, in_a, in_b = first[kept], in_a[kept], in_b[kept]
     once = (in_a == 1) & (in_b == 1)
@@ -245,6 +244,11 @@ def _seed_runs(codes: np.ndarray, la: np.ndarray, lb: np.ndarray) -> tuple[np.nd
         k = np.arange(at[-1]) - at[which]
         i = np.concatenate((i, place[first[which] + k // in_b[which]]))
         j = np.concatenate((j, place[first[which] + in_a[which] + k % in_b[which]]))
+    # Equal hashes may be of different characters, or of another pair.
+    same = owner[j] - owner[i] == n
+    for k in range(SEED):
+        same &= codes[i + k] == codes[j + k]
+    i, j = i[same], j[same]
     # On a diagonal, one that follows another goes on with its block.
     key = np.sort((j - i) << np.int64(bits) | i)
     begin = np.flatnonzero(np.diff(key, prepend=-2) != 1)
@@ -331,8 +335,9 @@ def _long_without_seeds(a: str, b: str) -> int:
     return total
 
 
-def _matching(pairs: list[tuple[str, str]]) -> list[float]:
-    """matching_ratios of pairs that are looked at together; neither text is empty."""
+def _matching(pairs: list[tuple[str, str]]) -> tuple[list[int], list[bool]]:
+    """Characters in the matching blocks of pairs that are looked at together, and which pairs
+    repeat themselves too much for that; no text is empty."""
     a, b = "".join(x for x, _ in pairs), "".join(y for _, y in pairs)
     text = a + b
     la, lb = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
@@ -340,12 +345,7 @@ def _matching(pairs: list[tuple[str, str]]) -> list[float]:
     i, j, size, heavy = _seed_runs(codes, la, lb)
     at_a, owner = _numbered(la)
     at_b = len(a) + _numbered(lb)[0]
-    # Each character of each block must be the same on both sides.
-    begin, block = _numbered(size)
-    along = np.arange(begin[-1]) - begin[block]
-    heavy[owner[i[block[codes[i[block] + along] != codes[j[block] + along]]]]] = True
-    fit = ~heavy[owner[i]]
-    i, j, size = _taken(i[fit], j[fit], size[fit])
+    i, j, size = _taken(i, j, size)
     total = np.bincount(owner[i], size, len(pairs))
     # The parts between the blocks of a pair, and before the first and after the last one.
     light = np.flatnonzero(~heavy)
@@ -361,7 +361,63 @@ def _matching(pairs: list[tuple[str, str]]) -> list[float]:
     open_ &= ~single
     for k, w, x, y, z in zip(*(v[open_].tolist() for v in (of, a0, a1, b0, b1)), strict=True):
         total[k] += _without_seeds(text[w:x], text[y:z])
-    return [SequenceMatcher(None, x, y, autojunk=False).ratio() if slow else 2.0 * n / (len(x) + len(y)) for (x, y), n, slow in zip(pairs, total.tolist(), heavy.tolist(), strict=True)]
+    return total.astype(np.int64).tolist(), heavy.tolist()
+
+
+def _by_longest(a: str, b: str) -> tuple[int, list[tuple[str, str]]]:
+    """Characters in the longest matching blocks of two texts, and the parts between those blocks.
+
+    Those of the same size follow each other from left to right, so that one pass takes them all.
+    """
+    na, nb, n = len(a), len(b), len(a) + len(b)
+    rank = np.unique(np.frombuffer((a + b).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)[1].astype(np.int64)
+    # rank tells the parts of wide characters apart; two of them, which may overlap, any longer part up to twice as long.
+    wide = 1
+
+    def keys(size: int) -> tuple[np.ndarray, np.ndarray]:
+        key = rank[: n - size + 1] * n + rank[size - wide : n - wide + 1]
+        return key[: na - size + 1], key[na:]
+
+    def met(size: int) -> bool:
+        return size <= min(na, nb) and bool(np.isin(*keys(size)).any())
+
+    if not met(1):
+        return 0, []
+    while met(2 * wide):
+        rank = np.unique(rank[:-wide] * n + rank[wide:], return_inverse=True)[1]
+        wide *= 2
+    low, high = wide, 2 * wide
+    while high - low > 1:
+        low, high = (middle, high) if met(middle := (low + high) // 2) else (low, middle)
+    in_a, in_b = keys(low)
+    begins = np.flatnonzero(np.isin(in_a, in_b))
+    order = np.argsort(in_b, kind="stable")
+    last = order[np.searchsorted(in_b[order], in_a[begins], side="right") - 1]
+    total = a0 = b0 = 0
+    parts = []
+    for i, most in zip(begins.tolist(), last.tolist(), strict=True):
+        if i >= a0 and most >= b0:
+            j = b.find(a[i : i + low], b0)
+            total += low
+            parts.append((a[a0:i], b[b0:j]))
+            a0, b0 = i + low, j + low
+    parts.append((a[a0:], b[b0:]))
+    return total, [(x, y) for x, y in parts if x and y]
+
+
+def _groups(pairs: Iterable[tuple[int, str, str]]) -> Iterator[list[tuple[int, str, str]]]:
+    """Numbered pairs by as many as are looked at together."""
+    some: list[tuple[int, str, str]] = []
+    letters = 0
+    for pair in pairs:
+        size = max(len(pair[1]), len(pair[2]))
+        if some and letters + size > TOGETHER:
+            yield some
+            some, letters = [], 0
+        some.append(pair)
+        letters += size
+    if some:
+        yield some
 
 
 def matching_ratios(pairs: Iterable[tuple[str, str]]) -> list[float]:
@@ -369,31 +425,30 @@ def matching_ratios(pairs: Iterable[tuple[str, str]]) -> list[float]:
     less time for texts that are much alike.
 
     The longest common block is taken, the earliest in a and then in b, and the same is done on
-    both sides of it. Blocks of SEED characters or more are found for many pairs at once.
+    both sides of it. Blocks of SEED characters or more are found for many pairs at once; pairs
+    that repeat themselves too much are first cut at their longest blocks.
     """
     out: list[float] = []
-    some: list[tuple[str, str]] = []
-    places: list[int] = []
-    letters = 0
 
-    def done() -> None:
-        nonlocal letters
-        if some:
-            for k, r in zip(places, _matching(some), strict=True):
-                out[k] = r
-        some.clear()
-        places.clear()
-        letters = 0
-
-    for a, b in pairs:
-        out.append(1.0 if a == b else 0.0)
-        if a and b and a != b:
-            if letters and letters + max(len(a), len(b)) > TOGETHER:
-                done()
-            places.append(len(out) - 1)
-            some.append((a, b))
-            letters += max(len(a), len(b))
-    done()
+    def differing() -> Iterator[tuple[int, str, str]]:
+        for a, b in pairs:
+            out.append(1.0 if a == b else 0.0)
+            if a and b and a != b:
+                yield len(out) - 1, a, b
+
+    for asked in _groups(differing()):
+        total, todo = dict.fromkeys((k for k, *_ in asked), 0), asked
+        while todo:
+            later = []
+            for some in _groups(todo):
+                for (k, a, b), found, heavy in zip(some, *_matching([(a, b) for _, a, b in some]), strict=True):
+                    if heavy:
+                        found, parts = _by_longest(a, b)
+                        later += [(k, *part) for part in parts]
+                    total[k] += found
+            todo = later
+        for k, a, b in asked:
+            out[k] = 2.0 * total[k] / (len(a) + len(b))
     return out
 
 
@@ -402,13 +457,13 @@ def matching_ratio(a: str, b: str) -> float:
     return matching_ratios([(a, b)])[0]
 
 
-def char_accuracy(truth: Column | str, text: Column | str, window: int = 3000) -> Column:
-    """Matching-block similarity of the first characters of two texts, white space left out."""
+def char_accuracy(truth: Column | str, text: Column | str) -> Column:
+    """Matching-block similarity of two whole texts, white space left out."""
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         known = [x is not None and y is not None for x, y in zip(a, b, strict=True)]
-        found = iter(matching_ratios((python_squeeze(x)[:window], python_squeeze(y)[:window]) for x, y in zip(a[known], b[known], strict=True)))
+        found = iter(matching_ratios((python_squeeze(x), python_squeeze(y)) for x, y in zip(a[known], b[known], strict=True)))
         return pd.Series([next(found) if k else None for k in known], dtype="float64")
 
     return ratio(_c(truth), _c(text))

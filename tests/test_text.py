@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quillmere.functions import text as tx
 from quillmere.functions.text import python_tokens, python_truncate
+from quillmere.operators import ocr
+from quillmere.plans import catalogue
 
 
 def one(spark, value, make):
@@ -100,6 +102,38 @@ def test_ratios_of_many_texts_at_once_are_those_of_difflib(monkeypatch):
     assert tx.matching_ratios(pairs) == [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
 
 
+def test_long_texts_that_repeat_themselves_are_compared_in_time():
+    r = random.Random(7)
+    line = "".join(r.choice("甲乙丙丁戊己庚辛") for _ in range(30))
+    for a in (line * 30, "甲" * 700, ("甲" * 8 + "乙") * 80, "".join(r.choice("甲乙") for _ in range(700))):
+        b = "".join("" if (x := r.random()) < 0.03 else c * 2 if x < 0.06 else "丙" if x < 0.08 else c for c in a)
+        for x, y in ((a, b), (b[300:] + b[:300], a)):
+            want, got, todo = SequenceMatcher(None, x, y, autojunk=False), 0, [(x, y)]
+            assert tx.matching_ratio(x, y) == want.ratio()
+            # Cutting at the longest blocks alone gives the same.
+            while todo:
+                found, parts = tx._by_longest(*todo.pop())
+                got, todo = got + found, todo + parts
+            assert got == sum(m.size for m in want.get_matching_blocks())
+    a = line * 1500
+    begun = time.process_time()
+    assert tx.matching_ratio(a, a[:-9] + "丙" + a[-9:]) > 0.99 and time.process_time() - begun < 10
+
+
+def test_corruption_is_measured_on_whole_texts(spark, tmp_path):
+    r = random.Random(9)
+    text = "".join(r.choice("已己未末土士日曰风凤\n") + chr(0x4E00 + r.randrange(900)) for _ in range(4000))
+    spark.createDataFrame([("d", text, "qa")], "doc_id string, text string, source_type string").write.parquet(f"{tmp_path}/source_documents.parquet")
+    (got,) = catalogue.queries()["t31_corruption"](spark, str(tmp_path)).collect()
+    noisy = ocr.corrupt(spark.createDataFrame([("d", text)], "doc_id string, text string"))
+    bare = [tx.python_squeeze(t) for t in noisy.select("text", "corrupted", tx.normalize("corrupted")["text"]).first()]
+    for n, name in ((1, "raw_accuracy"), (2, "clean_accuracy")):
+        assert abs(got[name] - SequenceMatcher(None, bare[0], bare[n], autojunk=False).ratio()) < 1e-4
+    # Only the end of these texts differs.
+    a, b = text + "甲" * 2000, text + "乙" * 2000
+    assert spark.createDataFrame([(a, b)], "a string, b string").select(tx.char_accuracy("a", "b")).first()[0] == tx.matching_ratio(tx.python_squeeze(a), tx.python_squeeze(b)) < 0.85
+
+
 def test_white_space_is_the_same_in_python(spark):
     text = "".join(f"{chr(c)}x" for c in [*range(1, 0x300), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010), 0xFEFF])
     assert one(spark, text, tx.squeeze) == tx.python_squeeze(text) and one(spark, "甲 \u3000\n乙", tx.squeeze) == tx.python_squeeze("甲 \u3000\n乙") == "甲乙"
