@@ -1,8 +1,11 @@
 import json
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillmere.functions import text as tx
 from quillmere.operators import completion, evaluation, experiments, ocr, retrieval
 from quillmere.operators import lexicon as lx
 from quillmere.plans import catalogue
@@ -64,6 +67,18 @@ def test_ocr_recovery(spark, lexicon):
     assert ocr.corrupt(truth, "text", "stem").where("stem = 'n'").first()["corrupted"] is None
 
 
+def test_recovery_is_measured_on_whole_texts(spark, lexicon, tmp_path):
+    r = random.Random(9)
+    text = "".join(r.choice("已己未末土士日曰风凤") + chr(0x4E00 + r.randrange(900)) for _ in range(3000))
+    spark.createDataFrame([("x", text, "a")], "doc_id string, text string, source_type string").write.parquet(f"{tmp_path}/source_documents.parquet")
+    lexicon.write.parquet(f"{tmp_path}/lexicon.parquet")
+    (got,) = catalogue.queries()["v19_ocr_recovery"](spark, str(tmp_path)).collect()
+    noisy = ocr.clean(ocr.corrupt(spark.createDataFrame([("x", text)], "doc_id string, text string")), "corrupted", lexicon)
+    bare = [tx.python_squeeze(t) for t in noisy.select("text", "corrupted", "clean_text").first()]
+    for n, name in ((1, "raw_char_accuracy"), (2, "cleaned_char_accuracy")):
+        assert abs(got[name] - SequenceMatcher(None, bare[0], bare[n], autojunk=False).ratio()) < 1e-4
+
+
 def test_recovery_reads_one_text_of_each_document_once(spark, lexicon, tmp_path):
     rows = [("x", "黄芪与甘草主治感冒发热。" * 9, "a"), ("x", "桂枝", "b"), ("y", "口渴恶寒。" * 9, "b"), ("n", None, "a"), (None, "甘草", "a")]
     spark.createDataFrame(rows, "doc_id string, text string, source_type string").write.parquet(f"{tmp_path}/source_documents.parquet")
