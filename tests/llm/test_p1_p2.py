@@ -152,6 +152,32 @@ def test_cells_hold_what_they_may_hold():
         assert not (want & ~got).any() and (got & ~want).sum() <= 12
 
 
+def test_memory_does_not_grow_with_cells():
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x, centres = unit(rng.normal(size=(512, 8))), unit(rng.normal(size=(20000, 8))).astype(np.float32)
+    own, kth, inner = rng.integers(0, 20000, 512), rng.uniform(0.9, 0.99, 512), rng.uniform(0, 0.5, 20000)
+    kth[:3] = -2.0
+    cell = (x.astype(np.float32) @ centres.T).argmax(axis=1)
+    tracemalloc.start()
+    leaning = p2.lean(x, cell, centres, p2.Settings(dim=8))
+    # All cells for all rows at once are 41 MB in single precision alone.
+    assert 0 <= leaning <= 1 and tracemalloc.get_traced_memory()[1] < 15e6
+    tracemalloc.reset_peak()
+    got, parts = np.zeros(512, np.int64), []
+    for q, c in p2.opened(x, own, kth, centres, inner, inner + 0.5, 0.3):
+        assert len(q) <= 8192
+        np.add.at(got, q, 1)
+        parts.append(q[:1000] * 20000 + c[:1000])
+    assert tracemalloc.get_traced_memory()[1] < 30e6
+    tracemalloc.stop()
+    want = p2.open_cells(x, own, kth, centres, inner, inner + 0.5, 0.3)
+    assert got.tolist() == want.sum(axis=1).tolist() and got[0] == 19999 and want.ravel()[np.concatenate(parts)].all()
+    assert len(np.unique(np.concatenate(parts))) == sum(map(len, parts))
+
+
 def test_many_verified_vectors_cost_less_than_one_by_one():
     import time
 
