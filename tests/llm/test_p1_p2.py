@@ -152,6 +152,25 @@ def test_cells_hold_what_they_may_hold():
         assert not (want & ~got).any() and (got & ~want).sum() <= 12
 
 
+def test_no_cell_within_reach_is_left_out():
+    rng = np.random.default_rng(13)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(np.repeat(unit(rng.normal(size=(60, 12))), 25, axis=0) + rng.normal(size=(1500, 12)) * 0.06)
+    tree = p2.Tree()
+    tree.split(0, x[rng.choice(1500, 7, replace=False)].astype(np.float32))
+    for node in (1, 3, 4):
+        tree.split(node, x[rng.choice(1500, 9, replace=False)].astype(np.float32))
+    tree.split(10, x[:3].astype(np.float32))
+    numbers, centres = tree.leaves()
+    place_of = np.full(tree.nodes, -1)
+    place_of[numbers] = np.arange(len(numbers))
+    cell, cosine = place_of[tree.cell_of(x)], x @ x.T
+    for kth in (np.sort(cosine, axis=1)[:, -6], np.sort(cosine, axis=1)[:, -40], np.full(1500, -2.0)):
+        may = tree.within_reach(x, kth, place_of, len(numbers))
+        q, v = np.nonzero(cosine >= kth[:, None])
+        assert may[q, cell[v]].all() and may.all() == (kth[0] < -1)
+
+
 def test_memory_does_not_grow_with_cells():
     import tracemalloc
 
